@@ -115,14 +115,6 @@ def hash_rank(
     return ranked.drop("_h")
 
 
-def value_buckets(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
-    """Ascending bucket boundaries per key from a mergeable quantile sketch (balance only)."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    return df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, probabilities, 2000)).alias("_bounds")
-    )
-
-
 def distinct_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -132,7 +124,6 @@ def distinct_running(
     descending: bool = False,
     inclusive: bool = True,
     buckets: int = 64,
-    totals: bool = True,
 ) -> DataFrame:
     """One row per (keys, value) with each measure, its running sum ``cum_*`` and group total ``all_*``.
 
@@ -141,16 +132,17 @@ def distinct_running(
     if not keys:
         single = df.withColumn("_all", F.lit(1))
         return distinct_running(
-            single, ["_all"], value, measures, descending=descending, inclusive=inclusive,
-            buckets=buckets, totals=totals,
+            single, ["_all"], value, measures, descending=descending, inclusive=inclusive, buckets=buckets,
         ).drop("_all")
     names = list(measures)
     merged = df.groupBy(*keys, value).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in measures.items()])
-    bounds = value_buckets(merged, keys, value, buckets)
-    if totals:
-        whole = merged.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(f"all_{n}") for n in names])
-        bounds = bounds.join(whole, list(keys))
-    placed = merged.join(bounds, list(keys))
+    # One mergeable sketch per key gives bucket boundaries (they only affect balance) beside the totals.
+    probabilities = [i / buckets for i in range(1, buckets)]
+    stats = merged.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(value, probabilities, 2000)).alias("_bounds"),
+        *[F.sum(n).cast("bigint").alias(f"all_{n}") for n in names],
+    )
+    placed = merged.join(stats, list(keys))
     placed = placed.withColumn(
         "_slot", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))
     ).drop("_bounds")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import repetition_ratio, word_count
 from ..operators import calibration, decision, evidence, spans
 from ..operators.evidence import POOLS, SCENARIOS, Scenario
-from ..session import shared_table
+from ..session import shared_table, staged
 from . import corpus
 
 
@@ -211,42 +211,59 @@ def infer(
     scoped = docs.select("*", F.inline(evidence.scenario_array(scenarios))).where(
         held_out_scope(F.col("held_out_family"))
     ).withColumn("stratum", settings.stratum())
-    places = {"pool": F.col("pool"), "stratum": F.col("stratum")}
-
-    def p(df: DataFrame, route: str, value: str, out: str) -> DataFrame:
-        nulls = pool.where(F.col("route") == route)
-        return calibration.attach_p(df, nulls, places, value=value, out=out)
-
-    documents = p(scoped.withColumn("generic_max", generic_maximum()), "generic", "generic_max", "generic_p")
-    documents = documents.withColumn("missing_pool", F.col("generic_p").isNull())
-    slim = documents.select(*keys, "stratum", "generic_p", "missing_pool")
-
+    documents = scoped.withColumn("generic_max", generic_maximum())
     places_of = scoped.select(
         "scenario", "pool", "stratum", "document_id", "language", "effective_length", "mapping_coverage",
         F.inline("candidates"),
     )
-    items = segment_items(docs, ev, scenarios)
-    if settings.per_item_p:
-        strata = scoped.select(*keys, "stratum")
-        items = p(items.join(strata, keys), "registered", "strength", "item_p")
+    items = segment_items(docs, ev, scenarios).join(
+        scoped.select(*keys, "stratum"), keys
+    )
     cell = F.struct(
         F.col("scheme_family").alias("family"), F.col("key_status").alias("key_status"),
-        F.col("applicability").alias("applicability"),
-        (F.col("item_p") if settings.per_item_p else F.lit(None).cast("double")).alias("own_p"),
+        F.col("applicability").alias("applicability"), F.col("strength").alias("strength"),
     )
     grouped = items.groupBy(*keys, "candidate_id").agg(
         F.max("strength").alias("best"),
         # Bounded by the test grid: families x slots + probes, twice at most.
         F.collect_list(cell).alias("_items"),
     )
-    segs = places_of.join(grouped, [*keys, "candidate_id"], "left")
-    segs = segs.withColumn("best", F.coalesce("best", F.lit(0.0)))
-    segs = segs.withColumn("gap_score", F.col("raw_score") - F.col("best"))
+    segs = places_of.join(grouped, [*keys, "candidate_id"], "left").withColumn(
+        "best", F.coalesce("best", F.lit(0.0))
+    )
+    # Written once: both the list of observed values and the rows they are joined back to come from it.
+    segs = staged(segs.withColumn("gap_score", F.col("raw_score") - F.col("best")), "segments")
+
+    pair = lambda route, value: F.struct(F.lit(route).alias("route"), F.col(value).alias("observed"))
+    observed = segs.select(
+        "pool", "stratum", F.inline(F.array(pair("gap", "gap_score"), pair("registered", "best")))
+    ).unionByName(documents.select("pool", "stratum", F.inline(F.array(pair("generic", "generic_max")))))
+    if settings.per_item_p:
+        own = segs.select("pool", "stratum", F.explode("_items.strength").alias("observed"))
+        observed = observed.unionByName(own.withColumn("route", F.lit("registered")))
+    table = staged(
+        calibration.tail_p(observed, pool, list(calibration.POOL_KEYS), value="observed"), "tail-p"
+    )
+
+    def p(df: DataFrame, route: str, value: str, out: str) -> DataFrame:
+        part = table.where(F.col("route") == route).select(
+            "pool", "stratum", F.col("observed").alias(value), F.col("p_value").alias(out)
+        )
+        return df.join(part, ["pool", "stratum", value], "left")
+
+    documents = p(documents, "generic", "generic_max", "generic_p")
+    documents = documents.withColumn("missing_pool", F.col("generic_p").isNull())
+    slim = documents.select(*keys, "generic_p", "missing_pool")
+    if settings.per_item_p:
+        long = segs.select("pool", "stratum", *keys, "candidate_id", F.inline("_items"))
+        long = p(long, "registered", "strength", "own_p")
+        parts = [F.col(c) for c in ("family", "key_status", "applicability", "own_p")]
+        regrouped = long.groupBy(*keys, "candidate_id").agg(F.collect_list(F.struct(*parts)).alias("_items"))
+        segs = segs.drop("_items").join(regrouped, [*keys, "candidate_id"], "left")
     segs = p(segs, "gap", "gap_score", "gap_p")
     segs = p(segs, "registered", "best", "registered_p")
-    adjusted = (lambda i: i["own_p"]) if settings.per_item_p else (
-        lambda i: F.greatest(F.coalesce(i["own_p"], F.lit(0.0)), F.col("registered_p"))
-    )
+    # No detector here reports a p of its own, so the candidate's registered p stands for every item.
+    adjusted = (lambda i: i["own_p"]) if settings.per_item_p else (lambda i: F.col("registered_p"))
     empty = F.array().cast("array<struct<family:string,key_status:string,applicability:string,adjusted_p:double>>")
     segs = segs.withColumn(
         "items",
@@ -262,7 +279,7 @@ def infer(
         ),
     )
     rules = dict(languages=settings.languages, minimum_length=settings.minimum_length)
-    segs = segs.join(slim.drop("stratum"), keys).withColumn(
+    segs = segs.join(slim, keys).withColumn(
         "validity_reasons",
         decision.validity_reasons(
             effective_length=F.col("effective_length"), coverage=F.col("mapping_coverage"),
