@@ -4,13 +4,514 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, evidence, spans
+from ..functions.hashing import stable_hash, hash_unit
+from ..functions.text import repetition_ratio
+from ..operators import calibration, decision, evidence, spans
 from ..plans import attribution as A
 from ..plans import corpus
-from .oracle import query
+from ..schemas import ROUTES
+from .oracle import WS, query, unit
 from .registry import register
 
 
+def big(name: str, alias: str | None = None):
+    return F.col(name).cast("bigint").alias(alias or name.split(".")[-1])
+
+
+def r9(name: str, alias: str | None = None):
+    return F.round(F.col(name), 9).alias(alias or name)
+
+
+@register(
+    "f11_character_scores",
+    """
+SELECT doc_id, count(*) AS n, sum(num)::BIGINT AS total, sum(num * (pos % 97))::BIGINT AS checksum, max(num)::BIGINT AS top,
+  any_value(eff)::BIGINT AS effective_length
+FROM (SELECT doc_id, pos, eff, (unicode(c)::BIGINT * 1103515245 + pos * 12345) & 65535 AS num FROM (
+  SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(n_chars)) AS pos,
+    length(regexp_replace(text, '""" + WS + """', '', 'g')) AS eff FROM documents WHERE n_chars > 0)) GROUP BY ALL
+""",
+)
+def f11(spark, sf):
+    docs = corpus.read(spark, sf, "documents").where("n_chars > 0").withColumn("watermark_family", F.lit(None).cast("string"))
+    scored = corpus.with_scores(docs)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    return scored.select(
+        "doc_id", F.size("scores").cast("bigint").alias("n"), total(F.col("scores")).alias("total"),
+        total(F.transform("scores", lambda s, i: s * (i % 97))).alias("checksum"),
+        F.array_max("scores").alias("top"), big("effective_length"),
+    )
+
+
+def searched(spark, sf):
+    return A.scored(spark, sf)
+
+
+@register(
+    "w6_candidate_windows",
+    query("SELECT d.document_id, len::BIGINT AS scale, count(*) AS kept, min(start)::BIGINT AS first_start, "
+          "max(stop)::BIGINT AS last_end, round(max(mean), 6) AS best_mean, round(min(mean), 6) AS cut_mean "
+          "FROM d_docs d JOIN d_raw USING (text_sha256, marked) GROUP BY ALL"),
+)
+def w6(spark, sf):
+    docs = corpus.rows(spark, sf).where("status = 'generated'")
+    null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
+    docs = corpus.with_scores(docs.where(null | F.col("split").isin("dev", "test")))
+    from ..functions.arrays import let
+
+    raw = docs.select("recipe_id", F.inline(let(F.col("scores"), lambda s: spans.raw_windows(s, integral=True))))
+    return raw.groupBy(F.col("recipe_id").alias("document_id"), big("scale")).agg(
+        F.count(F.lit(1)).alias("kept"), F.min("char_start").cast("bigint").alias("first_start"),
+        F.max("char_end").cast("bigint").alias("last_end"), F.round(F.max("mean"), 6).alias("best_mean"),
+        F.round(F.min("mean"), 6).alias("cut_mean"),
+    )
+
+
+@register(
+    "w8_merged_candidates",
+    query("SELECT d.document_id, 'generic-merged-' || idx AS candidate_id, start::BIGINT AS char_start, "
+          "stop::BIGINT AS char_end, 'char-' || len AS scale_id, round(mean / 65535.0::DOUBLE, 9) AS raw_score "
+          "FROM d_docs d JOIN d_merged USING (text_sha256, marked)"),
+)
+def w8(spark, sf):
+    docs = corpus.rows(spark, sf).where("status = 'generated'")
+    null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
+    docs = corpus.with_scores(docs.where(null | F.col("split").isin("dev", "test")))
+    found = spans.with_candidates(docs, unit=65535.0, refine_quantile=None)
+    return found.select(F.col("recipe_id").alias("document_id"), F.inline("candidates")).select(
+        "document_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score")
+    )
+
+
+@register(
+    "w9_refined_candidates",
+    query("SELECT document_id, candidate_id, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, scale_id, "
+          "round(raw_score, 9) AS raw_score, round(repetition, 9) AS repetition, tokens::BIGINT AS tokens FROM d_segments"),
+)
+def w9(spark, sf):
+    return searched(spark, sf).select("document_id", F.inline("candidates")).select(
+        "document_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score"),
+        r9("repetition"), big("tokens"),
+    )
+
+
+@register(
+    "w7_merge_intervals",
+    query("""
+SELECT document_id, island::BIGINT AS island, min(start)::BIGINT AS char_start, max(stop)::BIGINT AS char_end, count(*) AS members
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY start, stop) - 1 AS island FROM (
+  SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY document_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED
+    PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+  FROM (SELECT document_id, char_start AS start, char_end AS stop FROM d_intervals
+        UNION ALL SELECT document_id, unnest(spans).s, unnest(spans).e FROM d_scored)))
+GROUP BY ALL
+"""),
+)
+def w7(spark, sf):
+    docs = searched(spark, sf)
+    a = docs.select("document_id", F.inline("candidates")).select("document_id", "char_start", "char_end")
+    ev = evidence.search_intervals(docs, length=F.col("text_length")).select("document_id", "char_start", "char_end")
+    del a
+    truth = docs.select("document_id", F.inline("watermark_intervals"))
+    merged = spans.merge_long(ev.unionByName(truth), "document_id")
+    return merged.select("document_id", big("island"), big("char_start"), big("char_end"), "members")
+
+
+@register(
+    "w7_subtract_interval",
+    query("""
+SELECT document_id, s::BIGINT AS char_start, e::BIGINT AS char_end FROM (
+  SELECT document_id, 0 AS s, least(n, x.char_start) AS e FROM d_scored JOIN d_segments x USING (document_id)
+  UNION ALL SELECT document_id, x.char_end, n FROM d_scored JOIN d_segments x USING (document_id)) WHERE s < e
+"""),
+)
+def w7b(spark, sf):
+    docs = searched(spark, sf)
+    whole = F.struct(F.lit(0).alias("char_start"), F.col("text_length").alias("char_end"))
+    cuts = docs.select("document_id", whole.alias("whole"), F.explode("candidates").alias("c"))
+    left = cuts.select("document_id", F.inline(spans.subtract_span(F.col("whole"), F.col("c"))))
+    return left.select("document_id", big("char_start"), big("char_end"))
+
+
+@register(
+    "j8_interval_overlap",
+    query("""
+SELECT t.document_id, g.candidate_id, t.i::BIGINT AS truth_index, (least(t.e, g.char_end) - greatest(t.s, g.char_start))::BIGINT AS overlap,
+  round((least(t.e, g.char_end) - greatest(t.s, g.char_start))::DOUBLE / ((t.e - t.s) + (g.char_end - g.char_start)
+   - (least(t.e, g.char_end) - greatest(t.s, g.char_start))), 9) AS iou
+FROM (SELECT document_id, unnest(spans).s AS s, unnest(spans).e AS e, unnest(range(len(spans))) AS i FROM d_scored) t
+JOIN d_segments g ON g.document_id = t.document_id AND t.s < g.char_end AND g.char_start < t.e
+"""),
+)
+def j8(spark, sf):
+    docs = searched(spark, sf)
+    truth = docs.select("document_id", F.posexplode("watermark_intervals").alias("i", "s")).select(
+        "document_id", "i", "s.char_start", "s.char_end"
+    )
+    found = docs.select("document_id", F.inline("candidates")).select("document_id", "candidate_id", "char_start", "char_end")
+    met = spans.overlap_join(truth, found, "document_id")
+    return met.select(
+        "document_id", F.col("b_candidate_id").alias("candidate_id"), big("a_i", "truth_index"), big("overlap"),
+        r9("iou"),
+    )
+
+
+@register(
+    "j7_search_space",
+    query("SELECT family AS scheme_family, coalesce(slot, 'none') AS key_slot, key_status, interval_role, count(*) AS tests, "
+          "count(DISTINCT document_id) AS documents, min(key_id_hash) AS key_id_hash FROM d_evidence GROUP BY ALL"),
+)
+def j7(spark, sf):
+    ev = A.detector_evidence(spark, sf)
+    slot = F.coalesce("key_slot", F.lit("none")).alias("key_slot")
+    return ev.groupBy("scheme_family", slot, "key_status", "interval_role").agg(
+        F.count(F.lit(1)).alias("tests"), F.countDistinct("document_id").alias("documents"),
+        F.min("key_id_hash").alias("key_id_hash"),
+    )
+
+
+@register(
+    "j6_candidate_evidence",
+    query("SELECT document_id, candidate_id, count(*) AS items, round(max(strength), 9) AS best_strength FROM d_items "
+          "WHERE scenario = 'a_and_b' GROUP BY ALL"),
+)
+def j6(spark, sf):
+    items = A.segment_items(searched(spark, sf), A.detector_evidence(spark, sf), evidence.SCENARIOS[:1])
+    return items.groupBy("document_id", "candidate_id").agg(
+        F.count(F.lit(1)).alias("items"), F.round(F.max("strength"), 9).alias("best_strength")
+    )
+
+
+@register(
+    "p9_evidence_masking",
+    query("SELECT scenario, document_id, count(*) AS tests, round(max(strength), 9) AS strongest FROM d_masked GROUP BY ALL"),
+)
+def p9(spark, sf):
+    masked = evidence.mask_evidence(A.usable(A.detector_evidence(spark, sf)), evidence.SCENARIOS)
+    return masked.groupBy("scenario", "document_id").agg(
+        F.count(F.lit(1)).alias("tests"), F.round(F.max("strength"), 9).alias("strongest")
+    )
+
+
+@register(
+    "p10_orientation",
+    query("SELECT document_id, candidate_id, family AS scheme_family, coalesce(slot, 'none') AS key_slot, "
+          "CASE WHEN family = 'unbiased' AND key_status = 'registered' THEN 'lower' ELSE 'upper' END AS tail_direction, "
+          "round(raw, 9) AS raw_statistic, round(strength, 9) AS evidence_strength FROM d_evidence"),
+)
+def p10(spark, sf):
+    return A.detector_evidence(spark, sf).select(
+        "document_id", "candidate_id", "scheme_family", F.coalesce("key_slot", F.lit("none")).alias("key_slot"),
+        "tail_direction", r9("raw_statistic"), r9("evidence_strength"),
+    )
+
+
+@register(
+    "p11_applicability_gate",
+    """
+SELECT doc_id, family AS scheme_family, tokens::BIGINT AS tokens,
+  CASE WHEN tokens < need THEN 'invalid' ELSE 'valid' END AS applicability,
+  CASE WHEN tokens >= need THEN '' WHEN tokens = 0 THEN 'zero_detector_tokens' ELSE 'insufficient_detector_tokens' END AS reason
+FROM (SELECT doc_id, len(regexp_extract_all(text, '[^""" + WS[1:-1] + """]+')) AS tokens FROM documents),
+  (VALUES ('kgw', 2), ('unigram', 1), ('unbiased', 6), ('synthid', 5)) AS f(family, need)
+""",
+)
+def p11(spark, sf):
+    from ..functions.text import word_count
+
+    docs = corpus.read(spark, sf, "documents").select(
+        "doc_id", F.lit("full-text").alias("candidate_id"), F.lit("full_text").alias("interval_role"),
+        word_count("text").alias("detector_token_count"),
+    )
+    gated = evidence.gate_tokens(evidence.expand_tests(docs, slots=("a",)))
+    return gated.select(
+        "doc_id", "scheme_family", big("detector_token_count", "tokens"), "applicability",
+        F.when(F.size("reason_codes") > 2, F.element_at("reason_codes", -1)).otherwise("").alias("reason"),
+    )
+
+
+@register(
+    "p12_request_validation",
+    query("""
+SELECT document_id, detector_id, coalesce(CASE WHEN language NOT IN ('en', 'de', 'es') THEN 'unsupported_language'
+  WHEN effective_length < 1000 THEN 'insufficient_effective_length'
+  WHEN detector_id = 'kgw-keyed' AND key_id IS NULL THEN 'registered_detector_requires_authorized_key'
+  WHEN detector_id = 'kgw-probe' AND key_id IS NOT NULL THEN 'scheme_only_must_not_receive_key'
+  WHEN detector_id = 'kgw-keyed' AND NOT starts_with(key_id, 'kgw_key_') THEN 'key_family_mismatch' END, 'accepted') AS reason
+FROM d_scored, (VALUES ('kgw-keyed'), ('kgw-probe')) AS r(detector_id)
+"""),
+)
+def p12(spark, sf):
+    detectors = evidence.DetectorRegistry()
+    common = dict(scheme_family="kgw", score=lambda b: b["char_end"] * 1.0, supported_languages=("en", "de", "es"),
+                  minimum_effective_length=1000)
+    detectors.register(evidence.Detector("kgw-keyed", **common))
+    detectors.register(evidence.Detector("kgw-probe", requires_key=False, calibration_id="c1", **common))
+    names = F.array(F.lit("kgw-keyed"), F.lit("kgw-probe"))
+    requests = searched(spark, sf).select(
+        "document_id", "language", "effective_length", "key_id", F.lit("c1").alias("calibration_id"),
+        F.explode(names).alias("detector_id"),
+    )
+    checked = evidence.request_violations(requests, detectors.table(spark))
+    return checked.select("document_id", "detector_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@register(
+    "j4_leave_family_out_merge",
+    query("""
+SELECT d.document_id, round(g.m, 9) AS generic_max, count(*) FILTER (e.family <> 'kgw') AS tests,
+  round(max(e.strength) FILTER (e.family <> 'kgw'), 9) AS best_strength
+FROM d_scored d LEFT JOIN (SELECT document_id, max(raw_score) AS m FROM d_segments GROUP BY ALL) g USING (document_id)
+JOIN d_evidence e USING (document_id) WHERE e.applicability = 'valid' GROUP BY ALL
+"""),
+)
+def j4(spark, sf):
+    generic = searched(spark, sf).select(
+        "document_id", F.round(F.array_max(F.transform("candidates", lambda c: c["raw_score"])), 9).alias("generic_max")
+    )
+    merged = evidence.merge_without_family(generic, A.usable(A.detector_evidence(spark, sf)), "kgw")
+    return merged.select("document_id", "generic_max", "tests", r9("best_strength"))
+
+
+@register(
+    "t2_evidence_rank",
+    query("""
+SELECT document_id, candidate_id, family, key_status, coalesce(slot, 'none') AS key_slot, round(p, 9) AS adjusted_p,
+  row_number() OVER (PARTITION BY document_id, candidate_id ORDER BY coalesce(p, 1.0), pos)::BIGINT AS evidence_rank
+FROM (SELECT *, CASE WHEN key_status = 'registered' THEN round(1.0::DOUBLE / (1.0::DOUBLE + greatest(strength, 0.0::DOUBLE)), 3) END AS p,
+  list_position(['kgw','unigram','unbiased','synthid'], family) * 10 + CASE slot WHEN 'a' THEN 0 WHEN 'b' THEN 1 ELSE 2 END AS pos
+  FROM d_evidence)
+"""),
+)
+def t2(spark, sf):
+    family = F.array_position(F.array(*[F.lit(f) for f in evidence.FAMILIES]), F.col("scheme_family"))
+    slot = F.when(F.col("key_slot") == "a", 0).when(F.col("key_slot") == "b", 1).otherwise(2)
+    p = F.round(1.0 / (1.0 + F.greatest("evidence_strength", F.lit(0.0))), 3)
+    items = A.detector_evidence(spark, sf).withColumns(
+        {"input_index": family * 10 + slot, "adjusted_p": F.when(F.col("key_status") == "registered", p)}
+    )
+    return evidence.rank_evidence(items, by=["document_id", "candidate_id"]).select(
+        "document_id", "candidate_id", F.col("scheme_family").alias("family"), "key_status",
+        F.coalesce("key_slot", F.lit("none")).alias("key_slot"), r9("adjusted_p"), big("evidence_rank"),
+    )
+
+
+@register(
+    "a3_document_maxima",
+    query("SELECT pool, document_id, parent_id, stratum, descendant_kind, route, round(maximum_statistic, 9) AS "
+          "maximum_statistic FROM d_records"),
+)
+def a3(spark, sf):
+    records = A.null_records(searched(spark, sf), A.detector_evidence(spark, sf))
+    return records.select(
+        "pool", "document_id", "parent_id", "stratum", "descendant_kind", "route", r9("maximum_statistic")
+    )
+
+
+@register(
+    "p13_route_strata",
+    query("SELECT language || ':all' AS stratum, count(*) AS documents FROM d_scored GROUP BY ALL"),
+)
+def p13(spark, sf):
+    stratum = calibration.language_stratum().alias("stratum")
+    return searched(spark, sf).groupBy(stratum).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@register(
+    "a4_parent_pool",
+    query("SELECT pool, route, stratum, count(*) AS n, round(1.0::DOUBLE / (count(*) + 1), 9) AS minimum_p, "
+          "round(min(stat), 9) AS lowest, round(max(stat), 9) AS highest, round(avg(stat), 9) AS middle FROM d_pool GROUP BY ALL"),
+)
+def a4(spark, sf):
+    pool = A.null_pool(spark, sf)
+    middle = pool.groupBy(*calibration.POOL_KEYS).agg(F.round(F.avg("maximum_statistic"), 9).alias("middle"))
+    return calibration.pool_summary(pool).select(
+        *calibration.POOL_KEYS, "n", r9("minimum_p"), r9("lowest"), r9("highest")
+    ).join(middle, list(calibration.POOL_KEYS))
+
+
+@register(
+    "a4_pool_violations",
+    query("""
+SELECT 'too_few_parents_' || route AS violation, pool || ':' || stratum AS subject FROM d_records
+GROUP BY pool, stratum, route HAVING count(DISTINCT parent_id) < 30
+"""),
+)
+def a4b(spark, sf):
+    records = A.null_records(searched(spark, sf), A.detector_evidence(spark, sf))
+    return calibration.pool_violations(records, minimum_parents=30)
+
+
+@register(
+    "a5_document_pool",
+    query("SELECT pool, route, stratum, count(*) AS n, round(sum(maximum_statistic), 6) AS total FROM d_records GROUP BY ALL"),
+)
+def a5(spark, sf):
+    records = A.null_records(searched(spark, sf), A.detector_evidence(spark, sf))
+    return calibration.document_pool(records).groupBy(*calibration.POOL_KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("maximum_statistic"), 6).alias("total")
+    )
+
+
+@register(
+    "w10_empirical_p",
+    query("""
+SELECT d.document_id, round((1 + count(p.stat) FILTER (p.stat >= d.generic_max)) / (count(p.stat) + 1)::DOUBLE, 9) AS upper_p,
+  round((1 + count(p.stat) FILTER (p.stat <= d.generic_max)) / (count(p.stat) + 1)::DOUBLE, 9) AS lower_p,
+  round(least(1.0::DOUBLE, (1 + count(p.stat) FILTER (p.stat >= d.generic_max)) / (count(p.stat) + 1)::DOUBLE * 12), 9) AS bonferroni_p
+FROM d_testdocs d LEFT JOIN d_pool p ON p.pool = 'primary' AND p.route = 'generic' AND p.stratum = d.stratum
+WHERE d.scenario = 'a_and_b' GROUP BY ALL
+"""),
+)
+def w10(spark, sf):
+    docs = searched(spark, sf).where("split = 'test'").select(
+        "document_id", A.generic_maximum().alias("generic_max"), calibration.language_stratum().alias("stratum")
+    )
+    pool = A.null_pool(spark, sf).where("pool = 'primary' and route = 'generic'")
+    keys = {"stratum": F.col("stratum")}
+    out = calibration.attach_p(docs, pool, keys, value="generic_max", out="upper_p")
+    out = calibration.attach_p(out, pool, keys, value="generic_max", out="lower_p", lower=True)
+    corrected = calibration.bonferroni(F.col("upper_p"), F.lit(12))
+    return out.select("document_id", r9("upper_p"), r9("lower_p"), F.round(corrected, 9).alias("bonferroni_p"))
+
+
+@register(
+    "s6_pool_round_trip",
+    query("SELECT route, stratum, count(*) AS n, round(min(stat), 9) AS lowest, round(max(stat), 9) AS highest FROM d_pool "
+          "WHERE pool = 'primary' GROUP BY ALL"),
+)
+def s6(spark, sf):
+    import uuid
+
+    from ..session import shared_dir
+
+    path = f"{shared_dir(spark)}/saved-pool-{uuid.uuid4().hex}"
+    pool = A.null_pool(spark, sf).where("pool = 'primary'").drop("pool")
+    # The strata list is part of the header; its length is the number of languages.
+    strata = pool.select("stratum").distinct().agg(F.array_join(F.array_sort(F.collect_list("stratum")), ",").alias("strata"))
+    header = strata.select(
+        F.lit("pool-1").alias("calibration_id"), F.lit("1").alias("protocol_version"), F.lit("m").alias("data_manifest_hash"),
+        F.lit("256,512,1024").alias("search_config_hash"), F.lit("r1").alias("registered_registry_hash"),
+        F.lit("none").alias("normalization_version"), F.lit("f11").alias("model_version"),
+        F.lit("en,de,es,fr").alias("languages"), "strata",
+    )
+    calibration.save_pool(pool, header, path)
+    loaded = calibration.load_pool(spark, path, expected=header)
+    return loaded.groupBy("route", "stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("maximum_statistic"), 9).alias("lowest"),
+        F.round(F.max("maximum_statistic"), 9).alias("highest"),
+    )
+
+
+def calibrated_scores(spark, sf, split="dev"):
+    docs = searched(spark, sf).where((F.col("split") == split) & (F.size("parent_ids") == 1))
+    ev = A.usable(A.detector_evidence(spark, sf)).where(F.col("split") == split)
+    best = evidence.mask_evidence(ev, evidence.POOLS[:1]).groupBy("document_id").agg(F.max("strength").alias("registered_max"))
+    base = docs.select(
+        "document_id", F.col("watermark_family").isNotNull().alias("marked"), A.generic_maximum().alias("generic_max"),
+        calibration.language_stratum().alias("stratum"),
+    ).join(best, "document_id", "left").withColumn("registered_max", F.coalesce("registered_max", F.lit(0.0)))
+    pool = A.null_pool(spark, sf).where("pool = 'primary'")
+    keys = {"stratum": F.col("stratum")}
+    out = calibration.attach_p(base, pool.where("route = 'generic'"), keys, value="generic_max", out="gp")
+    out = calibration.attach_p(out, pool.where("route = 'registered'"), keys, value="registered_max", out="rp")
+    return out.select(
+        "document_id", "marked", (1.0 - F.col("gp")).alias("generic"), (1.0 - F.col("rp")).alias("registered")
+    )
+
+
+CALIBRATED = """
+(SELECT d.document_id, d.watermark_family IS NOT NULL AS marked,
+  1.0::DOUBLE - (SELECT (1 + count(*) FILTER (stat >= coalesce(g.m, 0.0::DOUBLE))) / (count(*) + 1)::DOUBLE FROM d_pool p
+   WHERE p.pool = 'primary' AND p.route = 'generic' AND p.stratum = d.language || ':all') AS generic,
+  1.0::DOUBLE - (SELECT (1 + count(*) FILTER (stat >= coalesce(e.m, 0.0::DOUBLE))) / (count(*) + 1)::DOUBLE FROM d_pool p
+   WHERE p.pool = 'primary' AND p.route = 'registered' AND p.stratum = d.language || ':all') AS registered
+FROM d_scored d LEFT JOIN (SELECT document_id, max(raw_score) AS m FROM d_segments GROUP BY ALL) g USING (document_id)
+LEFT JOIN (SELECT document_id, max(strength) AS m FROM d_masked WHERE scenario = 'a_and_b' GROUP BY ALL) e USING (document_id)
+WHERE d.split = 'dev' AND len(d.parent_ids) = 1)
+"""
+
+
+@register(
+    "a31_calibrated_scores",
+    query(f"SELECT document_id, marked, round(generic, 9) AS generic, round(registered, 9) AS registered FROM {CALIBRATED}"),
+)
+def a31(spark, sf):
+    return calibrated_scores(spark, sf).select("document_id", "marked", r9("generic"), r9("registered"))
+
+
+@register(
+    "a20_fusion_weight",
+    query(f"""
+SELECT weight, round(auroc, 9) AS auroc, row_number() OVER (ORDER BY round(auroc, 12) DESC, round(abs(weight - 0.5), 12), weight) = 1 AS selected
+FROM (SELECT weight, (sum(rk) FILTER (marked) - count(*) FILTER (marked) * (count(*) FILTER (marked) + 1) / 2.0::DOUBLE)
+    / (count(*) FILTER (marked) * count(*) FILTER (NOT marked)) AS auroc
+  FROM (SELECT weight, marked, rank() OVER (PARTITION BY weight ORDER BY v) + (count(*) OVER (PARTITION BY weight, v) - 1) / 2.0::DOUBLE AS rk
+    FROM (SELECT i / 20::DOUBLE AS weight, marked, round(i / 20::DOUBLE * generic + (1.0::DOUBLE - i / 20::DOUBLE) * registered, 12) AS v
+      FROM {CALIBRATED}, range(21) AS w(i))) GROUP BY ALL)
+"""),
+)
+def a20(spark, sf):
+    from ..operators import selection
+
+    sweep = selection.fusion_sweep(
+        calibrated_scores(spark, sf), generic="generic", registered="registered", positive=F.col("marked")
+    )
+    return sweep.select("weight", r9("auroc"), "selected")
+
+
+@register(
+    "f2_repetition_ratio",
+    """
+SELECT doc_id, round(CASE WHEN n_chars < 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - count(DISTINCT g)::DOUBLE / count(g) END, 9) AS repetition
+FROM (SELECT doc_id, n_chars, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w AS g FROM (
+  SELECT doc_id, n_chars, unnest(string_split(text, '')) AS c, unnest(range(n_chars)) AS pos FROM documents)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY doc_id, n_chars
+""",
+)
+def f2(spark, sf):
+    docs = corpus.read(spark, sf, "documents")
+    return docs.select("doc_id", F.round(repetition_ratio("text"), 9).alias("repetition"))
+
+
+@register(
+    "f3_normalized_entropy",
+    """
+SELECT doc_id, CASE WHEN sum(c) < 2 THEN NULL WHEN count(*) < 2 THEN 0.0::DOUBLE
+  ELSE round(-sum((c / t) * ln(c / t)) / ln(count(*)), 9) END AS entropy
+FROM (SELECT doc_id, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS t FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^""" + WS[1:-1] + """]+')) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id
+""",
+)
+def f3(spark, sf):
+    from ..operators.charmap import normalized_entropy, words
+
+    ent = normalized_entropy(words(corpus.read(spark, sf, "documents")), "doc_id", "word")
+    return ent.select("doc_id", r9("entropy"))
+
+
+@register(
+    "f4_validity",
+    query("""
+SELECT document_id, CASE WHEN x <> '' THEN 'fail' ELSE 'pass' END AS status, x AS reasons FROM (
+  SELECT document_id, concat_ws(',', CASE WHEN effective_length < 300 THEN 'insufficient_effective_length' END,
+    CASE WHEN language NOT IN ('en', 'de', 'es') THEN 'unsupported_language' END,
+    CASE WHEN repetition > 0.35::DOUBLE THEN 'excessive_repetition' END) AS x FROM d_scored)
+"""),
+)
+def f4(spark, sf):
+    docs = searched(spark, sf).withColumn(
+        "r",
+        decision.validity_reasons(
+            effective_length=F.col("effective_length"), coverage=F.col("mapping_coverage"), language=F.col("language"),
+            repetition=F.col("repetition"), languages=("en", "de", "es"), minimum_length=300,
+        ),
+    )
+    return docs.select(
+        "document_id", decision.validity_status(F.col("r")).alias("status"), F.array_join("r", ",").alias("reasons")
+    )
+
+
 @register(
     "a32_attribution_documents",
     query("""
@@ -22,8 +523,7 @@ SELECT document_id, document_label, round(generic_p, 9) AS generic_p, round(regi
 def a32(spark, sf):
     _, docs = A.decisions(spark, sf)
     return docs.select(
-        "document_id", "document_label", F.round("generic_p", 9).alias("generic_p"),
-        F.round("registered_p", 9).alias("registered_p"), F.round("gap_p", 9).alias("gap_p"), "candidate_count",
+        "document_id", "document_label", r9("generic_p"), r9("registered_p"), r9("gap_p"), "candidate_count",
         "registered_test_count", F.size("predicted_intervals").cast("bigint").alias("accepted_spans"),
     )
 
@@ -39,8 +539,35 @@ FROM d_decided WHERE scenario = 'a_and_b'
 def a27(spark, sf):
     segs, _ = A.decisions(spark, sf)
     return segs.select(
-        "document_id", "candidate_id", F.col("char_start").cast("bigint").alias("char_start"),
-        F.col("char_end").cast("bigint").alias("char_end"), "label",
-        F.array_join("abstain_reasons", ",").alias("abstain_reasons"), F.round("gap_score", 9).alias("gap_score"),
-        F.round("best_registered_p", 9).alias("best_registered_p"),
+        "document_id", "candidate_id", big("char_start"), big("char_end"), "label",
+        F.array_join("abstain_reasons", ",").alias("abstain_reasons"), r9("gap_score"), r9("best_registered_p"),
+    )
+
+
+@register(
+    "a27_segment_decisions_per_item",
+    query("""
+SELECT document_id, candidate_id, label, abstain AS abstain_reasons, round(best_p, 9) AS best_registered_p
+FROM d_decided_item WHERE scenario = 'a_and_b'
+"""),
+)
+def a27b(spark, sf):
+    segs, _ = A.decisions(spark, sf, A.Settings(per_item_p=True))
+    return segs.select(
+        "document_id", "candidate_id", "label", F.array_join("abstain_reasons", ",").alias("abstain_reasons"),
+        r9("best_registered_p"),
+    )
+
+
+@register(
+    "a28_document_decisions",
+    query("SELECT scenario, document_id, document_label, document_label IN ('known_scheme_known_key', "
+          "'known_scheme_unknown_key', 'suspected_unknown_scheme') AS any_accept, label_set, round(registered_p, 9) AS registered_p "
+          "FROM d_doc_decided_item"),
+)
+def a28(spark, sf):
+    _, docs = A.decisions(spark, sf, A.Settings(per_item_p=True), evidence.SCENARIOS)
+    return docs.select(
+        "scenario", "document_id", "document_label", "any_accept",
+        F.array_join(F.array_sort("label_set"), ",").alias("label_set"), r9("registered_p"),
     )

@@ -201,15 +201,24 @@ UNION ALL SELECT text_sha256, marked, 0, 0 FROM d_texts
 """,
 )
 cte(
-    "d_windows",
+    "d_starts",
     """
-SELECT w.text_sha256, w.marked, w.len, w.start, w.start + w.len AS stop, b.total - a.total AS total
-FROM (SELECT DISTINCT text_sha256, marked, len, unnest(list_append(range(0, n - len + 1, len // 4), n - len)) AS start
-      FROM d_texts, (VALUES (256), (512), (1024)) AS l(len) WHERE n >= len) w
-JOIN d_prefix a ON a.text_sha256 = w.text_sha256 AND a.marked = w.marked AND a.pos = w.start
-JOIN d_prefix b ON b.text_sha256 = w.text_sha256 AND b.marked = w.marked AND b.pos = w.start + w.len
+SELECT DISTINCT text_sha256, marked, len, unnest(list_append(range(0, n - len + 1, len // 4), n - len)) AS start
+FROM d_texts, (VALUES (256), (512), (1024)) AS l(len) WHERE n >= len
 """,
 )
+cte(
+    "d_edges",
+    """
+SELECT e.text_sha256, e.marked, e.len, e.start, sum(CASE WHEN e.upper THEN p.total ELSE -p.total END)::BIGINT AS total
+FROM d_prefix p JOIN (
+  SELECT text_sha256, marked, len, start, start AS pos, false AS upper FROM d_starts
+  UNION ALL SELECT text_sha256, marked, len, start, start + len, true FROM d_starts) e
+  ON p.text_sha256 = e.text_sha256 AND p.marked = e.marked AND p.pos = e.pos
+GROUP BY ALL
+""",
+)
+cte("d_windows", "SELECT text_sha256, marked, len, start, start + len AS stop, total FROM d_edges")
 cte(
     "d_cuts",
     """
