@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_hash, hash_unit
 from ..functions.text import repetition_ratio
 from ..operators import calibration, decision, evidence, spans
 from ..plans import attribution as A
 from ..plans import corpus
-from ..schemas import ROUTES
-from .oracle import WS, query, unit
+from .oracle import WS, query
 from .registry import register
 
 
@@ -25,11 +23,12 @@ def r9(name: str, alias: str | None = None):
 @register(
     "f11_character_scores",
     """
-SELECT doc_id, count(*) AS n, sum(num)::BIGINT AS total, sum(num * (pos % 97))::BIGINT AS checksum, max(num)::BIGINT AS top,
-  any_value(eff)::BIGINT AS effective_length
-FROM (SELECT doc_id, pos, eff, (unicode(c)::BIGINT * 1103515245 + pos * 12345) & 65535 AS num FROM (
-  SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(n_chars)) AS pos,
-    length(regexp_replace(text, '""" + WS + """', '', 'g')) AS eff FROM documents WHERE n_chars > 0)) GROUP BY ALL
+SELECT doc_id, n, total, checksum, top, length(regexp_replace(text, '""" + WS + """', '', 'g'))::BIGINT AS effective_length
+FROM documents JOIN (
+  SELECT doc_id, count(*) AS n, sum(num)::BIGINT AS total, sum(num * (pos % 97))::BIGINT AS checksum, max(num)::BIGINT AS top
+  FROM (SELECT doc_id, pos, (unicode(c)::BIGINT * 1103515245 + pos * 12345) & 65535 AS num FROM (
+    SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(n_chars)) AS pos FROM documents WHERE n_chars > 0))
+  GROUP BY ALL) USING (doc_id)
 """,
 )
 def f11(spark, sf):
@@ -109,9 +108,7 @@ GROUP BY ALL
 )
 def w7(spark, sf):
     docs = searched(spark, sf)
-    a = docs.select("document_id", F.inline("candidates")).select("document_id", "char_start", "char_end")
     ev = evidence.search_intervals(docs, length=F.col("text_length")).select("document_id", "char_start", "char_end")
-    del a
     truth = docs.select("document_id", F.inline("watermark_intervals"))
     merged = spans.merge_long(ev.unionByName(truth), "document_id")
     return merged.select("document_id", big("island"), big("char_start"), big("char_end"), "members")
@@ -479,8 +476,9 @@ def f2(spark, sf):
     """
 SELECT doc_id, CASE WHEN sum(c) < 2 THEN NULL WHEN count(*) < 2 THEN 0.0::DOUBLE
   ELSE round(-sum((c / t) * ln(c / t)) / ln(count(*)), 9) END AS entropy
-FROM (SELECT doc_id, w, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id)::DOUBLE AS t FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^""" + WS[1:-1] + """]+')) AS w FROM documents) GROUP BY ALL) GROUP BY doc_id
+FROM (SELECT doc_id, c, sum(c) OVER (PARTITION BY doc_id)::DOUBLE AS t FROM (SELECT doc_id, w, count(*) AS c FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[^""" + WS[1:-1] + """]+')) AS w FROM documents) GROUP BY doc_id, w))
+GROUP BY doc_id
 """,
 )
 def f3(spark, sf):
