@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import array_sum, let
+from ..session import ensure_checkpoint_dir
 from .ordered import with_scalars
 
 
@@ -185,10 +186,14 @@ def fit_perceptron(df: DataFrame, *, vector: str, label: str, inputs: int, class
 
 def fit_boosted_trees(df: DataFrame, *, vector: str, label: str, classes: int = 2, trees: int = 300, depth: int = 4,
                       step: float = 0.05, subsample: float = 0.8, seed: int = 20260813):
-    """Gradient-boosted trees; one-versus-rest beyond two classes."""
+    """Gradient-boosted trees; one-versus-rest beyond two classes.
+
+    Each round builds on the last, so lineage is cut by a checkpoint every ten rounds.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     tree = GBTClassifier(
         maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed,
-        featuresCol="features_raw", featureSubsetStrategy="0.8", checkpointInterval=-1,
+        featuresCol="features_raw", featureSubsetStrategy="0.8", checkpointInterval=10,
     )
     model = tree if classes == 2 else OneVsRest(classifier=tree, featuresCol="features_raw")
     return Pipeline(stages=[model]).fit(_prepared(df, vector, label))

@@ -86,14 +86,12 @@ def fill_nearest(runs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     A gap between covered runs splits at its middle; a document without any covered character fails.
     """
+    # Every run edge is the edge of a valid token or of the text, so a gap's neighbours are covered runs.
     order = Window.partitionBy(key).orderBy("char_start")
-    back = order.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = order.rowsBetween(1, Window.unboundedFollowing)
-    kept = lambda c: F.when(F.col("covered"), F.col(c))
     around = runs.withColumns(
         {
-            "_lv": F.last(kept("value"), True).over(back), "_le": F.last(kept("char_end"), True).over(back),
-            "_rv": F.first(kept("value"), True).over(ahead), "_rs": F.first(kept("char_start"), True).over(ahead),
+            "_lv": F.lag("value").over(order), "_le": F.lag("char_end").over(order),
+            "_rv": F.lead("value").over(order), "_rs": F.lead("char_start").over(order),
         }
     )
     last, right = F.col("_le") - 1, F.col("_rs")

@@ -56,3 +56,9 @@ def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame
 def forget_shared_tables() -> None:
     """Drop the registry of written tables; the next query builds them afresh."""
     _SHARED.clear()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Give iterative MLlib fits a checkpoint folder where the cluster has not named one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
