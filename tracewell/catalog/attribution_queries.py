@@ -8,6 +8,7 @@ from ..functions.text import repetition_ratio
 from ..operators import calibration, decision, evidence, spans
 from ..plans import attribution as A
 from ..plans import corpus
+from ..session import spread
 from .oracle import WS, query
 from .registry import register
 
@@ -32,7 +33,7 @@ FROM documents JOIN (
 """,
 )
 def f11(spark, sf):
-    docs = corpus.read(spark, sf, "documents").where("n_chars > 0").withColumn("watermark_family", F.lit(None).cast("string"))
+    docs = corpus.texts(spark, sf).where("n_chars > 0").withColumn("watermark_family", F.lit(None).cast("string"))
     scored = corpus.with_scores(docs)
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
     return scored.select(
@@ -55,7 +56,7 @@ def searched(spark, sf):
 def w6(spark, sf):
     docs = corpus.rows(spark, sf).where("status = 'generated'")
     null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
-    docs = corpus.with_scores(docs.where(null | F.col("split").isin("dev", "test")))
+    docs = corpus.with_scores(spread(docs.where(null | F.col("split").isin("dev", "test")), "recipe_id"))
     from ..functions.arrays import let
 
     raw = docs.select("recipe_id", F.inline(let(F.col("scores"), lambda s: spans.raw_windows(s, integral=True))))
@@ -75,7 +76,7 @@ def w6(spark, sf):
 def w8(spark, sf):
     docs = corpus.rows(spark, sf).where("status = 'generated'")
     null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
-    docs = corpus.with_scores(docs.where(null | F.col("split").isin("dev", "test")))
+    docs = corpus.with_scores(spread(docs.where(null | F.col("split").isin("dev", "test")), "recipe_id"))
     found = spans.with_candidates(docs, unit=65535.0, refine_quantile=None)
     return found.select(F.col("recipe_id").alias("document_id"), F.inline("candidates")).select(
         "document_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score")
@@ -216,7 +217,7 @@ FROM (SELECT doc_id, len(regexp_extract_all(text, '[^""" + WS[1:-1] + """]+')) A
 def p11(spark, sf):
     from ..functions.text import word_count
 
-    docs = corpus.read(spark, sf, "documents").select(
+    docs = corpus.texts(spark, sf).select(
         "doc_id", F.lit("full-text").alias("candidate_id"), F.lit("full_text").alias("interval_role"),
         word_count("text").alias("detector_token_count"),
     )
@@ -467,7 +468,7 @@ FROM (SELECT doc_id, n_chars, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lea
 """,
 )
 def f2(spark, sf):
-    docs = corpus.read(spark, sf, "documents")
+    docs = corpus.texts(spark, sf)
     return docs.select("doc_id", F.round(repetition_ratio("text"), 9).alias("repetition"))
 
 
@@ -484,7 +485,7 @@ GROUP BY doc_id
 def f3(spark, sf):
     from ..operators.charmap import normalized_entropy, words
 
-    ent = normalized_entropy(words(corpus.read(spark, sf, "documents")), "doc_id", "word")
+    ent = normalized_entropy(words(corpus.texts(spark, sf)), "doc_id", "word")
     return ent.select("doc_id", r9("entropy"))
 
 

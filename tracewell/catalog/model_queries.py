@@ -23,7 +23,7 @@ def r9(name, alias=None):
 
 def token_values(spark, sf):
     """Tokens with a deterministic value; every seventh token is unusable."""
-    toks = charmap.tokens(corpus.read(spark, sf, "documents"))
+    toks = charmap.tokens(corpus.texts(spark, sf))
     return toks.withColumns(
         {
             "valid": F.col("token_index") % 7 != 0,
@@ -34,7 +34,7 @@ def token_values(spark, sf):
 
 def long_enough(spark, sf):
     """Documents with at least two tokens, hence with at least one usable one."""
-    docs = corpus.read(spark, sf, "documents")
+    docs = corpus.texts(spark, sf)
     return docs.where(F.regexp_count("text", F.lit(charmap.WORD)) >= 2)
 
 
@@ -116,7 +116,7 @@ def j13(spark, sf):
 
 @register("j14_normalized_spans")
 def j14(spark, sf):
-    docs = corpus.read(spark, sf, "documents")
+    docs = corpus.texts(spark, sf)
     maps = charmap.with_boundary_map(docs)
     toks = charmap.tokens(docs).join(maps, "doc_id").join(docs.select("doc_id", "n_chars"), "doc_id")
     span = charmap.raw_span(F.col("runs"), F.col("char_start"), F.col("char_end"), F.col("n_chars").cast("int"))
@@ -152,7 +152,7 @@ def window_scores(spark, sf):
     """Token scores of three models over half-overlapping windows of 64 tokens."""
     k = F.floor(F.col("token_index") / 32).cast("int")
     places = F.filter(F.array(k - 1, k), lambda w: w >= 0)
-    long = charmap.tokens(corpus.read(spark, sf, "documents")).select("doc_id", "token_index", F.explode(places).alias("window"))
+    long = charmap.tokens(corpus.texts(spark, sf)).select("doc_id", "token_index", F.explode(places).alias("window"))
     long = long.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("model"))
     return long.withColumn("score", hash_unit(stable_hash(SEED, "doc_id", "model", "window", "token_index")))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import repetition_ratio, word_count
 from ..operators import calibration, decision, evidence, spans
 from ..operators.evidence import POOLS, SCENARIOS, Scenario
-from ..session import shared_table, staged
+from ..session import shared_table, spread, staged
 from . import corpus
 
 
@@ -77,7 +77,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         rows = corpus.rows(spark, sf_dir).where(F.col("status") == "generated")
         null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
-        return search_documents(rows.where(null | F.col("split").isin("dev", "test")))
+        searchable = rows.where(null | F.col("split").isin("dev", "test"))
+        return search_documents(spread(searchable, "recipe_id"))
 
     return shared_table(spark, sf_dir, "scored", build)
 

@@ -11,7 +11,7 @@ from ..functions.text import visible_length
 from ..operators import assembly, planning
 from ..operators.ordered import hash_rank
 from ..schemas import SEED
-from ..session import shared_table
+from ..session import shared_table, spread
 
 # Fixed values of the test corpus: minimum parent length and cumulative split bounds in thousandths.
 MINIMUM_PARENT = 256
@@ -22,6 +22,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ready for character-level work: spread over all cores whatever the file layout."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parent per distinct text (lowest id), split by hash rank inside its language. No text."""
     docs = read(spark, sf_dir, "documents").where(F.col("n_chars") >= MINIMUM_PARENT)
@@ -53,8 +58,8 @@ def slotted_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return slotted_parents(spark, sf_dir).join(texts, "doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return slotted_parents(spark, sf_dir).join(docs, "doc_id")
 
 
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +76,12 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = recipes(spark, sf_dir)
-    texts = parent_texts(spark, sf_dir)
-    base = assembly.base_rows(plan.where(F.col("kind") == "base_generation"), texts)
-    # An attack's base row carries its parent's text, so the parent join supplies it directly.
+    with_text = parent_texts(spark, sf_dir)
+    base = assembly.base_rows(plan.where(F.col("kind") == "base_generation"), with_text)
     attacks = plan.where(F.col("kind") == "matched_attack")
     base_text = base.select("recipe_id", "text", "source", "language")
     attacked = assembly.attack_rows(attacks, base_text)
-    mixed = assembly.mixed_rows(plan.where(F.col("kind") == "mixed_document"), texts)
+    mixed = assembly.mixed_rows(plan.where(F.col("kind") == "mixed_document"), with_text)
     out = base.unionByName(attacked, allowMissingColumns=True)
     return out.unionByName(mixed, allowMissingColumns=True)
 

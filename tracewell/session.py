@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 _SHARED: dict[tuple[str, str, str], str] = {}
@@ -53,6 +54,19 @@ def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame
     return spark.read.parquet(_SHARED[key])
 
 
+def spread(scan: DataFrame, key: str, per_core: int = 4) -> DataFrame:
+    """Rows of a scan over enough partitions for compute-heavy columns.
+
+    A table with as many splits as the cluster can use is returned untouched (no shuffle). Only a scan
+    with few row groups, such as a single small file, is hashed by ``key`` to occupy every core.
+    Use it on scans with filters and projections only.
+    """
+    want = per_core * scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= want:
+        return scan
+    return scan.repartition(want, F.xxhash64(key))
+
+
 def forget_shared_tables() -> None:
     """Drop the registry of written tables; the next query builds them afresh."""
     _SHARED.clear()
