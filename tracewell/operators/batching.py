@@ -58,7 +58,7 @@ def pack_batches(
     place = F.conv(F.rpad(F.left(F.hex(F.col(parent)), F.lit(14)), 14, "0"), 16, 10).cast("bigint")
     placed = sizes.withColumn("_at", place)
     bounds = placed.groupBy(split).agg(
-        F.array_distinct(F.percentile_approx("_at", [i / buckets for i in range(1, buckets)], 2000)).alias("_b")
+        F.array_distinct(F.percentile_approx("_at", [i / max(buckets, 2) for i in range(1, max(buckets, 2))], 2000)).alias("_b")
     )
     keyed = placed.join(bounds, split).withColumn(
         "_bucket", F.size(F.filter("_b", lambda b: b <= F.col("_at")))

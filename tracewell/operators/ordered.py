@@ -137,7 +137,7 @@ def distinct_running(
     names = list(measures)
     merged = df.groupBy(*keys, value).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in measures.items()])
     # One mergeable sketch per key gives bucket boundaries (they only affect balance) beside the totals.
-    probabilities = [i / buckets for i in range(1, buckets)]
+    probabilities = [i / max(buckets, 2) for i in range(1, max(buckets, 2))]
     stats = merged.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, probabilities, 2000)).alias("_bounds"),
         *[F.sum(n).cast("bigint").alias(f"all_{n}") for n in names],
