@@ -8,7 +8,7 @@ from ..functions.text import repetition_ratio
 from ..operators import calibration, decision, evidence, spans
 from ..plans import attribution as A
 from ..plans import corpus
-from ..session import spread
+from ..session import spread, staged
 from .oracle import WS, query
 from .registry import register
 
@@ -413,9 +413,11 @@ def calibrated_scores(spark, sf, split="dev"):
     keys = {"stratum": F.col("stratum")}
     out = calibration.attach_p(base, pool.where("route = 'generic'"), keys, value="generic_max", out="gp")
     out = calibration.attach_p(out, pool.where("route = 'registered'"), keys, value="registered_max", out="rp")
-    return out.select(
+    scores = out.select(
         "document_id", "marked", (1.0 - F.col("gp")).alias("generic"), (1.0 - F.col("rp")).alias("registered")
     )
+    # Written once: the weight sweep reads them several times.
+    return staged(scores, "calibrated-scores")
 
 
 CALIBRATED = """

@@ -21,9 +21,8 @@ def r9(name, alias=None):
     return F.round(F.col(name), 9).alias(alias or name)
 
 
-def token_values(spark, sf):
+def valued(toks):
     """Tokens with a deterministic value; every seventh token is unusable."""
-    toks = charmap.tokens(corpus.texts(spark, sf))
     return toks.withColumns(
         {
             "valid": F.col("token_index") % 7 != 0,
@@ -72,9 +71,8 @@ LEFT JOIN d_cover c ON c.doc_id = a.doc_id AND c.pos = a.pos
 
 
 def runs(spark, sf):
-    docs = long_enough(spark, sf).select("doc_id", F.col("n_chars").cast("int").alias("n_chars"))
-    toks = token_values(spark, sf).join(docs.select("doc_id"), "doc_id", "left_semi")
-    return charmap.covered_runs(toks, docs)
+    docs = long_enough(spark, sf)
+    return charmap.covered_runs(valued(charmap.tokens(docs)), docs.select("doc_id", "n_chars"))
 
 
 @register(

@@ -381,12 +381,13 @@ def j16b(spark, sf):
 
 @register(
     "j16_readopt_outputs",
-    """SELECT vec_id::VARCHAR AS recipe_id, CASE WHEN vec_id % 5 = 0 THEN 'unknown_id' ELSE 'adopted' END AS outcome
-FROM embeddings WHERE vec_id % 3 <> 0""",
+    """SELECT vec_id::VARCHAR AS recipe_id, CASE WHEN label = 9 THEN 'unknown_id' ELSE 'adopted' END AS outcome
+FROM embeddings WHERE label > 2""",
 )
 def j16c(spark, sf):
-    outputs = corpus.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("recipe_id"), F.col("embedding").alias("values"), "vec_id")
-    return assembly.readopt(outputs.drop("vec_id"), outputs.where("vec_id % 3 = 0"), outputs.where("vec_id % 5 <> 0"))
+    outputs = corpus.read(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("recipe_id"), F.col("embedding").alias("values"), "label")
+    # The manifest already lists the outputs of labels 0 to 2; label 9 was never selected.
+    return assembly.readopt(outputs.drop("label"), outputs.where("label <= 2"), outputs.where("label <> 9"))
 
 
 @register(

@@ -61,21 +61,26 @@ def covered_runs(token_values: DataFrame, lengths: DataFrame, key: str = "doc_id
         F.col(at).alias("pos"), (F.col("value") * sign).alias("dv"), F.lit(sign).alias("dc")
     )
     edges = live.select(key, F.inline(F.array(edge("char_start", 1), edge("char_end", -1))))
-    zero = lambda at: F.struct(at.cast("int").alias("pos"), F.lit(0.0).alias("dv"), F.lit(0).alias("dc"))
+    edges = edges.withColumn("n", F.lit(None).cast("int"))
+    zero = lambda at: F.struct(
+        at.cast("int").alias("pos"), F.lit(0.0).alias("dv"), F.lit(0).alias("dc"),
+        F.col("n_chars").cast("int").alias("n"),
+    )
     rims = lengths.select(key, F.inline(F.array(zero(F.lit(0)), zero(F.col("n_chars")))))
-    steps = edges.unionByName(rims).groupBy(key, "pos").agg(F.sum("dv").alias("dv"), F.sum("dc").alias("dc"))
+    steps = edges.unionByName(rims).groupBy(key, "pos").agg(
+        F.sum("dv").alias("dv"), F.sum("dc").alias("dc"), F.max("n").alias("n")
+    )
     order = Window.partitionBy(key).orderBy("pos")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     stepped = steps.select(
         key, F.col("pos").alias("char_start"), F.lead("pos").over(order).alias("char_end"),
-        F.sum("dv").over(run).alias("_v"), F.sum("dc").over(run).alias("covers"),
+        F.sum("dv").over(run).alias("_v"), F.sum("dc").over(run).alias("covers"), F.max("n").over(run).alias("n"),
     ).where(F.col("char_end").isNotNull())
-    checked = stepped.join(lengths.select(key, "n_chars"), key)
     beyond = F.raise_error(F.lit("token offset beyond the text")).cast("int")
-    return checked.select(
+    return stepped.select(
         key,
         "char_start",
-        F.when(F.col("char_end") > F.col("n_chars"), beyond).otherwise(F.col("char_end")).alias("char_end"),
+        F.when(F.col("char_end") > F.col("n"), beyond).otherwise(F.col("char_end")).alias("char_end"),
         F.when(F.col("covers") > 0, F.col("_v") / F.col("covers")).alias("value"),
         (F.col("covers") > 0).alias("covered"),
     )

@@ -17,20 +17,33 @@ def key_hash(family: Column, slot: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(family, F.lit("_key_"), slot), 256))
 
 
-def search_intervals(df: DataFrame, *, document: str = "document_id", length: Column | None = None) -> DataFrame:
-    """Candidates of each document plus its full text, unless a candidate already spans it."""
+def search_intervals(
+    df: DataFrame, *, length: Column | None = None, tokens: Column | None = None
+) -> DataFrame:
+    """Candidates of each document plus its full text, unless a candidate already spans it.
+
+    With ``tokens`` (the document's token count) candidates must carry their own ``tokens`` too; both
+    become ``detector_token_count``.
+    """
     n = F.length("text") if length is None else length
+
+    def interval(name: Column, start: Column, end: Column, role: str, count: Column | None) -> Column:
+        parts = [
+            name.alias("candidate_id"), start.alias("char_start"), end.cast("int").alias("char_end"),
+            F.lit(role).alias("interval_role"),
+        ]
+        if tokens is not None:
+            parts.append(count.cast("int").alias("detector_token_count"))
+        return F.struct(*parts)
+
     short = F.transform(
         "candidates",
-        lambda c: F.struct(
-            c["candidate_id"].alias("candidate_id"), c["char_start"].alias("char_start"),
-            c["char_end"].alias("char_end"), F.lit("candidate").alias("interval_role"),
+        lambda c: interval(
+            c["candidate_id"], c["char_start"], c["char_end"], "candidate",
+            c["tokens"] if tokens is not None else None,
         ),
     )
-    full = F.struct(
-        F.lit("full-text").alias("candidate_id"), F.lit(0).alias("char_start"),
-        n.cast("int").alias("char_end"), F.lit("full_text").alias("interval_role"),
-    )
+    full = interval(F.lit("full-text"), F.lit(0), n, "full_text", tokens)
     covered = F.exists("candidates", lambda c: (c["char_start"] == 0) & (c["char_end"] == n))
     intervals = F.when(covered, short).otherwise(F.concat(short, F.array(full)))
     keep = [c for c in df.columns if c not in ("candidates", "text")]

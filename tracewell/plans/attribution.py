@@ -92,13 +92,9 @@ def derive_evidence(docs: DataFrame) -> DataFrame:
     keep = ["document_id", "split", "watermark_family", "watermark_families", "key_id", "key_ids", "tokens"]
     intervals = evidence.search_intervals(
         docs.withColumn("_n", F.col("text_length")).select(*keep, "_n", "candidates"),
-        length=F.col("_n"),
+        length=F.col("_n"), tokens=F.col("tokens"),
     )
-    counts = docs.select("document_id", F.inline("candidates")).select(
-        "document_id", "candidate_id", F.col("tokens").alias("_tokens")
-    )
-    sized = intervals.join(counts, ["document_id", "candidate_id"], "left")
-    tests = evidence.expand_tests(sized, scheme_only=True)
+    tests = evidence.expand_tests(intervals, scheme_only=True)
     family, slot = F.col("scheme_family"), F.col("key_slot")
     raw = F.when(
         F.col("key_status") == "registered",
@@ -106,10 +102,7 @@ def derive_evidence(docs: DataFrame) -> DataFrame:
             F.col("document_id"), F.col("char_start"), F.col("char_end"), family, slot
         ),
     ).otherwise(corpus.mechanism_statistic(F.col("document_id"), family))
-    measured = tests.withColumns(
-        {"raw_statistic": raw, "detector_token_count": F.coalesce("_tokens", "tokens")}
-    )
-    gated = evidence.gate_tokens(measured)
+    gated = evidence.gate_tokens(tests.withColumn("raw_statistic", raw))
     keyed = evidence.orient(gated)
     # A key-free probe is upper-tailed for every family.
     probe = F.col("key_status") == "scheme_only"
@@ -145,14 +138,15 @@ def segments_of(docs: DataFrame) -> DataFrame:
 
 def segment_items(docs: DataFrame, ev: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
     """Applicable evidence rows per scenario and candidate."""
-    seen = evidence.mask_evidence(usable(ev), scenarios).select(
-        "scenario", "pool", "document_id", "candidate_id", "char_start", "char_end", "interval_role",
-        "scheme_family", "key_status", "applicability", "strength",
+    rows = usable(ev).select(
+        "document_id", "candidate_id", "char_start", "char_end", "interval_role", "scheme_family", "key_status",
+        "key_id_hash", "applicability", "strength",
     )
     places = docs.select("document_id", F.inline("candidates")).select(
         "document_id", "candidate_id", "char_start", "char_end"
     )
-    return evidence.evidence_for_candidates(places, seen)
+    # Scenarios multiply the rows, so they come after the joins have moved each row once.
+    return evidence.mask_evidence(evidence.evidence_for_candidates(places, rows), scenarios)
 
 
 def generic_maximum() -> Column:
