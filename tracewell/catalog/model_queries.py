@@ -83,12 +83,8 @@ SELECT c.doc_id, count(*) AS covered_chars, round(count(*)::DOUBLE / any_value(d
 """),
 )
 def j12(spark, sf):
-    r = runs(spark, sf)
-    total = r.where("covered").groupBy("doc_id").agg(
-        F.round(F.sum(F.col("value") * (F.col("char_end") - F.col("char_start"))), 6).alias("total")
-    )
-    cov = charmap.coverage(r).select("doc_id", "covered_chars", r9("mapping_coverage"))
-    return cov.join(total, "doc_id")
+    cov = charmap.coverage(runs(spark, sf))
+    return cov.select("doc_id", "covered_chars", r9("mapping_coverage"), F.round("covered_total", 6).alias("total"))
 
 
 @register(
@@ -99,17 +95,13 @@ SELECT doc_id, count(*) AS n, round(sum(value), 6) AS total, round(sum(value * (
 """),
 )
 def j13(spark, sf):
-    filled = charmap.fill_nearest(runs(spark, sf))
-    gaps = filled.groupBy("doc_id").agg(
-        F.round(F.sum(F.when(~F.col("covered"), F.col("value") * (F.col("char_end") - F.col("char_start")))), 6).alias("filled")
-    )
-    arrays = charmap.expand_runs(filled)
+    arrays = charmap.expand_runs(charmap.fill_nearest(runs(spark, sf)))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    sums = arrays.select(
+    return arrays.select(
         "doc_id", F.size("scores").cast("bigint").alias("n"), F.round(add(F.col("scores")), 6).alias("total"),
         F.round(add(F.transform("scores", lambda v, i: v * (i % 101))), 4).alias("checksum"),
+        F.round("filled_total", 6).alias("filled"),
     )
-    return sums.join(gaps, "doc_id")
 
 
 @register("j14_normalized_spans")

@@ -122,19 +122,25 @@ def fill_nearest(runs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def coverage(runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Share of characters under at least one valid token."""
+    """Share of characters under at least one valid token, and the sum of their values."""
     length = F.col("char_end") - F.col("char_start")
     covered = F.sum(F.when(F.col("covered"), length).otherwise(0))
     return runs.groupBy(key).agg(
-        covered.cast("bigint").alias("covered_chars"), (covered / F.sum(length)).alias("mapping_coverage")
+        covered.cast("bigint").alias("covered_chars"), (covered / F.sum(length)).alias("mapping_coverage"),
+        F.sum(F.when(F.col("covered"), F.col("value") * length)).alias("covered_total"),
     )
 
 
 def expand_runs(runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One score array per document from its runs (bounded by the text's own length)."""
+    """One score array per document from its runs (bounded by the text's own length).
+
+    ``filled_total`` sums the scores that came from a neighbour.
+    """
     sorted_runs = F.array_sort(F.collect_list(F.struct("char_start", "char_end", "value")))
-    return runs.groupBy(key).agg(sorted_runs.alias("_r")).select(
-        key,
+    length = F.col("char_end") - F.col("char_start")
+    filled = F.sum(F.when(~F.col("covered"), F.col("value") * length))
+    return runs.groupBy(key).agg(sorted_runs.alias("_r"), filled.alias("filled_total")).select(
+        key, "filled_total",
         F.flatten(F.transform("_r", lambda r: F.array_repeat(r["value"], r["char_end"] - r["char_start"]))).alias("scores"),
     )
 
