@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
-def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage so that a lost executor replays one table read instead of the span search, and
@@ -36,13 +36,25 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 2_000_000  # of one number each: 16 MB
+
+
+def matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the written one-column table ``ids``.
+
+    The ids travel to the rows only if they are counted to be few; beyond that both sides are shuffled.
+    """
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
     """Build a derived table once per application and input folder, then reuse the written copy."""
     key = (spark.sparkContext.applicationId, scope, name)
