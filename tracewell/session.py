@@ -43,16 +43,16 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 2_000_000  # of one number each: 16 MB
+BROADCAST_ROWS = 2_000_000  # of a number or two: 32 MB
 
 
-def matching(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the written one-column table ``ids``.
+def matching(df: DataFrame, ids: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the written table ``ids`` of just these columns.
 
     The ids travel to the rows only if they are counted to be few; beyond that both sides are shuffled.
     """
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return df.join(F.broadcast(ids) if few else ids, list(key), "left_semi")
 
 
 def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame:
