@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.graph import components
-from tracewell.session import staged
+from tracewell.session import matching, staged
 
 WORDS = 5
 SIMILAR, OUT_OF = 75, 100
@@ -193,9 +193,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("cid").alias("a"), F.col("centre").alias("b")).distinct(), "near-pairs"
     )
     # The sets of compared classes are made again from one text each; repeated rows fall away before that.
-    wanted = classes.join(centred.select("cid").distinct(), "cid", "left_semi").select("cid", "pick")
-    same_row = source["doc_id"].eqNullSafe(wanted["pick.doc_id"]) & (source["text_hash"] == wanted["pick.text_hash"])
-    texts = source.join(wanted, same_row).groupBy("cid").agg(F.first("text").alias("text"))
+    wanted = staged(
+        classes.join(centred.select("cid").distinct(), "cid", "left_semi").select("cid", "pick.*"), "near-wanted"
+    )
+    few = matching(source, staged(wanted.select("text_hash").distinct(), "near-hashes"), "text_hash")
+    same_row = few["doc_id"].eqNullSafe(wanted["doc_id"]) & (few["text_hash"] == wanted["text_hash"])
+    texts = few.join(wanted, same_row).groupBy("cid").agg(F.first("text").alias("text"))
     sets = staged(texts.mapInArrow(_sets, "cid long, shingles binary"), "near-sets")
     links = staged(
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")

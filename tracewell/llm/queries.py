@@ -9,6 +9,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.llm.line_dedup import line_components
+
+    return line_components(_read(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.llm.near_dedup import near_duplicates
 
@@ -16,6 +22,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
