@@ -2,27 +2,130 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.llm.decontamination import contaminated
+from tracewell.llm.language_id import identified
+from tracewell.llm.line_dedup import line_components
+from tracewell.llm.near_dedup import near_duplicates
+from tracewell.llm.packing import packed
+from tracewell.llm.quality import scored
+from tracewell.llm.secret_scan import secret_spans
+from tracewell.llm.topk_search import nearest
+from tracewell.llm.url_filter import judged
+from tracewell.llm.warc import archive_folder, read_archives, write_archives
+
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewell.llm.line_dedup import line_components
+def _fold(id_col: str, folds: int) -> Column:
+    """crc32 of an id as text, modulo the number of folds; null for a null id."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_components(_read(spark, sf_dir, "documents"))
 
 
-def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewell.llm.near_dedup import near_duplicates
+def op2_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), count("random"),
+    )
+
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_read(spark, sf_dir, "pages"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_archives(_read(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_archives(files, with_payload=False)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _read(spark, sf_dir, "labels").where(_fold("doc_id", 3) != 1)
+    held_out = F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return scored(_read(spark, sf_dir, "documents"), labels).select("doc_id", held_out, "score", "predicted")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    found = identified(docs, docs.where(_fold("doc_id", 4) != 2))
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_curve_packing": op2_curve_packing,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
+    "op10_exact_topk": op10_exact_topk,
 }
-ORACLES: dict[str, str] = {}
+
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.vec, c.vec), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to,
+  true AS verified, url
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op10_exact_topk": _TOPK, "op7_warc_round_trip": _WARC}
