@@ -38,13 +38,22 @@ def test_normalised_spans_to_raw(spark):
     assert got[2][0] == (0, 1)
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_packing_is_the_sequential_result_for_any_bucket_count(spark, buckets):
+@pytest.mark.parametrize("ranges", [1, 3, 16])
+def test_packing_is_the_sequential_result_for_any_range_count(spark, ranges):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        packing_is_sequential(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def packing_is_sequential(spark):
     random.seed(8)
     sizes = {(s, f"p{random.randint(0, 10**6)}"): random.randint(1, 9) for s in ("train", "dev") for _ in range(150)}
     rows = [(s, p) for (s, p), n in sizes.items() for _ in range(n)]
     df = spark.createDataFrame(rows, "split string, parent_id string").repartition(6)
-    got = {(r["split"], r["parent_id"]): (r["batch_id"], r["shard"]) for r in batching.pack_batches(df, buckets=buckets).collect()}
+    got = {(r["split"], r["parent_id"]): (r["batch_id"], r["shard"]) for r in batching.pack_batches(df).collect()}
     for split in ("train", "dev"):
         fill, batch = 0, 0
         for (s, p) in sorted(k for k in sizes if k[0] == split):

@@ -49,3 +49,30 @@ def test_exact_quantiles_match_linear_interpolation(spark):
     got = sorted((r["q"], r["quantile"]) for r in exact_quantiles(df, [], "v", 40).collect())
     want = np.quantile(values, [i / 40 for i in range(41)])
     assert np.allclose([q for _, q in got], want)
+
+
+def test_ranges_cut_ids_with_a_long_common_prefix_evenly(spark):
+    from tracewell.operators.ordered import RANGE, in_ranges
+
+    ids = spark.range(100_000).select(F.format_string("document-with-a-long-prefix-%030d", "id").alias("name"))
+    sizes = [r["count"] for r in in_ranges(ids, [], ["name"]).groupBy(RANGE).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    placed = with_running(in_ranges(ids, [], ["name"]), [], F.col(RANGE), [F.col("name")], rank="place")
+    wrong = placed.where(F.col("place") != F.substring("name", -12, 12).cast("long") + 1)
+    assert wrong.count() == 0
+
+
+def test_jsonl_rows_that_are_no_objects_fail(spark, tmp_path):
+    import pytest
+    from pyspark.sql import types as T
+
+    from tracewell.sources.tables import read_jsonl
+
+    schema = T.StructType([T.StructField("a", T.StringType())])
+    (tmp_path / "good.jsonl").write_text('{"a": "x"}\n\n {"a": null}\n')
+    assert [r["a"] for r in read_jsonl(spark, str(tmp_path / "good.jsonl"), schema).collect()] == ["x", None]
+    for n, line in enumerate(('[{"a": "y"}, {"a": "z"}]', "3", '{"a": "x"')):
+        (tmp_path / f"bad{n}.jsonl").write_text(line + "\n")
+        with pytest.raises(Exception):
+            read_jsonl(spark, str(tmp_path / f"bad{n}.jsonl"), schema).collect()

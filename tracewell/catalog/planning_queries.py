@@ -436,7 +436,7 @@ def packed(spark, sf, buckets=8):
         {"parent_id": F.col("parent_ids").getItem(0), "intervention_id": batching.intervention_id()}
     )
     rows = batching.example_columns(rows, language_codes=("en", "de", "es", "fr"))
-    return rows, batching.pack_batches(rows, buckets=buckets)
+    return rows, batching.pack_batches(rows)
 
 
 PACK_HEAD = """,
@@ -715,12 +715,11 @@ def w15(spark, sf):
     query("SELECT split, source, parent_id, row_number() OVER (PARTITION BY split, source ORDER BY parent_id) AS place FROM d_parents"),
 )
 def t1(spark, sf):
-    from ..operators.ordered import with_running
+    from ..operators.ordered import RANGE, in_ranges, with_running
 
-    placed = with_running(
-        corpus.slotted_parents(spark, sf).select("split", "source", "parent_id"), ["split", "source"],
-        F.left("parent_id", F.lit(1)), [F.col("parent_id")], rank="place",
-    )
+    parents = corpus.slotted_parents(spark, sf).select("split", "source", "parent_id")
+    ranged = in_ranges(parents, ["split", "source"], ["parent_id"])
+    placed = with_running(ranged, ["split", "source"], F.col(RANGE), [F.col("parent_id")], rank="place").drop(RANGE)
     return placed.orderBy("split", "source", "parent_id")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SCHEME_CODES
+from .ordered import in_ranges
 
 
 def training_rows(df: DataFrame, *, excluded_families: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +42,7 @@ def intervention_id() -> Column:
 
 
 def pack_batches(
-    rows: DataFrame, *, capacity: int = 20, per_shard: int = 16, buckets: int = 64, split: str = "split",
+    rows: DataFrame, *, capacity: int = 20, per_shard: int = 16, split: str = "split",
     parent: str = "parent_id",
 ) -> DataFrame:
     """Batch and shard number per parent: whole parents in id order, a new batch when the next overflows.
@@ -54,15 +55,7 @@ def pack_batches(
     sizes = rows.groupBy(split, parent).agg(F.count(F.lit(1)).cast("int").alias("size"))
     too_big = F.raise_error(F.concat(F.lit("parent group exceeds the batch size: "), F.col(parent))).cast("int")
     sizes = sizes.withColumn("size", F.when(F.col("size") > capacity, too_big).otherwise(F.col("size")))
-    # Bucket boundaries on a number that grows with the id's byte order; they only affect balance.
-    place = F.conv(F.rpad(F.left(F.hex(F.col(parent)), F.lit(14)), 14, "0"), 16, 10).cast("bigint")
-    placed = sizes.withColumn("_at", place)
-    bounds = placed.groupBy(split).agg(
-        F.array_distinct(F.percentile_approx("_at", [i / max(buckets, 2) for i in range(1, max(buckets, 2))], 2000)).alias("_b")
-    )
-    keyed = placed.join(bounds, split).withColumn(
-        "_bucket", F.size(F.filter("_b", lambda b: b <= F.col("_at")))
-    ).select(split, parent, "size", "_bucket")
+    keyed = in_ranges(sizes, [split], [parent], "_bucket")
     kind = rows.schema[split].dataType.simpleString()
     parent_kind = rows.schema[parent].dataType.simpleString()
 
@@ -83,7 +76,7 @@ def pack_batches(
     )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        # At most buckets x (capacity + 1) rows per split, whatever the number of parents.
+        # At most ranges x (capacity + 1) rows per split, whatever the number of parents.
         step = {(b, s): (f, o) for b, s, f, o in zip(pdf["_bucket"], pdf["start"], pdf["fill"], pdf["opened"], strict=True)}
         fill, batch, out = 0, 0, []
         for bucket in sorted(set(pdf["_bucket"])):

@@ -12,7 +12,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 BUCKET = "_bucket"
+RANGE = "_range"
 
 
 def with_running(
@@ -82,6 +85,16 @@ def with_running(
     return joined.select(*out)
 
 
+def in_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str = RANGE) -> DataFrame:
+    """Rows with the number of the range of (groups, order) they lie in, for use as the bucket of ``with_running``.
+
+    The boundaries are sampled over the full sort key, so ids with a long common prefix or few groups are cut as
+    evenly as any, and their number follows ``spark.sql.shuffle.partitions``. Writing the rows fixes the ranges.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(df.repartitionByRange(ranges, *groups, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a single-row aggregate (broadcast of exactly one row)."""
     keyed = F.broadcast(one_row.withColumn("_one", F.lit(1)))
@@ -123,17 +136,14 @@ def distinct_running(
     *,
     descending: bool = False,
     inclusive: bool = True,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per (keys, value) with each measure, its running sum ``cum_*`` and group total ``all_*``.
 
     Equal values are combined before the shuffle, so a value shared by a third of the rows is one row.
     """
-    if not keys:
-        single = df.withColumn("_all", F.lit(1))
-        return distinct_running(
-            single, ["_all"], value, measures, descending=descending, inclusive=inclusive, buckets=buckets,
-        ).drop("_all")
+    if buckets is None:
+        buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = list(measures)
     merged = df.groupBy(*keys, value).agg(*[F.sum(c).cast("bigint").alias(n) for n, c in measures.items()])
     # One mergeable sketch per key gives bucket boundaries (they only affect balance) beside the totals.
@@ -142,7 +152,7 @@ def distinct_running(
         F.array_distinct(F.percentile_approx(value, probabilities, 2000)).alias("_bounds"),
         *[F.sum(n).cast("bigint").alias(f"all_{n}") for n in names],
     )
-    placed = merged.join(stats, list(keys))
+    placed = merged.join(stats, list(keys)) if keys else with_scalars(merged, stats)
     placed = placed.withColumn(
         "_slot", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))
     ).drop("_bounds")
@@ -160,7 +170,7 @@ def distinct_running(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, steps: int, *, buckets: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, steps: int, *, buckets: int | None = None
 ) -> DataFrame:
     """Exact linear quantiles at i/steps, i = 0..steps, per key, without gathering a group.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, hash_int31, hex_mod, set_digest, stable_hash, text_hash
 from ..schemas import ATTACKS, FAMILIES, PILOT_SLOTS, SEED, SPLITS, WEAK_ATTACKS
-from .ordered import hash_rank, with_running, with_scalars
+from .ordered import RANGE, hash_rank, in_ranges, with_running, with_scalars
 
 
 def eligible(df: DataFrame, *, minimum: int, text: str = "text", key: str = "parent_id") -> DataFrame:
@@ -341,13 +341,11 @@ def recipe_closure(recipes: DataFrame, parent_ids: DataFrame, mixed_ids: DataFra
     return kept.unionByName(recipes.join(mixed_ids, "recipe_id", "left_semi"))
 
 
-def failure_stop(rows: DataFrame, *, maximum_rate: float, prefix: int = 20) -> DataFrame:
+def failure_stop(rows: DataFrame, *, maximum_rate: float) -> DataFrame:
     """First row, in recipe order, at which failures exceed the allowed share of all rows."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     failed = rows.where(F.col("status") == "failed").select("recipe_id")
-    ran = with_running(
-        failed, [], F.left(F.col("recipe_id"), F.lit(prefix)), [F.col("recipe_id")], rank="failures"
-    )
+    ran = with_running(in_ranges(failed, [], ["recipe_id"]), [], F.col(RANGE), [F.col("recipe_id")], rank="failures")
     over = with_scalars(ran, total).where(F.col("failures") / F.col("total") > maximum_rate)
     return over.agg(
         F.min_by("recipe_id", "failures").alias("recipe_id"),

@@ -11,7 +11,11 @@ from pyspark.sql import types as T
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON-lines table; blank lines are skipped and a row that is no object fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    line = F.ltrim("value")
+    refused = F.raise_error(F.concat(F.lit("row is no JSON object: "), F.left("value", F.lit(80))))
+    row = F.when(line.startswith("{"), F.col("value")).otherwise(refused)
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return rows.select(F.from_json(row, schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
