@@ -107,6 +107,12 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.line_components(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_long_tokens_are_compared_whole(spark):
+    links = [f"https://example.org/articles/{name}" for name in ("winter-in-the-hills", "bread-for-beginners", "0f9a81c27d")]
+    got = line_dedup.line_components(frame(spark, ["\n".join(links), " \t" + links[0].upper() + "\r\x0b ", "\t", "\x0c"])).collect()
+    assert {(r["doc_id"], r["line_no"]) for r in got if not r["kept"]} == {(2, 0)}
+
+
 def test_line_dedup_plan_has_no_python(spark, texts):
     plan = line_dedup.line_classes(line_dedup.occurrences(frame(spark, texts), "doc_id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
