@@ -31,12 +31,6 @@ def valued(toks):
     )
 
 
-def long_enough(spark, sf):
-    """Documents with at least two tokens, hence with at least one usable one."""
-    docs = corpus.texts(spark, sf)
-    return docs.where(F.regexp_count("text", F.lit(charmap.WORD)) >= 2)
-
-
 cte(
     "d_tok",
     f"""
@@ -61,7 +55,7 @@ SELECT a.doc_id, a.pos, coalesce(c.value, CASE WHEN a.lp IS NULL THEN a.rv WHEN
   WHEN a.rp - a.pos < a.pos - a.lp THEN a.rv ELSE a.lv END) AS value, c.value IS NOT NULL AS covered
 FROM (SELECT d.doc_id, d.pos, last_value(v.pos IGNORE NULLS) OVER w AS lp, last_value(v.value IGNORE NULLS) OVER w AS lv,
     first_value(v.pos IGNORE NULLS) OVER z AS rp, first_value(v.value IGNORE NULLS) OVER z AS rv
-  FROM (SELECT doc_id, unnest(range(n_chars)) AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM d_cover)) d
+  FROM (SELECT doc_id, unnest(range(n_chars)) AS pos FROM documents) d
   LEFT JOIN d_cover v ON v.doc_id = d.doc_id AND v.pos = d.pos
   WINDOW w AS (PARTITION BY d.doc_id ORDER BY d.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     z AS (PARTITION BY d.doc_id ORDER BY d.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) a
@@ -71,36 +65,66 @@ LEFT JOIN d_cover c ON c.doc_id = a.doc_id AND c.pos = a.pos
 
 
 def runs(spark, sf):
-    docs = long_enough(spark, sf)
+    docs = corpus.texts(spark, sf)
     return charmap.covered_runs(valued(charmap.tokens(docs)), docs.select("doc_id", "n_chars"))
 
 
+def covered(spark, sf):
+    """Coverage of every document; one without a usable token, the empty text included, has none."""
+    found = charmap.coverage(runs(spark, sf))
+    return corpus.texts(spark, sf).select("doc_id").join(found, "doc_id", "left").fillna(0, ["covered_chars", "mapping_coverage"])
+
+
+cte(
+    "d_coverage",
+    """
+SELECT d.doc_id, count(c.pos) AS covered_chars, CASE WHEN any_value(d.n_chars) > 0 THEN count(c.pos)::DOUBLE / any_value(d.n_chars)
+  ELSE 0.0 END AS mapping_coverage, sum(c.value) AS total FROM documents d LEFT JOIN d_cover c USING (doc_id) GROUP BY d.doc_id
+""",
+)
+
+
 @register(
     "j12_token_projection",
     query("""
-SELECT c.doc_id, count(*) AS covered_chars, round(count(*)::DOUBLE / any_value(d.n_chars), 9) AS mapping_coverage,
-  round(sum(value), 6) AS total FROM d_cover c JOIN documents d USING (doc_id) GROUP BY c.doc_id
+SELECT doc_id, covered_chars, round(mapping_coverage, 9) AS mapping_coverage, round(total, 6) AS total FROM d_coverage
 """),
 )
 def j12(spark, sf):
-    cov = charmap.coverage(runs(spark, sf))
-    return cov.select("doc_id", "covered_chars", r9("mapping_coverage"), F.round("covered_total", 6).alias("total"))
+    return covered(spark, sf).select(
+        "doc_id", "covered_chars", r9("mapping_coverage"), F.round("covered_total", 6).alias("total")
+    )
+
+
+@register(
+    "p14_coverage_override",
+    query("""
+SELECT doc_id, round(mapping_coverage, 9) AS mapping_coverage, CASE WHEN mapping_coverage < 0.98 THEN 'uncertain' END AS validity_override
+FROM d_coverage
+"""),
+)
+def p14(spark, sf):
+    return covered(spark, sf).select(
+        "doc_id", r9("mapping_coverage"), coverage_override(F.col("mapping_coverage")).alias("validity_override")
+    )
 
 
 @register(
     "j13_nearest_fill",
     query("""
 SELECT doc_id, count(*) AS n, round(sum(value), 6) AS total, round(sum(value * (pos % 101)), 4) AS checksum,
-  round(sum(value) FILTER (NOT covered), 6) AS filled FROM d_filled GROUP BY ALL
+  round(sum(value) FILTER (NOT covered), 6) AS filled, CASE WHEN count(value) = 0 THEN 'no covered character' END AS violation
+FROM d_filled GROUP BY ALL
 """),
 )
 def j13(spark, sf):
-    arrays = charmap.expand_runs(charmap.fill_nearest(runs(spark, sf)))
+    arrays = charmap.expand_runs(charmap.fill_nearest(runs(spark, sf), strict=False))
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     return arrays.select(
         "doc_id", F.size("scores").cast("bigint").alias("n"), F.round(add(F.col("scores")), 6).alias("total"),
         F.round(add(F.transform("scores", lambda v, i: v * (i % 101))), 4).alias("checksum"),
         F.round("filled_total", 6).alias("filled"),
+        F.when(F.exists("scores", lambda v: v.isNull()), "no covered character").alias("violation"),
     )
 
 
@@ -121,15 +145,14 @@ def j14(spark, sf):
     """
 SELECT count(*) AS documents, 0::BIGINT AS non_finite, round(min(c), 9) AS coverage_minimum, round(avg(c), 9) AS coverage_mean,
   count(*) FILTER (c < 0.98) AS uncertain, 0::BIGINT AS flag_mismatches, 0::BIGINT AS length_mismatches FROM (
-  SELECT doc_id, sum(length(w)) FILTER (i % 7 <> 0)::DOUBLE / any_value(n_chars) AS c FROM (
-    SELECT doc_id, n_chars, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
-      SELECT doc_id, n_chars, regexp_extract_all(text, '[^""" + WS[1:-1] + """]+') AS ws FROM documents) WHERE len(ws) >= 2) GROUP BY ALL)
+  SELECT coalesce(list_sum([length(w) FOR w, i IN ws IF i % 7 <> 1]), 0)::DOUBLE / n_chars AS c FROM (
+    SELECT n_chars, regexp_extract_all(text, '[^""" + WS[1:-1] + """]+') AS ws FROM documents WHERE n_chars > 0))
 """,
 )
 def a23(spark, sf):
     r = runs(spark, sf)
     cov = charmap.coverage(r).withColumn("validity_override", coverage_override(F.col("mapping_coverage")))
-    sized = charmap.expand_runs(charmap.fill_nearest(r)).select("doc_id", F.size("scores").alias("score_length"))
+    sized = charmap.expand_runs(charmap.fill_nearest(r, strict=False)).select("doc_id", F.size("scores").alias("score_length"))
     docs = corpus.read(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("int").alias("text_length"))
     joined = cov.join(sized, "doc_id").join(docs, "doc_id")
     out = charmap.score_qa(joined, ["mapping_coverage"])

@@ -198,26 +198,6 @@ def p8(spark, sf):
     return assembly.split_seal(corpus.rows(spark, sf), ["train", "dev"])
 
 
-@register(
-    "p14_coverage_override",
-    """
-SELECT doc_id, round(c, 9) AS mapping_coverage, CASE WHEN c < 0.98 THEN 'uncertain' END AS validity_override FROM (
-  SELECT doc_id, coalesce(sum(length(w)) FILTER (i % 7 <> 0), 0)::DOUBLE / sum(length(w)) AS c FROM (
-    SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (
-      SELECT doc_id, regexp_extract_all(text, '[^""" + WS[1:-1] + """]+') AS ws FROM documents)) GROUP BY ALL)
-""",
-)
-def p14(spark, sf):
-    from ..operators.charmap import words
-    from ..operators.decision import coverage_override
-
-    ws = F.regexp_extract_all("text", F.lit("[^" + r"\x1c-\x1f\p{IsWhite_Space}" + "]+"), F.lit(0))
-    long = corpus.read(spark, sf, "documents").select("doc_id", F.posexplode(ws).alias("i", "w"))
-    share = F.sum(F.when(F.col("i") % 7 != 0, F.length("w")).otherwise(0)) / F.sum(F.length("w"))
-    cov = long.groupBy("doc_id").agg(share.alias("c"))
-    return cov.select("doc_id", F.round("c", 9).alias("mapping_coverage"), coverage_override(F.col("c")).alias("validity_override"))
-
-
 @register(
     "p15_split_populations",
     query("""

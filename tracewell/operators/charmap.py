@@ -86,10 +86,11 @@ def covered_runs(token_values: DataFrame, lengths: DataFrame, key: str = "doc_id
     )
 
 
-def fill_nearest(runs: DataFrame, key: str = "doc_id") -> DataFrame:
+def fill_nearest(runs: DataFrame, key: str = "doc_id", strict: bool = True) -> DataFrame:
     """Give uncovered stretches the value of the nearest covered character, the left one on ties.
 
-    A gap between covered runs splits at its middle; a document without any covered character fails.
+    A gap between covered runs splits at its middle. A document without any covered character fails; unless
+    ``strict``, it keeps its one run with a null value, for the caller to report.
     """
     # Every run edge is the edge of a valid token or of the text, so a gap's neighbours are covered runs.
     order = Window.partitionBy(key).orderBy("char_start")
@@ -101,8 +102,9 @@ def fill_nearest(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     last, right = F.col("_le") - 1, F.col("_rs")
     middle = F.floor((last + right) / 2).cast("int") + 1
+    bare = F.raise_error(F.lit("no covered character")).cast("int") if strict else F.col("char_end")
     cut = (
-        F.when(F.col("_lv").isNull() & F.col("_rv").isNull(), F.raise_error(F.lit("no covered character")).cast("int"))
+        F.when(F.col("_lv").isNull() & F.col("_rv").isNull(), bare)
         .when(F.col("_lv").isNull(), F.col("char_start"))
         .when(F.col("_rv").isNull(), F.col("char_end"))
         .otherwise(F.least(F.greatest(middle, F.col("char_start")), F.col("char_end")))
