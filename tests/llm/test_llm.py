@@ -113,6 +113,18 @@ def test_long_tokens_are_compared_whole(spark):
     assert {(r["doc_id"], r["line_no"]) for r in got if not r["kept"]} == {(2, 0)}
 
 
+def test_lines_are_alike_by_the_shingles_at_every_character(spark):
+    line = "the harvest of apples in the valley began early this september morning"
+    pairs = [(line, line + "."), ("every second winter the river froze over near the mill", "every second winter the river froze over near the mill >")]
+    for a, b in [*pairs, ("seven c", "seven d")]:
+        x, y = ({t[i : i + 8] for i in range(max(len(t) - 7, 1))} for t in (a, b))
+        got = line_dedup.line_components(frame(spark, [a + "\n" + b])).collect()
+        assert {r["line_no"] for r in got if not r["kept"]} == ({1} if 100 * len(x & y) >= 85 * len(x | y) else set())
+        assert (a, b) not in pairs or 100 * len(x & y) >= 85 * len(x | y)
+    found = {t: spark.createDataFrame([(t,)], "t string").select(line_dedup.shingles(F.col("t"))).first()[0] for t in ("abcdefghij", "abc", "日本語の文章です。")}
+    assert found == {"abcdefghij": ["abcdefgh", "bcdefghi", "cdefghij"], "abc": ["abc"], "日本語の文章です。": ["日本語の文章です", "本語の文章です。"]}
+
+
 def test_line_dedup_plan_has_no_python(spark, texts):
     plan = line_dedup.line_classes(line_dedup.occurrences(frame(spark, texts), "doc_id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
