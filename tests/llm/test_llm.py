@@ -209,6 +209,19 @@ def test_secret_spans(spark):
     assert all(got[i] == [] for i in range(6, 12))
 
 
+def test_random_strings_of_one_kind_are_found():
+    lengths = secret_scan.TokenLengths(RANKS, public_tokenizers.PATTERN)
+    draw = random.Random(11)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (upper + "234567", upper + digits, upper.lower() + digits, upper):
+        for size in (16, 32, 40):
+            texts = [f"see {''.join(draw.choices(letters, k=size))} here" for _ in range(50)]
+            texts = [t for t in texts if not secret_scan.base_spans(t)]
+            assert all(secret_scan.random_spans(t, lengths, []) == [(4, 3, 4 + size)] for t in texts)
+    names = "JBSWY3DPEHPK3PXP", "MAX_VALUE_OF_HTTP2_X", "some_long_identifier_name_2024", "1234567890123456", "=" * 40, "getHTTPResponseCode"
+    assert [len(secret_scan.random_spans(t, lengths, [])) for t in names] == [1, 0, 0, 0, 0, 0]
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link href="{}" rel="canonical">'.format
     pages = spark.createDataFrame([

@@ -24,8 +24,9 @@ MOST_CHARS_PER_TOKEN = 2.2  # prose and names lie above 3, base64 and hex below
 _CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RANDOM},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}", re.IGNORECASE)
-# Words, numbers and camel-case names between separators.
-_NAME = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}){1,6}[0-9]{0,4}|[+/_=-]*[A-Z]{2,}[0-9]{0,4}(?![a-z])|[+/_=-]+[0-9]{1,8}|[0-9]+(?=[+/_=-]|$))+[+/_=-]*")
+# Letter parts of a name: capitals, or a word with or without a capital. No part can be cut in two ways.
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+LEAST_WORD, LEAST_TWO_TOKEN_WORD = 3, 6  # letters of a part that is a word by one token, by two
 
 
 class TokenLengths:
@@ -39,7 +40,24 @@ class TokenLengths:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ratio(self, text: str) -> float:
-        return len(text) / len(self.encoding.encode_ordinary(text))
+        return len(text) / self.count(text)
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
+    def is_name(self, text: str) -> bool:
+        """Every letter part of three or more letters is one token, or two from six letters on, and these parts hold
+        at least half of the letters and digits; a text without letters is a number or a rule."""
+        words = 0
+        for m in _PART.finditer(text):
+            size = m.end() - m.start()
+            if size < LEAST_WORD:
+                continue
+            tokens = self.count(m.group())
+            if tokens > 2 or (tokens == 2 and size < LEAST_TWO_TOKEN_WORD):
+                return False
+            words += size
+        return not any(c.isalpha() for c in text) or 2 * words >= sum(c.isalnum() for c in text)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,16 +70,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, lengths: TokenLengths, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings of mixed kinds with few characters per token that are no digest, identifier, name or earlier span."""
+    """Strings with few characters per token that are no digest, identifier, name of words or earlier span."""
     found = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        kinds = (any("0" <= c <= "9" for c in word)) + (any("a" <= c <= "z" for c in word)) + (any("A" <= c <= "Z" for c in word))
-        if kinds < 2 or _DIGEST.fullmatch(word) or _UUID.fullmatch(word) or _NAME.fullmatch(word):
+        if lengths.ratio(word) >= MOST_CHARS_PER_TOKEN or _DIGEST.fullmatch(word) or _UUID.fullmatch(word) or lengths.is_name(word):
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
-            continue
-        if lengths.ratio(word) < MOST_CHARS_PER_TOKEN:
+        if not any(a < m.end() and m.start() < b for a, _, b in taken):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -90,8 +105,9 @@ def secret_spans(
 
     Whole texts are scanned in place, without a shuffle. ``assign``, ``access`` and ``hex`` are fixed patterns.
     ``random`` adds strings of 16 or more characters that a byte-pair vocabulary encodes in few characters a token
-    (below 2.2): random strings have no frequent parts. Digests of known lengths, UUIDs, names made of words and
-    what a fixed pattern has found are left out.
+    (below 2.2): random strings have no frequent parts, whatever kinds of characters they have. Digests of known
+    lengths, UUIDs, numbers, names whose letter parts are vocabulary words and what a fixed pattern has found are left
+    out.
 
     Defined cases: null and empty texts have no spans; rows that share an id are scanned each; a null id is carried
     along. Other columns are ignored, whatever their names. Empty in, empty out.
