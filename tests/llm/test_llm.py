@@ -222,6 +222,18 @@ def test_random_strings_of_one_kind_are_found():
     assert [len(secret_scan.random_spans(t, lengths, [])) for t in names] == [1, 0, 0, 0, 0, 0]
 
 
+def test_slugs_are_scanned_in_linear_time():
+    import time
+
+    lengths = secret_scan.TokenLengths(RANKS, public_tokenizers.PATTERN)
+    slug = "how-to-configure-kubernetes-clusters-with-terraform-v2b"
+    for text in ("/document" * 4 + "/A1b", slug, "/document" * 2_000 + "/A1b", slug * 300):
+        began = time.perf_counter()
+        assert secret_scan.random_spans(text, lengths, []) == []
+        lengths.is_name(text)
+        assert time.perf_counter() - began < 1
+
+
 def test_url_rules_and_aliases(spark):
     link = '<link href="{}" rel="canonical">'.format
     pages = spark.createDataFrame([
