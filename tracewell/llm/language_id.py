@@ -127,6 +127,13 @@ def _scorer(languages: list[str], matrix: np.ndarray):
     return run
 
 
+def with_language(docs: DataFrame, learn_from: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """All rows and columns of ``docs`` with lang_pred and score, which are defined as in ``identified``."""
+    source = docs.select("*", F.col(text_col).cast("string").alias("_text"))
+    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    return source.mapInArrow(_scorer(*fit(learn_from, text_col, lang_col)), schema)
+
+
 def identified(
     docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:

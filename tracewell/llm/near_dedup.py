@@ -90,9 +90,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[2].append(int(_mix(s + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 out[3].append(band_keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
+                [part.column(0), *part.columns[2:], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                  pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"],
+                ["doc_id", *part.schema.names[2:], "n_shingles", "h1", "h2", "bands"],
             )
 
 
@@ -149,8 +149,10 @@ def _within_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept, row (if ``row_col`` is given).
 
     Texts with equal shingle sets form one class. Class signatures (minimum and maximum of 64 permutations) are
     cut into 32 bands; members of a bucket are compared with its most central member on full sets. Where a
@@ -160,17 +162,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: a null, empty or blank text has no shingles, is linked with nothing and is its own component.
     Repeated rows and rows that share an id are separate rows of one component when their sets agree; a null id
     takes part, its row gets the smallest id of its component, null if all are null, and is kept only then.
+    With ``row_col``, a number of its own for each row, just one row of a component is kept: of the rows with its
+    smallest id the one with the smallest number.
     Columns of the input other than the two named ones are ignored, whatever their names. Empty in, empty out.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    source = source.withColumn("text_hash", F.xxhash64("text"))
-    schema = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>"
+    own = ["row"] if row_col else []
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        *[F.col(row_col).cast("long").alias("row") for _ in own],
+    )
+    source = source.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *own)
+    schema = f"doc_id long, text_hash long, {'row long, ' if row_col else ''}n_shingles long, h1 long, h2 long, bands array<long>"
     signed = staged(source.mapInArrow(_sign, schema), "near-signed")
-    rows = signed.select("doc_id", "n_shingles", "h1", "h2")
+    rows = signed.select("doc_id", *own, "n_shingles", "h1", "h2")
+    first = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")] if row_col else []
     # One class per distinct set. The written copy fixes the class numbers.
     groups = signed.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_hash")).alias("pick"),
-        F.first("bands").alias("bands"),
+        F.first("bands").alias("bands"), *first,
     )
     classes = staged(groups.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     members = classes.select("cid", "n_shingles", F.explode("bands").alias("key"))
@@ -224,13 +233,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     more = blocks.join(sets, "cid").groupBy("centre", "i", "j").applyInPandas(_within_blocks, "a long, b long")
     every = components(links.unionByName(more), "a", "b")
-    named = classes.select("cid", "n_shingles", "h1", "h2", "least").join(
+    named = classes.select("cid", "n_shingles", "h1", "h2", "least", *["first"] * len(own)).join(
         every.select(F.col("vertex").alias("cid"), "root"), "cid", "left"
     ).withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = staged(named.join(least, "root").select("n_shingles", "h1", "h2", "component_id"), "near-components")
-    return rows.join(final, ["n_shingles", "h1", "h2"], "left").select(
-        "doc_id", "n_shingles",
+    least = named.groupBy("root").agg(
+        F.min("least").alias("component_id"), *([F.min("first").alias("head")] if row_col else [])
+    )
+    final = staged(named.join(least, "root").select("n_shingles", "h1", "h2", "component_id", *[F.col("head.row").alias("kept_row")] * len(own)), "near-components")
+    placed = rows.join(final, ["n_shingles", "h1", "h2"], "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if row_col:
+        kept = (F.col("n_shingles") == 0) | (F.col("row") == F.col("kept_row"))
+    return placed.select(
+        "doc_id", *own, *["kept_row"] * len(own), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ).withColumn("kept", kept).select("doc_id", "n_shingles", "component_id", "kept", *own)
 
