@@ -348,6 +348,17 @@ def test_pipeline_decides_by_row(spark, tmp_path):
         assert sorted(r["text"] for r in stage(spark, twice, str(tmp_path)).collect()) == sorted(clean[:2])
 
 
+def test_pipeline_rejects_unlearned_languages(spark):
+    import corpus_pipeline
+
+    clean = [" ".join(words(s, n)) for s, n in enumerate([1, 2, 3, 5, 20, 300] * 10)]
+    draw = random.Random(12)
+    other = [" ".join("".join(draw.choices(letters, k=6)) for _ in range(n)) for letters in ("абвгдежзиклмноп", "あいうえおかきくけこ", "mnopqrstuvwxyz") for n in (5, 50, 500)]
+    rows = [(i, t, "en" if i <= len(clean) else None, "s", len(t)) for i, t in enumerate(clean + other, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["text"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()} == set(clean)
+
+
 def test_pipeline_keeps_clean_documents_and_drops_copies(spark, tmp_path):
     import corpus_pipeline
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKETS = 1 << 14
 ORDERS = 3
@@ -74,7 +75,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, matrix): row b < BUCKETS has the log probability of bucket b by language, the last the priors.
+    """(languages, matrix), as in ``fit_typical``."""
+    return fit_typical(docs, text_col, lang_col)[:2]
+
+
+def fit_typical(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, matrix, typical): row b < BUCKETS has the log probability of bucket b by language, the last the priors.
+
+    ``typical`` has the mean and the standard deviation, by language, of the log probability of an n-gram over all
+    n-grams of all learned rows; the counts hold them, so no row is read again.
 
     Counts cover every row with a language; tasks sum their own rows first. The driver sees the summed counts
     only: at most 500 languages x 16,384 buckets; more languages are an error.
@@ -92,46 +101,62 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     table = sums.toArrow()
     column = np.array([at[x] for x in table["lang"].to_pylist()], np.int64)
     counts[table["bucket"].to_numpy(), column] = table["n"].to_numpy()  # bucket -1 is the last row
+    typical = np.zeros((2, len(languages)))
     if languages:
+        shares = counts[:BUCKETS] / np.maximum(counts[:BUCKETS].sum(axis=0), 1)
         grams = counts[:BUCKETS] + 0.1
         counts[:BUCKETS] = np.log(grams / grams.sum(axis=0))
+        typical[0] = (shares * counts[:BUCKETS]).sum(axis=0)
+        typical[1] = np.sqrt((shares * (counts[:BUCKETS] - typical[0]) ** 2).sum(axis=0))
         counts[BUCKETS] = np.log(counts[BUCKETS] / counts[BUCKETS].sum())
-    return languages, counts.astype(np.float32)
+    return languages, counts.astype(np.float32), typical
 
 
-def _scorer(languages: list[str], matrix: np.ndarray):
+def _scorer(languages: list[str], matrix: np.ndarray, typical: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
         for batch in batches:
             for first in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(first, 256)
-                names, scores = [], []
+                names, scores, below, sizes = [], [], [], []
                 for text in part.column(part.num_columns - 1):
                     found = ngrams(text.as_py(), letters)
                     if not len(found) or not languages:
                         names.append(UNDETERMINED)
                         scores.append(0.0)
+                        below.append(None)
+                        sizes.append(len(found))
                         continue
                     sums = np.zeros(len(languages))
                     for at in range(0, len(found), 65536):
                         sums += matrix[found[at : at + 65536]].sum(axis=0, dtype=np.float64)
-                    sums += matrix[BUCKETS]
+                    grams = sums / len(found)
+                    sums = sums + matrix[BUCKETS]
                     best = int(sums.argmax())
+                    if typical is not None:
+                        below.append(float((typical[0, best] - grams[best]) / max(typical[1, best], 1e-6)))
+                        sizes.append(len(found))
                     names.append(languages[best])
                     scores.append(float(1 / np.exp(sums - sums[best]).sum()))
+                more = [] if typical is None else [pa.array(below, pa.float64()), pa.array(sizes, pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    [*part.schema.names[:-1], "lang_pred", "score"],
+                    [*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *more],
+                    [*part.schema.names[:-1], "lang_pred", "score", *["below", "n_grams"][: len(more)]],
                 )
 
     return run
 
 
 def with_language(docs: DataFrame, learn_from: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score, which are defined as in ``identified``."""
+    """All rows and columns of ``docs`` with lang_pred and score, which are defined as in ``identified``, below and n_grams.
+
+    ``below`` is how far the mean log probability of the text's n-grams lies below that of all learned n-grams of the
+    language, in standard deviations of the latter; null without a language. It does not depend on length, but its
+    spread does, by n_grams.
+    """
     source = docs.select("*", F.col(text_col).cast("string").alias("_text"))
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(_scorer(*fit(learn_from, text_col, lang_col)), schema)
+    added = StructType().add("lang_pred", "string").add("score", "double").add("below", "double").add("n_grams", "long")
+    return source.mapInArrow(_scorer(*fit_typical(learn_from, text_col, lang_col)), StructType([*docs.schema.fields, *added.fields]))
 
 
 def identified(
