@@ -288,6 +288,18 @@ def test_quality_held_out(spark):
     assert {r["predicted"] for r in quality.scored(docs, labels.where("quality = 1")).collect()} == {1}
 
 
+def test_quality_cut_covers_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_LABELLED", 40)
+    texts = [" ".join(words(s, 60)).capitalize() + "." for s in range(300, 350)] + ["!! ".join(w.upper() for w in words(s, 40)) for s in range(400, 550)]
+    docs = frame(spark, texts)
+    labels = [(i, int(i <= 50 or i % 11 == 0)) for i in range(1, 201)]
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), "doc_id", "text", "quality")
+    raw = model.raw(np.array([quality.features(t) for t in texts]))
+    label = np.array([v for _, v in labels])
+    assert np.isclose(model.threshold, np.quantile(raw, (label == 0).mean()))
+    assert np.isclose(model.slope, 4 / (np.median(raw[label == 1]) - np.median(raw[label == 0])))
+
+
 def test_language_held_out(spark):
     langs = {"en": "the of and is with", "de": "der die und ist mit", "fr": "le la et est avec"}
     rows = []

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordered import distinct_running
 from tracewell.session import matching, staged
 
 MOST_LABELLED = 12_000  # labelled rows the model is fitted on, drawn by hash
@@ -89,16 +90,13 @@ class Ranking:
             m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
             w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights = w.astype(float)
-        scores = z @ self.weights
-        # The share of label 1 among the learned rows fixes the quantile of the scores that divides the labels.
-        self.threshold = float(np.quantile(scores, len(bad) / len(x)))
-        low, high = np.quantile(scores[bad], 0.5), np.quantile(scores[good], 0.5)
-        self.slope = 4 / max(high - low, 1e-6)
         return self
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.centre) / self.scale) @ self.weights
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = ((x - self.centre) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip((raw - self.threshold) * self.slope, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.raw(x) - self.threshold) * self.slope, -30, 30)))
 
 
 def _scorer(model: Ranking):
@@ -116,18 +114,66 @@ def _scorer(model: Ranking):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
-    """Model from at most 12,000 labelled rows, drawn by a hash of their id and label."""
-    drawn = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
+def _raw_scorer(model: Ranking):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(batch.num_rows, 1), 1024):
+                part = batch.slice(at, 1024)
+                x = np.array([features(t.as_py()) for t in part.column(1)]).reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.raw(x), pa.float64())], ["doc_id", "raw"])
+
+    return run
+
+
+def _at_quantile(rows: DataFrame, size: int, part: int, whole: int) -> float:
+    """Exact linear quantile of ``raw`` at part / whole of ``size`` rows: the ranks come from a distributed sort of the distinct values."""
+    counted = distinct_running(rows, [], "raw", {"n": F.lit(1)})
+    place = part * (size - 1)
+    low, rest = divmod(place, whole)
+    high = min(low + 1, size - 1)
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    found = counted.select(
+        "raw", ((first <= low) & (last >= low)).alias("lo"), ((first <= high) & (last >= high)).alias("hi")
+    ).where("lo OR hi").collect()  # one or two rows
+    a, b = (next(r["raw"] for r in found if r[end]) for end in ("lo", "hi"))
+    return float(a + (b - a) * rest / whole)
+
+
+def divide(model: Ranking, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
+    """Threshold and slope of a fitted model from the scores of all labelled rows: the share of label 1 among them fixes
+    the quantile of their scores that divides the labels."""
+    known = _learnable(labels, id_col, label_col)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    wanted = matching(source, staged(known.select("doc_id").distinct(), "quality-known"), "doc_id")
+    raw = wanted.mapInArrow(_raw_scorer(model), "doc_id long, raw double").groupBy("doc_id").agg(F.min("raw").alias("raw"))
+    rows = staged(raw.join(known, "doc_id").select("label", "raw"), "quality-raw")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return model
+    model.threshold = _at_quantile(rows, sum(sizes.values()), sizes[0], sum(sizes.values()))
+    low, high = (_at_quantile(rows.where(F.col("label") == label), sizes[label], 1, 2) for label in (0, 1))
+    model.slope = 4 / max(high - low, 1e-6)
+    return model
+
+
+def _learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         "doc_id IS NOT NULL AND label IN (0, 1)"
-    ).orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(MOST_LABELLED)
-    drawn = staged(drawn, "quality-drawn")
+    )
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
+    """Ranking from at most 12,000 labelled rows, drawn by a hash of their id and label; divided by all of them."""
+    known = _learnable(labels, id_col, label_col)
+    drawn = staged(known.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(MOST_LABELLED), "quality-drawn")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wanted = matching(source, staged(drawn.select("doc_id").distinct(), "quality-ids"), "doc_id")
     vectors = wanted.mapInArrow(_featured, "doc_id long, vector binary").groupBy("doc_id").agg(F.min("vector").alias("vector"))
     rows = vectors.join(drawn, "doc_id").orderBy("doc_id", "label").toArrow()
     x = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float32).reshape(-1, WIDTH)
-    return Ranking().fit(x, rows["label"].to_numpy() == 1)
+    preferred = rows["label"].to_numpy() == 1
+    model = Ranking().fit(x, preferred)
+    return divide(model, docs, labels, id_col, text_col, label_col) if preferred.any() and not preferred.all() else model
 
 
 def scored(
@@ -135,13 +181,13 @@ def scored(
 ) -> DataFrame:
     """One row per document: doc_id, score (0 to 1), predicted (1 if score >= 0.5).
 
-    Preference pairs take one row of each label; the score is cut at the quantile that splits the learned rows as
-    their labels do. Only the text enters a score.
+    Preference pairs take one row of each label; the score is cut at the quantile that splits all labelled rows with
+    a text as their labels do; only the ranking is fitted on a sample. Only the text enters a score.
 
     Defined cases: null or blank texts have the zero vector and its score; labels other than 0 and 1, or
     without an id, are not learned from, and several labels of one id all count; without both labels every score is
-    on the side of the only label (1 if there are none). Rows that share an id are learned from one of them and
-    scored each. Other columns are ignored, whatever their names. Empty in, empty out.
+    on the side of the only label (1 if there are none). Rows that share an id are learned from one of them (the
+    cut takes their lowest score) and scored each. Other columns are ignored, whatever their names. Empty in, empty out.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
