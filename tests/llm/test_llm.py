@@ -249,6 +249,22 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_url_links_of_every_form(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (1, "http://a.info/x/a.html", link("b.html")), (2, "http://a.info/x/b.html", """<meta http-equiv="refresh" content="0; url='http://b.net/'">"""),
+        (3, "http://c.info/x/y/a", link("../b")), (4, "http://c.info/x/b", link("http://b.net/1")),
+        (5, "http://d.info/x?q=1", link("?p=1")), (6, "http://d.info/x?p=1", "<meta http-equiv=refresh content=0;url=http://b.net/2>"),
+        (7, "http://e.info", link("./z/../b.html?k=http://q.info/")), (8, "http://e.info/b.html?k=http://q.info/", link("http://b.net/3")),
+        (9, "http://f.info/", link("http://g.info/") + link("http://b.net/4")), (10, "http://h.info/", link("#top") + link("mailto:a@b.net")),
+        (11, "http://i.info/a/b/c", link("..")), (12, "http://i.info/a/", link("//b.net/5")), (13, "nothing", link("b.html")),
+        (14, "http://j.info/a", '<meta http-equiv="refresh" content="0; url=&#39;http://b.net/6&#39;">'),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {i for i, (verdict, _) in got.items() if verdict == "block"} == {*range(1, 10), 11, 12, 14}
+    assert got[10] == got[13] == ("allow", None)
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>ä" * 50
     pages = spark.createDataFrame(

@@ -15,7 +15,7 @@ RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINKS = (
     r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*\burl\s*=\s*([^"'\s>]+)""",
+    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*\burl\s*=\s*["']?([^"'\s>]+)""",
     r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)""",
 )
 _TRACKING = r"(?i)(?<=[?&])(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?"
@@ -47,13 +47,31 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...], par
     return chosen
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` steps; one that ends in a step names the folder."""
+    steps = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/", -1)
+    walked = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda done, step: F.when(step == ".", done)
+        .when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(step))),
+    )
+    return F.concat(F.lit("/"), F.array_join(walked, "/"))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    link = F.regexp_replace(link, "&amp;", "&")
+    """A link of the page at ``url`` as a whole URL; null for a mere fragment, another scheme or a page without URL."""
+    link = F.regexp_replace(F.regexp_replace(link, r"&(?:quot|apos|#0*3[49]);", ""), "&amp;", "&")
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
+    target, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(link.startswith("/"), target).otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), target))
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)") | (link == "") | ~url.contains("://"), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+        .when(link.startswith("?"), F.concat(site, path_of(url), link))
+        .otherwise(F.concat(site, _without_dots(whole), rest))
     )
 
 
@@ -70,15 +88,15 @@ def judged(
     by a distributed union-find.
 
     Defined cases: a null url or one without ``://`` has empty host and path, no rule and no alias; null html has
-    no links; links that are relative to a folder are ignored. Repeated rows give repeated results, null ids are
+    no links; all links of a page count, relative ones from its url; mere fragments and other schemes are none. Repeated rows give repeated results, null ids are
     carried along. Other columns are ignored, whatever their names. Empty in, empty out.
     """
     url, html = F.col("url"), F.col("html")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    found = [_absolute(F.nullif(F.regexp_extract(html, link, 1), F.lit("")), url) for link in _LINKS]
+    every = F.concat(*[F.coalesce(F.regexp_extract_all(html, F.lit(link), F.lit(1)), F.array().cast("array<string>")) for link in _LINKS])
     known = staged(
         source.select(
-            "page_id", "url", F.array_distinct(F.array_compact(F.array(*found))).alias("links")
+            "page_id", "url", F.array_distinct(F.array_compact(F.transform(every, lambda link: _absolute(link, url)))).alias("links")
         ), "url-links"
     )
     judge = known.select(
