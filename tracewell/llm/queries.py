@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.decontamination import contaminated
+from tracewell.llm.exact_dedup import owners
 from tracewell.llm.language_id import identified
 from tracewell.llm.line_dedup import line_components
+from tracewell.llm.merkle import tampered_manifest
 from tracewell.llm.near_dedup import near_duplicates
 from tracewell.llm.packing import packed
 from tracewell.llm.quality import scored
 from tracewell.llm.secret_scan import secret_spans
+from tracewell.llm.source_divergence import divergence
 from tracewell.llm.topk_search import nearest
 from tracewell.llm.url_filter import judged
 from tracewell.llm.warc import archive_folder, read_archives, write_archives
@@ -92,6 +95,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return owners(_read(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_curve_packing": op2_curve_packing,
@@ -103,6 +118,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
     "op10_exact_topk": op10_exact_topk,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _TOPK = """
@@ -128,4 +146,106 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op10_exact_topk": _TOPK, "op7_warc_round_trip": _WARC}
+_SMALL = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_EXACT = f"""
+WITH t AS (SELECT doc_id, {_SMALL.format("text")} AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM t
+"""
+
+_DIVERGENCE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_SMALL.format("text")} AS body
+  FROM documents
+), o AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(body, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS times FROM o GROUP BY ALL HAVING count(DISTINCT row) >= 30
+), v AS (
+  SELECT l.lang, count(k.term) AS v, coalesce(sum(k.times), 0) AS n FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN k USING (lang) GROUP BY ALL
+), c AS (
+  SELECT lang, source, term, count(*) AS times FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT s.lang, s.source, coalesce(sum(c.times), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.times, 0) AS times,
+    1 + (1000000000 * (coalesce(c.times, 0) + 5)::HUGEINT) // (g.n + 5 * v.v) AS p,
+    1 + (1000000000 * (k.times + 5)::HUGEINT) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y USING (lang, term) GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE times > 0 AND p > q
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS place FROM r
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(place AS INTEGER) AS rank
+FROM n WHERE part = 'pair' OR place <= 50
+"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_MERKLE = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i] || [0::UBIGINT for x in range(8)], lambda c, x:
+    CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM (SELECT unnest(range(256))::UBIGINT AS i)
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree,
+    sha256({"||".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    sha256({"||".join(map(_field, ("doc_id", "source", "lang", "(n_chars + 1)", "text")))}) AS changed,
+    n_chars IS NOT NULL AND coalesce(xor(list_reduce(
+      [4294967295::UBIGINT] || list_transform(str_split(CAST(doc_id AS VARCHAR), ''), lambda x: ord(x)::UBIGINT),
+      lambda c, x: xor(c >> 8, crc.steps[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 7 = 0, false) AS hit
+  FROM documents CROSS JOIN crc
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d
+), t AS (
+  SELECT tree, 0 AS level, place, leaf AS node, n FROM leaf
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2 FROM t WHERE n > 1
+  GROUP BY tree, level, place // 2, n
+), top AS (
+  SELECT tree, level AS height, node AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS level, place, subroot AS node, n FROM top
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, place // 2, n
+), path AS (
+  SELECT l.tree, l.place, x.level, x.node AS sibling, x.place % 2 = 0 AS before
+  FROM leaf l JOIN t x ON x.tree = l.tree AND x.n > 1 AND x.place = xor(l.place >> x.level, 1)
+  UNION ALL
+  SELECT l.tree, l.place, top.height + x.level, x.node, x.place % 2 = 0
+  FROM leaf l JOIN top USING (tree) JOIN u x ON x.n > 1 AND x.place = xor(top.place >> x.level, 1)
+), fold AS (
+  SELECT l.tree, l.place, 0 AS level, CASE WHEN l.hit THEN l.changed ELSE l.leaf END AS node,
+    top.height + (SELECT max(level) FROM u) AS height
+  FROM leaf l JOIN top USING (tree)
+  UNION ALL
+  SELECT f.tree, f.place, f.level + 1,
+    sha256(CASE WHEN p.before THEN p.sibling || f.node WHEN NOT p.before THEN f.node || p.sibling ELSE f.node END), f.height
+  FROM fold f LEFT JOIN path p ON p.tree = f.tree AND p.place = f.place AND p.level = f.level WHERE f.level < f.height
+), proof AS (SELECT tree, place, sha256(string_agg(sibling, '' ORDER BY level)) AS proof FROM path GROUP BY ALL)
+SELECT l.doc_id, l.leaf, top.subroot, r.node AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.node AS folded_root,
+  f.node = r.node AS verified
+FROM leaf l JOIN top USING (tree) JOIN (SELECT node FROM u WHERE n = 1) r ON true
+JOIN fold f ON f.tree = l.tree AND f.place = l.place AND f.level = f.height
+LEFT JOIN proof p ON p.tree = l.tree AND p.place = l.place
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_warc_round_trip": _WARC,
+    "op10_exact_topk": _TOPK,
+    "op11_exact_dedup": _EXACT,
+    "op12_source_divergence": _DIVERGENCE,
+    "op13_merkle_manifest": _MERKLE,
+}
