@@ -176,7 +176,9 @@ def _few(df: DataFrame) -> DataFrame:
 def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
     """Sums of |p - q| over one block of terms for the pairs of two blocks of sources (or of the pairs within one).
 
-    Rows without a term give each source of the blocks and its share of a term that it does not hold.
+    Rows without a term give each source of the blocks and its share of a term that it does not hold. Terms that none
+    of these sources holds have no column: the first block of terms adds that difference for every term of the
+    language, and each block takes it back for its columns.
     """
     lang, a, b = rows["lang"].iat[0], rows["a"].iat[0], rows["b"].iat[0]
     every = rows[rows["term_no"].isna()].reset_index(drop=True)
@@ -185,12 +187,13 @@ def _pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
     codes, distinct = pd.factorize(held["term_no"])
     shares = np.repeat(every["p"].to_numpy(np.int64)[:, None], len(distinct), axis=1)
     shares[spots.loc[held["source_no"]].to_numpy(), codes] = held["p"].to_numpy(np.int64)
-    block, names = every["own"].to_numpy(), every["source"].to_numpy()
+    block, names, bare = every["own"].to_numpy(), every["source"].to_numpy(), every["p"].to_numpy(np.int64)
+    columns = (int(every["size"].iat[0]) if rows["block"].iat[0] == 0 else 0) - len(distinct)
     out = []
     for i in np.flatnonzero(block == a):
         others = np.flatnonzero(block == b)
         others = others[others > i] if a == b else others
-        sums = np.abs(shares[others] - shares[i]).sum(axis=1)
+        sums = np.abs(shares[others] - shares[i]).sum(axis=1) + columns * np.abs(bare[others] - bare[i])
         out += [(lang, names[i], names[j], int(v)) for j, v in zip(others, sums)]
     return pd.DataFrame(out, columns=["lang", "x", "y", "value"])
 
@@ -204,12 +207,12 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("size") / TERM_BLOCK), F.lit(1)).cast("int")
     nothing = F.lit(0).cast("long")
     every = groups.select(
-        "lang", "source", "source_no", "own", "own_blocks", F.lit(None).cast("long").alias("term_no"),
+        "lang", "source", "source_no", "own", "own_blocks", "size", F.lit(None).cast("long").alias("term_no"),
         F.when(F.col("size") > 0, share(nothing, F.col("total"), F.col("size"))).otherwise(nothing).alias("p"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"),
     )
     held = counts.select(
-        "lang", F.lit(None).cast("string").alias("source"), "source_no", "own", "own_blocks", "term_no", "p",
+        "lang", F.lit(None).cast("string").alias("source"), "source_no", "own", "own_blocks", "size", "term_no", "p",
         F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"),
     )
     met = every.unionByName(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)))
