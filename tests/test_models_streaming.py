@@ -70,6 +70,72 @@ def test_stream_equals_batch(spark, tmp_path):
     }
 
 
+def first_breaches(rows, limit, grace):
+    """Brute force: task -> (start, first breach) over (task, second, seq, temperature) rows."""
+    found, begin = {}, {}
+    for task, at, _, value in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if value is None or value < limit:
+            begin.pop(task, None)
+        elif at - begin.setdefault(task, at) >= grace and task not in found:
+            found[task] = (begin[task], at)
+    return found
+
+
+def test_sustained_breach_equals_brute_force(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(draw.choice("abc"), draw.randrange(40_000), i, draw.choice([1.0, 9.0, 9.0, 9.0, None])) for i in range(900)]
+    rows += [("hot", 60 * i, 10_000 + i, 9.0) for i in range(500)] + [("once", 5, 1, 9.0), ("null", 5, 1, None)]
+    log = spark.createDataFrame(rows, "task_id string, at long, seq long, temperature double").withColumn("time", F.timestamp_seconds("at"))
+    got = {r["task_id"]: (r["b"], r["t"]) for r in monitoring.sustained_breaches(log, limit=5.0, grace_seconds=300.0).select(
+        "task_id", F.unix_seconds("begin_time").alias("b"), F.unix_seconds("breach_time").alias("t")).collect()}
+    assert got == first_breaches(rows, 5.0, 300) and "hot" in got and "once" not in got
+    assert monitoring.sustained_breaches(log.limit(0), limit=5.0).count() == 0
+
+
+def breach_rows(df):
+    return {r["task_id"]: (r["b"], r["t"], r["final"]) for r in df.select(
+        "task_id", F.unix_seconds("begin_time").alias("b"), F.unix_seconds("breach_time").alias("t"), "final").collect()}
+
+
+def test_live_breaches_settle_late_records(spark):
+    kind = "task_id string, at long, seq long, temperature double"
+    root = runlog.new_run(spark, "test-breach")
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, kind).withColumn("time", F.timestamp_seconds("at"))
+        df.coalesce(1).write.mode("append").parquet(f"{root}/log")
+        stream = runlog.live_breaches(
+            runlog.read_log_stream(spark, f"{root}/log", df.schema, fmt="parquet"), limit=5.0, grace_seconds=100.0, delay="500 seconds"
+        )
+        runlog.advance(stream, root)
+        return breach_rows(runlog.newest(spark, root, ["task_id"]))
+
+    t = 1_700_000_000
+    first = arrive([("a", t, 1, 9.0), ("a", t + 100, 2, 9.0), ("b", t, 3, 9.0), ("b", t + 50, 4, 9.0), ("c", t, 5, 9.0)])
+    assert first == {"a": (t, t + 100, False), "b": (None, None, False), "c": (None, None, False)}
+    # A late low record undoes the breach of a, a late high one makes one of b.
+    second = arrive([("a", t + 50, 6, 1.0), ("b", t + 120, 7, 9.0), ("c", t + 99, 8, None), ("c", t + 130, 9, 9.0)])
+    assert second == {"a": (None, None, False), "b": (t, t + 120, False), "c": (None, None, False)}
+    # The watermark passes all of these: what holds is final, and a record that comes too late changes nothing.
+    arrive([("z", t + 2_000, 10, 1.0)])
+    arrive([("z", t + 2_001, 11, 1.0)])
+    third = arrive([("b", t + 60, 12, 1.0), ("a", t + 250, 13, 9.0), ("z", t + 2_002, 14, 1.0)])
+    assert third["b"] == (t, t + 120, True) and third["a"] == (None, None, False) and third["z"] == (None, None, False)
+
+
+def test_replayed_log_equals_batch(spark):
+    import random
+
+    draw = random.Random(6)
+    rows = [(f"t{draw.randrange(6)}", 1_700_000_000 + draw.randrange(90_000), i, draw.choice([1.0, 9.0, 9.0, 9.0, 9.0, None])) for i in range(1500)]
+    log = spark.createDataFrame(rows, "task_id string, at long, seq long, temperature double").withColumn("time", F.timestamp_seconds("at"))
+    got = breach_rows(runlog.replayed_breaches(log, limit=5.0, grace_seconds=900.0, late_seconds=20_000, slices=3))
+    assert {t: v[:2] for t, v in got.items() if v[1] is not None} == first_breaches(rows, 5.0, 900)
+    assert runlog.replayed_breaches(log.limit(0), limit=5.0, late_seconds=10).count() == 0
+
+
 def test_detectors_are_checked_before_they_run(spark):
     def _keyless(batch: pd.DataFrame) -> pd.Series:
         assert "key_id" not in batch.columns

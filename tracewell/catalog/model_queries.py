@@ -288,16 +288,37 @@ def w14(spark, sf):
 @register(
     "a24_sustained_breach",
     """
-SELECT task_id, min(time) AS breach_time, count(*) AS breach_points FROM (
+SELECT task_id, min(time) AS breach_time, arg_min(begin, time) AS begin_time, count(*) AS breach_points FROM (
   SELECT task_id, time, min(time) FILTER (hot) OVER (PARTITION BY task_id, island) AS begin, hot FROM (
     SELECT *, count(*) FILTER (NOT hot) OVER (PARTITION BY task_id ORDER BY time, seq) AS island FROM (
-      SELECT event_type AS task_id, ts AS time, event_id AS seq, value >= 5 AS hot FROM events)))
+      SELECT event_type AS task_id, ts AS time, event_id AS seq, coalesce(value >= 5, false) AS hot FROM events)))
 WHERE hot AND epoch_us(time) - epoch_us(begin) >= 120000000 GROUP BY ALL
 """,
 )
 def a24b(spark, sf):
     out = monitoring.sustained_breaches(log_of(corpus.read(spark, sf, "events")), limit=5.0)
-    return out.withColumn("breach_time", F.col("breach_time").cast("timestamp_ntz"))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("breach_time", "begin_time")})
+
+
+@register(
+    "st1_live_breach",
+    """
+SELECT task_id, min(time) AS breach_time, arg_min(begin, time) AS begin_time FROM (
+  SELECT task_id, time, min(time) FILTER (hot) OVER (PARTITION BY task_id, island) AS begin, hot FROM (
+    SELECT *, count(*) FILTER (NOT hot) OVER (PARTITION BY task_id ORDER BY time, seq) AS island FROM (
+      SELECT event_type || ':' || (user_id % 20) AS task_id, ts AS time, event_id AS seq, coalesce(value >= 20, false) AS hot FROM events)))
+WHERE hot AND epoch_us(time) - epoch_us(begin) >= 21600000000 GROUP BY ALL
+""",
+)
+def st1_breach(spark, sf):
+    """The first high stretch of six hours, from the events as they would arrive up to two days late in any order."""
+    events = corpus.read(spark, sf, "events")
+    finer = F.concat("event_type", F.lit(":"), (F.col("user_id") % 20).cast("string"))
+    log = log_of(events.withColumn("event_type", finer))
+    out = runlog.replayed_breaches(log, limit=20.0, grace_seconds=21_600.0, late_seconds=172_800)
+    return out.where("breach_time IS NOT NULL").select(
+        "task_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("breach_time", "begin_time")]
+    )
 
 
 @register(

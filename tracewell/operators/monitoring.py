@@ -38,27 +38,21 @@ def sustained_breaches(
     log: DataFrame, *, limit: float, grace_seconds: float = 120.0, task: str = "task_id",
     bucket: Column | None = None,
 ) -> DataFrame:
-    """First moment each task has stayed at or above ``limit`` for the grace time.
+    """First moment each task has stayed at or above ``limit`` for the grace time, and when that stretch began.
 
-    A stretch begins at the first high record after the last low one; the last low time is a running
-    maximum carried across time buckets, so a busy task is spread over many tasks.
+    A record opens a stretch if it is high and the one before it is not, or there is none; a record without a
+    temperature is not high. The start of the stretch is the latest opening, a running maximum that is carried across
+    time buckets, so a busy task is spread over many tasks, also one that never falls below the limit.
     """
-    low = F.col("temperature") < limit
     span = F.date_trunc("hour", F.col("time")) if bucket is None else bucket
     order = [F.col("time"), F.col("seq")]
-    at = F.struct(F.col("time").alias("t"), F.col("seq").alias("s"))
-    ran = with_running(
-        log.select(task, "time", "seq", "temperature"), [task], span, order,
-        maxes={"_low": F.when(low, at)},
-    )
-    high = ran.where(F.col("temperature") >= limit)
-    # A task's first high record after each low one opens a stretch.
-    stretches = high.groupBy(task, "_low").agg(F.min("time").alias("_begin"))
-    joined = high.join(
-        stretches.withColumnsRenamed({task: "_task", "_low": "_l"}),
-        (F.col(task) == F.col("_task")) & F.col("_low").eqNullSafe(F.col("_l")),
-    )
+    high = F.coalesce(F.col("temperature") >= limit, F.lit(False))
+    plain = log.select(task, "time", "seq", high.alias("_high"))
+    before = with_running(plain, [task], span, order, lags={"_before": F.col("_high")})
+    opens = F.col("_high") & ~F.coalesce("_before", F.lit(False))
+    ran = with_running(before, [task], span, order, maxes={"_begin": F.when(opens, F.col("time"))})
     held = (F.unix_micros("time") - F.unix_micros("_begin")) / 1000000.0
-    return joined.where(held >= grace_seconds).groupBy(task).agg(
-        F.min("time").alias("breach_time"), F.count(F.lit(1)).alias("breach_points")
+    return ran.where(F.col("_high") & (held >= grace_seconds)).groupBy(task).agg(
+        F.min("time").alias("breach_time"), F.min_by("_begin", "time").alias("begin_time"),
+        F.count(F.lit(1)).alias("breach_points"),
     )
