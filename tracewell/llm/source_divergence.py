@@ -37,23 +37,28 @@ def _place(lang: str, prefix: bytes) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b" " + prefix) & ((1 << BITS) - 1)
 
 
-class Survivors:
-    """A fixed number of bits that holds hashes of prefixes: never denies one that survived, may let another pass."""
+class Fate(dict):
+    """What becomes of a term of one language at a level: None if it is done or its prefix did not survive, True if it
+    is counted whole, else the prefix that it is counted by. Answers are kept, up to a bound.
 
-    def __init__(self, words: bytes | None) -> None:
-        self.words = None if words is None else np.frombuffer(words, np.uint8)
-        self.known: dict[tuple[str, bytes], bool] = {}
+    ``words`` is a fixed number of bits that holds hashes of prefixes: it never denies one that survived and may let
+    another pass, which is then counted in vain.
+    """
+
+    def __init__(self, lang: str, level: int, before: int, words: np.ndarray | None) -> None:
+        super().__init__()
+        self.lang, self.level, self.before, self.words = lang, level, before, words
 
-    def __contains__(self, key: tuple[str, bytes]) -> bool:
-        if self.words is None:
-            return True
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) > HELD:
-                self.known.clear()
-            bit = _place(*key)
-            found = self.known[key] = bool(self.words[bit >> 3] >> (bit & 7) & 1)
-        return found
+    def __missing__(self, term: bytes) -> bytes | bool | None:
+        if len(self) > HELD:
+            self.clear()
+        fate: bytes | bool | None = True if len(term) <= self.level else term[: self.level]
+        if self.words is not None:
+            bit = _place(self.lang, term[: self.before])
+            if len(term) <= self.before or not self.words[bit >> 3] >> (bit & 7) & 1:
+                fate = None
+        self[term] = fate
+        return fate
 
 
 _COUNTS = pa.schema([
@@ -70,34 +75,36 @@ def _counted(level: int, before: int, alive) -> Callable:
     A document counts once for a term and once for a prefix. Counters are handed on and emptied when they grow.
     """
 
-    def rows(docs: dict, times: dict, prefixes: dict) -> Iterator[pa.RecordBatch]:
+    def rows(docs: dict, times: dict, prefixes: dict, fates: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), counter in docs.items():
-            of = times[lang, source]
-            pieces = list(counter)
+            of, fate = times[lang, source], fates[lang]
+            pieces = [p for p in counter if fate[p] is True]
             n = len(pieces)
-            yield _batch([lang] * n, [source] * n, pieces, [True] * n, list(counter.values()), [of[p] for p in pieces])
+            yield _batch([lang] * n, [source] * n, pieces, [True] * n, [counter[p] for p in pieces], [of[p] for p in pieces])
         for lang, counter in prefixes.items():
             n = len(counter)
             yield _batch([lang] * n, [None] * n, list(counter), [False] * n, list(counter.values()), [0] * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        survivors = Survivors(None if alive is None else alive.value)
+        words = None if alive is None else np.frombuffer(alive.value, np.uint8)
+        fates: dict[str, Fate] = {}
         docs, times, prefixes = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, source, text in zip(langs, sources, batch.column(2)):
                 found = terms(text.as_py())
-                if before:
-                    found = [t for t in found if len(t) > before and (lang, t[:before]) in survivors]
-                short = [t for t in found if len(t) <= level]
-                docs[lang, source].update(set(short))
-                times[lang, source].update(short)
-                if len(short) < len(found):
-                    prefixes[lang].update({t[:level] for t in found if len(t) > level})
-            if sum(map(len, docs.values())) + sum(map(len, prefixes.values())) > HELD:
-                yield from rows(docs, times, prefixes)
+                if lang not in fates:
+                    fates[lang] = Fate(lang, level, before, words)
+                # Whole terms are picked out when the counters are handed on, once each.
+                distinct = set(found)
+                docs[lang, source].update(distinct)
+                times[lang, source].update(found)
+                prefixes[lang].update(set(map(fates[lang].__getitem__, distinct)) - {None, True})
+            if sum(map(len, times.values())) + sum(map(len, prefixes.values())) > HELD:
+                yield from rows(docs, times, prefixes, fates)
                 docs, times, prefixes = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
-        yield from rows(docs, times, prefixes)
+                fates = {} if len(fates) > 100 else fates
+        yield from rows(docs, times, prefixes, fates)
 
     return run
 
@@ -136,7 +143,8 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, first_level: int =
     level, before, alive = first_level, 0, None
     found = None
     while True:
-        counts = docs.mapInArrow(_counted(level, before, alive), _COUNTS_SQL)
+        # The tasks have summed their own rows, so the counts are dealt out as they are.
+        counts = docs.mapInArrow(_counted(level, before, alive), _COUNTS_SQL).repartition("lang", "piece")
         counts = staged(
             counts.groupBy("lang", "source", "piece", "whole").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")),
             "iceberg-level", codec="zstd",
