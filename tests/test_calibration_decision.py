@@ -19,6 +19,30 @@ def test_empirical_p_both_tails_and_unknown_stratum(spark):
     assert low[("s", 2.0)] == 0.8
 
 
+def test_empirical_p_of_a_value_that_a_third_of_the_rows_share(spark, monkeypatch):
+    import random
+
+    draw = random.Random(7)
+    pool = [(k, draw.choice([0.0, 0.0, draw.random(), -draw.random()])) for k in "ab" for _ in range(300)] + [(None, 0.5)]
+    seen = [(i, draw.choice("aaab"), 0.0 if i % 3 == 0 else round(draw.uniform(-1, 1), 2)) for i in range(3000)]
+    seen += [(5000, "c", 1.0), (5001, "a", None), (5002, None, 0.5), (5003, "a", -0.0)]
+    df = spark.createDataFrame(seen, "i long, stratum string, v double").withColumn("_n", F.lit("clash"))
+    nulls = spark.createDataFrame(pool, "stratum string, maximum_statistic double")
+    staged_ranges = []
+    real = calibration.in_ranges
+    monkeypatch.setattr(calibration, "in_ranges", lambda *a: staged_ranges.append(real(*a)) or staged_ranges[-1])
+    for lower in (False, True):
+        got = {r["i"]: r["p"] for r in calibration.attach_p(df, nulls, {"stratum": F.col("stratum")}, value="v", out="p", lower=lower).collect()}
+        assert len(got) == len(seen)
+        for i, k, v in seen:
+            own = [x for s, x in pool if s == k]
+            more = sum(x <= v if lower else x >= v for x in own) if v is not None else 0
+            assert got[i] == (pytest.approx((more + 1) / (len(own) + 1)) if own and v is not None else None)
+        sizes = [r["count"] for r in staged_ranges[-1].groupBy("_range").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+    assert calibration.attach_p(df.limit(0), nulls, {"stratum": F.col("stratum")}, value="v", out="p").count() == 0
+
+
 def test_exact_upper_bounds():
     assert upper_bound(0, 200, 0.95) == pytest.approx(0.014867, abs=1e-6)
     assert upper_bound(48, 200, 0.95) == pytest.approx(0.294900, abs=1e-6)

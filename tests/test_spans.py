@@ -97,3 +97,40 @@ def test_text_helpers(spark):
     assert row["e"] == "a b c" and row["c"] == "aaa"
     assert row["m"]["text"] == "abc\n\nde" and [tuple(s) for s in row["m"]["intervals"]] == [(0, 3), (5, 7)]
     assert abs(row["rep"] - 2 / 3) < 1e-12 and abs(row["uni"] - 0.25) < 1e-12
+
+
+def position_scores(text, first):
+    """Whole-number scores of a text piece; a plain restatement is ``(code * 7919 + position * 31) % 1009``."""
+    return F.transform(F.split(text, ""), lambda c, i: ((F.ascii(c) * 7919 + (first + i) * 31) % 1009).cast("bigint"))
+
+
+@pytest.mark.parametrize("fraction,gap,width", [(0.25, 8, 64), (0.5, 0, 200), (0.25, 300, 1000)])
+def test_pieces_give_the_candidates_of_the_row_form(spark, fraction, gap, width):
+    from tracewell.operators import longspans
+
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdé日", k=n)) for n in (0, 1, 63, 64, 65, 127, 128, 129, 500, 1000, 1023, 4321)] + ["a" * 3000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    settings = dict(window_lengths=(64, 128, 256), stride_fraction=fraction, quantile=0.9, gap=gap)
+    rows = longspans.text_candidates(df, key="id", score=position_scores, row_length=1 << 20, **settings)
+    cut = longspans.text_candidates(df, key="id", score=position_scores, row_length=0, width=width, **settings)
+    plain = lambda d: sorted((r["id"], r["candidate_id"], r["char_start"], r["char_end"], r["scale_id"], round(r["raw_score"], 9)) for r in d.collect())
+    want = plain(rows)
+    assert plain(cut) == want and len(want) > 10
+    scores = {i: [(ord(c) * 7919 + k * 31) % 1009 for k, c in enumerate(t or "")] for i, t in enumerate(texts)}
+    for i in scores:
+        mine = [r[2:5] for r in want if r[0] == i]
+        assert sorted(mine) == sorted(w[:3] for w in brute(scores[i], (64, 128, 256), fraction, 0.9, gap))
+    merged = dict(settings, refine_quantile=None)
+    assert plain(longspans.text_candidates(df, key="id", score=position_scores, row_length=0, width=width, **merged)) == plain(
+        longspans.text_candidates(df, key="id", score=position_scores, **merged))
+    assert longspans.text_candidates(df.limit(0), key="id", score=position_scores, **settings).count() == 0
+
+
+def test_a_long_text_is_spread_over_tasks(spark):
+    from tracewell.operators import longspans
+
+    df = spark.createDataFrame([(1, "abcdefg" * 300_000)], "id long, text string")
+    pieces = longspans.text_pieces(df, key="id", text="text", width=1 << 14, halo=1024, chunk=8)
+    found = pieces.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("own").alias("n")).collect()
+    assert sum(r["n"] for r in found) == 2_100_000 and len(found) > 1

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import repetition_ratio
-from ..operators import calibration, decision, evidence, spans
+from ..operators import calibration, decision, evidence, longspans, spans
 from ..plans import attribution as A
 from ..plans import corpus
-from ..session import spread, staged
-from .oracle import WS, query
+from ..session import staged
+from .oracle import REFINED, WS, query
 from .registry import register
 
 
@@ -24,8 +24,9 @@ def r9(name: str, alias: str | None = None):
 @register(
     "f11_character_scores",
     """
-SELECT doc_id, n, total, checksum, top, length(regexp_replace(text, '""" + WS + """', '', 'g'))::BIGINT AS effective_length
-FROM documents JOIN (
+SELECT doc_id, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(checksum, 0) AS checksum, top,
+  length(regexp_replace(text, '""" + WS + """', '', 'g'))::BIGINT AS effective_length
+FROM documents LEFT JOIN (
   SELECT doc_id, count(*) AS n, sum(num)::BIGINT AS total, sum(num * (pos % 97))::BIGINT AS checksum, max(num)::BIGINT AS top
   FROM (SELECT doc_id, pos, (unicode(c)::BIGINT * 1103515245 + pos * 12345) & 65535 AS num FROM (
     SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(n_chars)) AS pos FROM documents WHERE n_chars > 0))
@@ -33,7 +34,7 @@ FROM documents JOIN (
 """,
 )
 def f11(spark, sf):
-    docs = corpus.texts(spark, sf).where("n_chars > 0").withColumn("watermark_family", F.lit(None).cast("string"))
+    docs = corpus.texts(spark, sf).withColumn("watermark_family", F.lit(None).cast("string"))
     scored = corpus.with_scores(docs)
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
     return scored.select(
@@ -47,48 +48,63 @@ def searched(spark, sf):
     return A.scored(spark, sf)
 
 
+def every_text(spark, sf):
+    """All documents as one text a row; those without a text have none."""
+    return corpus.texts(spark, sf).select("doc_id", "text")
+
+
+def plain_scores(text, first):
+    return corpus.character_scores(text, first=first)
+
+
 @register(
     "w6_candidate_windows",
-    query("SELECT d.document_id, len::BIGINT AS scale, count(*) AS kept, min(start)::BIGINT AS first_start, "
+    query("SELECT doc_id, len::BIGINT AS scale, count(*) AS kept, min(start)::BIGINT AS first_start, "
           "max(stop)::BIGINT AS last_end, round(max(mean), 6) AS best_mean, round(min(mean), 6) AS cut_mean "
-          "FROM d_docs d JOIN d_raw USING (text_sha256, marked) GROUP BY ALL"),
+          "FROM a_docs JOIN a_raw USING (text_sha256) GROUP BY ALL"),
 )
 def w6(spark, sf):
-    docs = corpus.rows(spark, sf).where("status = 'generated'")
-    null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
-    docs = corpus.with_scores(spread(docs.where(null | F.col("split").isin("dev", "test")), "recipe_id"))
-    from ..functions.arrays import let
-
-    raw = docs.select("recipe_id", F.inline(let(F.col("scores"), lambda s: spans.raw_windows(s, integral=True))))
-    return raw.groupBy(F.col("recipe_id").alias("document_id"), big("scale")).agg(
+    raw = longspans.text_windows(every_text(spark, sf), key="doc_id", score=plain_scores)
+    return raw.groupBy("doc_id", big("scale")).agg(
         F.count(F.lit(1)).alias("kept"), F.min("char_start").cast("bigint").alias("first_start"),
         F.max("char_end").cast("bigint").alias("last_end"), F.round(F.max("mean"), 6).alias("best_mean"),
         F.round(F.min("mean"), 6).alias("cut_mean"),
     )
 
 
+def found_in_texts(spark, sf, **settings):
+    found = longspans.text_candidates(every_text(spark, sf), key="doc_id", score=plain_scores, unit=65535.0, **settings)
+    return found.select("doc_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score"))
+
+
 @register(
     "w8_merged_candidates",
-    query("SELECT d.document_id, 'generic-merged-' || idx AS candidate_id, start::BIGINT AS char_start, "
+    query("SELECT doc_id, 'generic-merged-' || idx AS candidate_id, start::BIGINT AS char_start, "
           "stop::BIGINT AS char_end, 'char-' || len AS scale_id, round(mean / 65535.0::DOUBLE, 9) AS raw_score "
-          "FROM d_docs d JOIN d_merged USING (text_sha256, marked)"),
+          "FROM a_docs JOIN a_merged USING (text_sha256)"),
 )
 def w8(spark, sf):
-    docs = corpus.rows(spark, sf).where("status = 'generated'")
-    null = (F.col("split") == "calibration") & F.col("watermark_family").isNull()
-    docs = corpus.with_scores(spread(docs.where(null | F.col("split").isin("dev", "test")), "recipe_id"))
-    found = spans.with_candidates(docs, unit=65535.0, refine_quantile=None)
-    return found.select(F.col("recipe_id").alias("document_id"), F.inline("candidates")).select(
-        "document_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score")
-    )
+    return found_in_texts(spark, sf, refine_quantile=None)
+
+
+@register("w9_refined_candidates", query(REFINED))
+def w9(spark, sf):
+    return found_in_texts(spark, sf)
+
+
+@register("w9_piecewise_candidates", query(REFINED))
+def w9_pieces(spark, sf):
+    """The piece form over every document, also those that would fit their row."""
+    return found_in_texts(spark, sf, row_length=0, width=4096)
 
 
 @register(
-    "w9_refined_candidates",
+    "w9_segment_measures",
     query("SELECT document_id, candidate_id, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, scale_id, "
           "round(raw_score, 9) AS raw_score, round(repetition, 9) AS repetition, tokens::BIGINT AS tokens FROM d_segments"),
 )
-def w9(spark, sf):
+def w9_segments(spark, sf):
+    """Spans of the derived rows that attribution searches, with the measures of their segments."""
     return searched(spark, sf).select("document_id", F.inline("candidates")).select(
         "document_id", "candidate_id", big("char_start"), big("char_end"), "scale_id", r9("raw_score"),
         r9("repetition"), big("tokens"),

@@ -266,6 +266,22 @@ SELECT text_sha256, marked, idx, len, min(pos)::INT AS char_start, (max(pos) + 1
 FROM d_local WHERE num >= med GROUP BY ALL
 """,
 )
+# The same search over every document in place of the derived rows.
+cte(
+    "a_texts",
+    """
+SELECT text_sha256, false AS marked, any_value(text) AS text, length(any_value(text)) AS n
+FROM (SELECT text, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL) GROUP BY ALL
+""",
+)
+for _name in "chars prefix starts edges windows cuts raw islands merged local refined".split():
+    cte(f"a_{_name}", re.sub(r"\bd_(?=[a-z])", "a_", _CTES[f"d_{_name}"]))
+cte("a_docs", "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL")
+REFINED = """
+SELECT doc_id, 'generic-merged-' || m.idx || '-refined' AS candidate_id, r.char_start::BIGINT AS char_start, r.char_end::BIGINT AS char_end,
+  'char-' || m.len AS scale_id, round(r.raw_score, 9) AS raw_score
+FROM a_docs JOIN a_merged m USING (text_sha256) JOIN a_refined r USING (text_sha256, idx)
+"""
 cte(
     "d_grams",
     """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash
 from ..schemas import ROUTES
-from .ordered import distinct_running
+from .ordered import RANGE, distinct_running, in_ranges, with_running
 
 POOL_KEYS = ("pool", "route", "stratum")
 
@@ -144,16 +144,36 @@ def tail_p(
 
 
 def attach_p(
-    df: DataFrame, pool: DataFrame, keys: Mapping[str, Column], *, value: str, out: str, lower: bool = False
+    df: DataFrame, pool: DataFrame, keys: Mapping[str, Column], *, value: str, out: str, lower: bool = False,
+    statistic: str = "maximum_statistic",
 ) -> DataFrame:
-    """Add ``out``: the empirical p of ``value`` (null when its stratum has no pool)."""
-    keyed = df.withColumns({f"_k_{k}": c for k, c in keys.items()})
-    observed = keyed.select(*[F.col(f"_k_{k}").alias(k) for k in keys], value)
-    table = tail_p(observed, pool, list(keys), value=value, lower=lower)
-    table = table.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value), F.col("p_value").alias(out)
-    )
-    return keyed.join(table, [*[f"_k_{k}" for k in keys], value], "left").drop(*[f"_k_{k}" for k in keys])
+    """Add ``out``: the empirical p of ``value`` (null when its stratum has no pool, or without a value).
+
+    The pool becomes a run-length distribution, one row per distinct value with its count. Rows and runs are dealt
+    together into ranges of (keys, value, hash of the row) and each row takes the count of the runs before it: those of
+    its own range by a running sum, those of earlier ranges from a table of one row per key and range. Nothing is
+    joined by value, so a value that a third of all rows share is cut into as many ranges as it fills.
+    """
+    names = {k: f"_k_{k}" for k in keys}
+    order = F.col("_value") if lower else -F.col("_value")
+    seen = df.withColumn("_value", F.col(value)).select(
+        F.struct(*df.columns).alias("_row"), *[c.alias(names[k]) for k, c in keys.items()], order.alias("_order"),
+        F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_n"), F.xxhash64(*df.columns).alias("_salt"),
+    )
+    runs = pool.where(F.col(statistic).isNotNull()).groupBy(*keys, F.col(statistic).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    runs = runs.select(
+        F.lit(None).cast(seen.schema["_row"].dataType).alias("_row"), *[F.col(k).alias(n) for k, n in names.items()],
+        order.alias("_order"), F.lit(0).alias("_kind"), "_n", F.lit(0).cast("bigint").alias("_salt"),
+    )
+    ranged = in_ranges(seen.unionByName(runs), list(names.values()), ["_order", "_kind", "_salt"])
+    ran = with_running(
+        ranged, list(names.values()), F.col(RANGE), [F.col("_order"), F.col("_kind")], sums={"_cum": F.col("_n")},
+        totals={"_all": F.col("_n")},
+    )
+    p = F.when((F.col("_all") > 0) & F.col("_order").isNotNull(), (F.col("_cum") + 1) / (F.col("_all") + 1))
+    return ran.where("_kind = 1").select("_row.*", p.alias(out))
 
 
 def bonferroni(p: Column, tests: Column) -> Column:

@@ -29,6 +29,7 @@ def with_running(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
     descending: bool = False,
     inclusive: bool = True,
 ) -> DataFrame:
@@ -36,9 +37,9 @@ def with_running(
 
     ``bucket`` must not decrease along ``order`` (not increase when ``descending``) and must be a
     function of the row alone. ``sums``/``maxes`` run up to and including the row, or up to the row
-    before it with ``inclusive=False``; ``lags`` is the value of the preceding row.
+    before it with ``inclusive=False``; ``lags`` is the value of the preceding row, ``totals`` are sums of the group.
     """
-    sums, maxes, lags = dict(sums or {}), dict(maxes or {}), dict(lags or {})
+    sums, maxes, lags, totals = dict(sums or {}), dict(maxes or {}), dict(lags or {}), dict(totals or {})
     keyed = df.withColumn(BUCKET, bucket)
     keys = [*groups, BUCKET]
     names = [f"_g{i}" for i in range(len(groups))]
@@ -46,6 +47,7 @@ def with_running(
     parts = [F.count(F.lit(1)).alias("_n")]
     parts += [F.sum(c).alias(f"_s_{n}") for n, c in sums.items()]
     parts += [F.max(c).alias(f"_m_{n}") for n, c in maxes.items()]
+    parts += [F.sum(c).alias(f"_w_{n}") for n, c in totals.items()]
     pick = F.min_by if descending else F.max_by
     if lags:
         parts += [pick(F.struct(c.alias("v")), _order_key(order)).alias(f"_l_{n}") for n, c in lags.items()]
@@ -60,6 +62,7 @@ def with_running(
     carried += [F.sum(f"_s_{n}").over(before).alias(f"_s0_{n}") for n in sums]
     carried += [F.max(f"_m_{n}").over(before).alias(f"_m0_{n}") for n in maxes]
     carried += [F.last(f"_l_{n}").over(before).alias(f"_l0_{n}") for n in lags]
+    carried += [F.sum(f"_w_{n}").over(whole).alias(f"_w0_{n}") for n in totals]
     offsets = per_bucket.select(*carried).withColumnRenamed(BUCKET, "_b")
 
     match = F.col(BUCKET).eqNullSafe(F.col("_b"))
@@ -74,6 +77,7 @@ def with_running(
         out.append((F.col("_n0") + F.row_number().over(inside)).cast("bigint").alias(rank))
     if total:
         out.append(F.col("_nt").cast("bigint").alias(total))
+    out += [F.coalesce(F.col(f"_w0_{n}"), F.lit(0).cast("bigint")).alias(n) for n in totals]
     for n, c in sums.items():
         zero = F.lit(0).cast("bigint")
         out.append((F.coalesce(F.col(f"_s0_{n}"), zero) + F.coalesce(F.sum(c).over(frame), zero)).alias(n))

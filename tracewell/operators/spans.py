@@ -16,7 +16,7 @@ from ..functions.arrays import array_sum, higher_quantile, let, linear_quantile
 from ..schemas import CANDIDATE_QUANTILE, MERGE_GAP, STRIDE_FRACTION, WINDOW_LENGTHS
 
 
-def _stride(length: int, fraction: float) -> int:
+def stride_of(length: int, fraction: float) -> int:
     return max(1, int(round(length * fraction)))
 
 
@@ -91,7 +91,7 @@ def raw_windows(
     if not 0.0 < stride_fraction <= 1.0 or not 0.0 <= quantile <= 1.0:
         raise ValueError("stride_fraction must lie in (0, 1] and quantile in [0, 1]")
     lengths = sorted({int(v) for v in window_lengths if int(v) >= 1})
-    strides = [_stride(v, stride_fraction) for v in lengths]
+    strides = [stride_of(v, stride_fraction) for v in lengths]
     step = math.gcd(*lengths, *strides)
     zero = _zero(integral)
 

@@ -101,8 +101,21 @@ def with_scores(df: DataFrame) -> DataFrame:
     )
 
 
-def character_scores(text: Column, lo: Column | None = None, hi: Column | None = None) -> Column:
-    """Deterministic score numerators per code point (fixed multipliers), optionally raised in [lo, hi)."""
+def character_scores(
+    text: Column, lo: Column | None = None, hi: Column | None = None, first: Column | None = None
+) -> Column:
+    """Deterministic score numerators per code point (fixed multipliers), optionally raised in [lo, hi).
+
+    ``first`` is the position of the first character where the text is a piece of a longer one.
+    """
+    if first is not None:
+        return let(
+            first.cast("bigint"),
+            lambda at: F.transform(
+                F.split(text, ""),
+                lambda c, i: (F.ascii(c).cast("bigint") * 1103515245 + (at + i) * 12345).bitwiseAND(F.lit(65535)),
+            ),
+        )
 
     def base(c: Column, i: Column) -> Column:
         code = F.ascii(c).cast("bigint")

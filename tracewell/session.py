@@ -66,15 +66,17 @@ def shared_table(spark: SparkSession, scope: str, name: str, build) -> DataFrame
     return spark.read.parquet(_SHARED[key])
 
 
+SPREAD_SPLITS = 64  # 8 GB at the usual split size
+
+
 def spread(scan: DataFrame, key: str, per_core: int = 4) -> DataFrame:
-    """Rows of a scan over enough partitions for compute-heavy columns.
+    """Rows of a scan of few splits over enough partitions for compute-heavy columns.
 
-    A table with as many splits as the cluster can use is returned untouched (no shuffle). Only a scan
-    with few row groups, such as a single small file, is hashed by ``key`` to occupy every core.
-    Use it on scans with filters and projections only.
+    A table of ``SPREAD_SPLITS`` splits or more is returned untouched, however large the cluster, so no table of more
+    than some gigabytes is ever shuffled for this. Use it on scans with filters and projections only.
     """
     want = per_core * scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= want:
+    if scan.rdd.getNumPartitions() >= min(want, SPREAD_SPLITS):
         return scan
     return scan.repartition(want, F.xxhash64(key))
 
