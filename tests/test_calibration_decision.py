@@ -50,6 +50,37 @@ def test_exact_upper_bounds():
     assert upper_bound(5, 5, 0.95) == 1.0
 
 
+def test_ordered_digest_is_free_of_partitions(spark):
+    import hashlib
+    import random
+
+    from tracewell.operators import digest
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    draw = random.Random(9)
+    rows = [(draw.choice("ab"), i, draw.choice(["x", None, "y:z"])) for i in range(2500)] + [("c", 1, "once"), ("a", 7, "same id"), (None, 3, "n")]
+
+    def plain(of):
+        nodes = [sha(("-" if v is None else f"{len(v)}:{v}")) for _, _, v in of]
+        while True:
+            nodes = [sha("".join(nodes[i : i + 1024])) for i in range(0, len(nodes), 1024)]
+            if len(nodes) == 1:
+                return nodes[0]
+
+    want = {}
+    for g in ("a", "b", "c", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], sha("-" if r[2] is None else f"{len(r[2])}:{r[2]}")))
+        want[g] = (len(own), plain(own))
+    df = spark.createDataFrame(rows, "g string, i long, v string")
+    for parts in (1, 7):
+        found = digest.ordered_digest(df.repartition(parts), ["i"], digest.row_digest(F.col("v")), ["g"])
+        assert {r["g"]: (r["rows"], r["content_digest"]) for r in found.collect()} == want
+    other = df.withColumn("v", F.when(F.col("i") == 1200, F.lit("changed")).otherwise(F.col("v")))
+    assert {r["content_digest"] for r in digest.ordered_digest(other, ["i"], digest.row_digest(F.col("v"))).collect()} != {
+        r["content_digest"] for r in digest.ordered_digest(df, ["i"], digest.row_digest(F.col("v"))).collect()}
+    assert digest.ordered_digest(df.limit(0), ["i"], F.col("v")).count() == 0
+
+
 def parent_records(spark, parents=100):
     rows = [
         ("primary", route, f"{lang}:all", f"{lang}{i}", f"{lang}{i}-{k}", "calibration", float(i + k))
@@ -82,6 +113,17 @@ def test_pool_round_trip_refuses_another_search(spark, tmp_path):
     path = str(tmp_path / "pool")
     calibration.save_pool(pool, header, path)
     assert calibration.load_pool(spark, path, header.withColumn("calibration_id", F.lit("other"))).count() == 30
+    stored = spark.read.parquet(f"{path}/values")
+    changed = stored.withColumn("maximum_statistic", F.when(F.col("parent_id") == "en0", 99.0).otherwise(F.col("maximum_statistic")))
+    for name, copy, fine in (("changed", changed, False), ("fewer", stored.where("parent_id <> 'en0'"), False), ("dealt", stored.repartition(9), True)):
+        other = str(tmp_path / name)
+        copy.write.partitionBy("route", "stratum").parquet(f"{other}/values")
+        spark.read.json(f"{path}/header").write.json(f"{other}/header")
+        if fine:
+            assert calibration.load_pool(spark, other, header).count() == 30
+        else:
+            with pytest.raises(ValueError, match="checksum"):
+                calibration.load_pool(spark, other, header)
     with pytest.raises(ValueError):
         calibration.load_pool(spark, path, header.withColumn("search_config_hash", F.lit("other")))
 

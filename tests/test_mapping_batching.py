@@ -76,3 +76,32 @@ def test_sustained_breach_needs_the_grace_time(spark):
     log = spark.createDataFrame(rows, "task_id string, seq int, temperature double").withColumn("time", F.timestamp_seconds("seq"))
     got = monitoring.sustained_breaches(log, limit=85.0).first()
     assert got["breach_time"].minute == 2 and got["breach_points"] == 1
+
+
+def test_feature_store_round_trip_and_damage(spark, tmp_path):
+    from tracewell.sources import features
+
+    kind = ("document_id string, a_values array<array<float>>, a_mask array<boolean>, a_offsets array<array<int>>, "
+            "b_values array<array<float>>, b_mask array<boolean>, b_offsets array<array<int>>")
+    spots = [[0, 3], [-1, -1]]
+    good = ("ok", [[1.0, 2.0], [3.0, 4.0]], [True, True], spots, [[5.0], [6.0]], [True, False], spots)
+    rows = [good, ("offsets", *good[1:6], [[0, 3], [4, 5]]), ("short", *good[1:4], [[5.0]], *good[5:]), ("wrong", *good[1:]), ("lost", *good[1:])]
+    df = spark.createDataFrame(rows, kind)
+    manifest = features.save_features(df, str(tmp_path / "store"), ["a", "b"])
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        features.save_features(df, str(tmp_path / "store"), ["a", "b"])
+    with pytest.raises(Exception, match="not finite"):
+        features.save_features(spark.createDataFrame([("nan", [[float("nan")]], *good[2:])], kind), str(tmp_path / "bad"), ["a", "b"])
+    back = features.load_features(spark, str(tmp_path / "store"), manifest, ["a", "b"])
+    found = {r["document_id"]: r for r in back.collect()}
+    assert found["ok"]["violation"] is None and found["ok"]["valid_mask"] == [True, False]
+    assert found["ok"]["a_values"] == [[1.0, 2.0], [3.0, 4.0]] and found["ok"]["offsets"] == spots
+    assert found["offsets"]["violation"] == "inconsistent_offsets" and found["short"]["violation"] == "not_aligned"
+    stored = spark.read.parquet(str(tmp_path / "store"))
+    hit = F.when(F.col("document_id") == "ok", F.array(F.array(F.lit(9.0).cast("float")))).otherwise(F.col("b_values"))
+    stored.where("document_id <> 'lost'").withColumn("b_values", hit).write.parquet(str(tmp_path / "copy"))
+    listed = manifest.withColumn("feature_sha256", F.when(F.col("document_id") == "wrong", F.lit("0")).otherwise(F.col("feature_sha256")))
+    found = {r["document_id"]: r["violation"] for r in features.load_features(spark, str(tmp_path / "copy"), listed, ["a", "b"]).collect()}
+    assert found == {"ok": "hash_mismatch", "wrong": "hash_mismatch", "lost": "missing", "offsets": "inconsistent_offsets", "short": "not_aligned"}
+    with pytest.raises(Exception, match="hash_mismatch"):
+        features.require_verified(features.load_features(spark, str(tmp_path / "copy"), listed.where("document_id = 'ok'"), ["a", "b"])).collect()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from tracewell import catalog
 from tracewell.operators import assembly, planning
 from tracewell.sources import tables
 from tracewell.plans import corpus
@@ -70,8 +71,9 @@ def test_jsonl_refuses_overwrite_and_bad_rows(spark, tmp_path):
 
 
 def test_every_query_has_a_name_and_most_have_sql():
-    queries, sql = entry_points.queries(), entry_points.oracle_sql()
+    queries, sql = catalog.load()
     assert set(sql) <= set(queries) and len(queries) >= 110
+    assert set(queries) <= set(entry_points.queries()) and set(sql) <= set(entry_points.oracle_sql())
     assert set(queries) - set(sql) == {
         "s3_file_manifest", "j14_normalized_spans", "f9_mahalanobis", "m1_logistic_regression", "m2_perceptron", "m3_boosted_trees",
     }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import repetition_ratio
 from ..operators import calibration, decision, evidence, longspans, spans
+from ..operators.ordered import with_scalars
 from ..plans import attribution as A
 from ..plans import corpus
 from ..session import staged
@@ -395,6 +396,16 @@ def w10(spark, sf):
           "WHERE pool = 'primary' GROUP BY ALL"),
 )
 def s6(spark, sf):
+    pool, header, path = saved_pool(spark, sf)
+    loaded = calibration.load_pool(spark, path, expected=header)
+    return loaded.groupBy("route", "stratum").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("maximum_statistic"), 9).alias("lowest"),
+        F.round(F.max("maximum_statistic"), 9).alias("highest"),
+    )
+
+
+def saved_pool(spark, sf):
+    """The primary pool with its header, saved to a new folder."""
     import uuid
 
     from ..session import shared_dir
@@ -410,11 +421,36 @@ def s6(spark, sf):
         F.lit("en,de,es,fr").alias("languages"), "strata",
     )
     calibration.save_pool(pool, header, path)
-    loaded = calibration.load_pool(spark, path, expected=header)
-    return loaded.groupBy("route", "stratum").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.min("maximum_statistic"), 9).alias("lowest"),
-        F.round(F.max("maximum_statistic"), 9).alias("highest"),
-    )
+    return pool, header, path
+
+
+@register(
+    "s6_pool_checksum",
+    query("SELECT what, n, refused FROM (SELECT count(*) AS n FROM d_pool WHERE pool = 'primary'), "
+          "(VALUES ('as saved', false), ('one value changed', true), ('one row gone', true)) AS c(what, refused)"),
+)
+def s6_checksum(spark, sf):
+    """Which copies of a saved pool the reader refuses: one with a changed value, one short of a row, the pool itself."""
+    pool, header, path = saved_pool(spark, sf)
+    rows = []
+    first = F.struct("route", "stratum", "parent_id")
+    one = spark.read.parquet(f"{path}/values").agg(F.min(first).alias("m")).select("m.*").first()
+    hit = (F.col("route") == one["route"]) & (F.col("stratum") == one["stratum"]) & (F.col("parent_id") == one["parent_id"])
+    changed = F.when(hit, F.col("maximum_statistic") + 1e-9).otherwise(F.col("maximum_statistic"))
+    copies = {
+        "as saved": pool, "one value changed": pool.withColumn("maximum_statistic", changed), "one row gone": pool.where(~hit),
+    }
+    for what, copy in copies.items():
+        target = f"{path}-{what.replace(' ', '-')}"
+        copy.write.partitionBy("route", "stratum").parquet(f"{target}/values")
+        spark.read.json(f"{path}/header").write.json(f"{target}/header")
+        try:
+            calibration.load_pool(spark, target, expected=header)
+            rows.append((what, False))
+        except ValueError:
+            rows.append((what, True))
+    told = spark.createDataFrame(rows, "what string, refused boolean")
+    return with_scalars(told, pool.agg(F.count(F.lit(1)).alias("n"))).select("what", "n", "refused")
 
 
 def calibrated_scores(spark, sf, split="dev"):

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import content_hash, stable_hash
 from ..functions.text import collapse_whitespace, truncate_fraction
-from ..operators import assembly, batching, planning
+from ..operators import assembly, batching, digest, planning
 from ..operators.ordered import hash_rank
 from ..plans import corpus
 from ..schemas import DOCUMENT, SEED
 from ..session import shared_dir
-from ..sources import tables
+from ..sources import features, tables
 from .oracle import WS, cte, query
 from .registry import register
 
@@ -89,6 +89,42 @@ def s5(spark, sf):
     )
 
 
+@register(
+    "s5_stored_features",
+    """
+SELECT vec_id, CASE vec_id % 50 WHEN 1 THEN 'hash_mismatch' WHEN 2 THEN 'inconsistent_offsets' WHEN 3 THEN 'hash_mismatch'
+    WHEN 4 THEN 'not_aligned' WHEN 5 THEN 'missing' ELSE 'ok' END AS violation,
+  CASE vec_id % 50 WHEN 5 THEN -1 ELSE (SELECT count(*) FROM range(8) AS r(i)
+    WHERE embedding[i * 8 + 1] > -0.1::FLOAT AND embedding[i * 8 + 5] < 0.1::FLOAT AND (vec_id % 50 <> 4 OR i < 7)) END AS valid_tokens
+FROM embeddings
+""",
+)
+def s5_stored(spark, sf):
+    """Two views of 8 tokens, saved and read back; some documents are damaged, saved askew, wrongly listed or lost."""
+    part = lambda first, size: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + first, size))
+    at = lambda offset: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array(i * 10, i * 10 + 9 + offset))
+    case = F.col("vec_id") % 50
+    mask_b = F.transform(F.sequence(F.lit(0), F.when(case == 4, F.lit(6)).otherwise(F.lit(7))), lambda i: F.get("embedding", i * 8 + 4) < F.lit(0.1).cast("float"))
+    docs = corpus.read(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("document_id"), part(1, 4).alias("a_values"), part(5, 4).alias("b_values"),
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("embedding", i * 8) > F.lit(-0.1).cast("float")).alias("a_mask"),
+        mask_b.alias("b_mask"), at(F.lit(0)).alias("a_offsets"), at(F.when(case == 2, F.lit(1)).otherwise(F.lit(0))).alias("b_offsets"),
+    )
+    path, views = fresh(spark, "features"), ["a", "b"]
+    listed = features.save_features(docs, path, views)
+    stored = spark.read.parquet(path)
+    kind = F.col("document_id") % 50
+    worse = F.transform("a_values", lambda row, i: F.when(i == 0, F.transform(row, lambda x: x + F.lit(1).cast("float"))).otherwise(row))
+    damaged = stored.where(kind != 5).withColumn("a_values", F.when(kind == 1, worse).otherwise(F.col("a_values")))
+    damaged.write.parquet(f"{path}-damaged")
+    wrong = listed.withColumn("feature_sha256", F.when(kind == 3, F.sha2("feature_sha256", 256)).otherwise(F.col("feature_sha256")))
+    out = features.load_features(spark, f"{path}-damaged", wrong, views)
+    return out.select(
+        F.col("document_id").alias("vec_id"), F.coalesce("violation", F.lit("ok")).alias("violation"),
+        F.coalesce(F.size(F.filter("valid_mask", lambda m: m)), F.lit(-1)).cast("bigint").alias("valid_tokens"),
+    )
+
+
 @register(
     "p1_eligibility",
     "SELECT doc_id::VARCHAR AS parent_id, length(text)::BIGINT AS n FROM documents WHERE length(text) >= 1000",
@@ -456,6 +492,24 @@ def s7(spark, sf):
     return index.select("split", big("shard"), "batches", "examples")
 
 
+@register(
+    "s7_shard_drift",
+    recursive("""
+SELECT DISTINCT f.split, (f.batch_id // 16)::BIGINT AS shard FROM fold f JOIN d_rows r ON f.split = r.split AND f.parent_id = r.parent_ids[1]
+WHERE r.status = 'generated' AND len(r.parent_ids) = 1 AND ends_with(r.recipe_id, '7')"""),
+)
+def s7_drift(spark, sf):
+    """Shards whose index no longer fits a copy in which some examples got another id."""
+    rows, batches = packed(spark, sf)
+    path = fresh(spark, "batches")
+    tables.write_batches(rows.select("split", "parent_id", "recipe_id").join(batches, ["split", "parent_id"]), path)
+    stored = tables.read_batches(spark, path)
+    renamed = F.when(F.col("recipe_id").endswith("7"), F.concat("recipe_id", F.lit("x"))).otherwise(F.col("recipe_id"))
+    tables.write_batches(stored.withColumn("recipe_id", renamed), f"{path}-copy")
+    drift = tables.shard_drift(tables.shard_index(stored), tables.read_batches(spark, f"{path}-copy"))
+    return drift.select("split", big("shard"))
+
+
 @register(
     "j10_pair_masks",
     recursive("""
@@ -508,6 +562,27 @@ def a1b(spark, sf):
     return planning.split_summary(corpus.slotted_parents(spark, sf))
 
 
+@register(
+    "a1_ordered_digest",
+    """
+WITH RECURSIVE d AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id, h) - 1 AS place, h, count(*) OVER (PARTITION BY lang) AS rows FROM (
+    SELECT lang, doc_id, sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-')
+      || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents)
+), t AS (
+  SELECT lang, place // 1024 AS place, rows, (rows + 1023) // 1024 AS n, sha256(string_agg(h, '' ORDER BY place)) AS h FROM d GROUP BY lang, place // 1024, rows
+  UNION ALL SELECT lang, place // 1024, rows, (n + 1023) // 1024, sha256(string_agg(h, '' ORDER BY place)) FROM t WHERE n > 1
+  GROUP BY lang, place // 1024, rows, n
+)
+SELECT lang, rows, h AS content_digest FROM t WHERE n = 1
+""",
+)
+def a1_digest(spark, sf):
+    """A digest per language of all its documents in order of their ids."""
+    docs = corpus.read(spark, sf, "documents")
+    return digest.ordered_digest(docs, ["doc_id"], digest.row_digest(*[F.col(c) for c in ("doc_id", "source", "text")]), ["lang"])
+
+
 @register(
     "a2_recipe_counts",
     query("SELECT kind, split, source, count(*) AS n FROM d_recipes GROUP BY ALL"),

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import content_hash
 from ..schemas import ROUTES
-from .ordered import RANGE, distinct_running, in_ranges, with_running
+from ..session import staged
+from .digest import ordered_digest, row_digest
+from .ordered import RANGE, distinct_running, in_ranges, with_running, with_scalars
 
 POOL_KEYS = ("pool", "route", "stratum")
 
@@ -189,19 +193,43 @@ def compatibility_hash(header: DataFrame) -> DataFrame:
     return header.withColumn("compatibility_hash", content_hash(**{f: F.col(f) for f in fields}))
 
 
+def pool_digest(pool: DataFrame) -> DataFrame:
+    """One row: number of rows and digest of a pool's values in the order of its columns."""
+    columns = sorted(pool.columns)
+    return ordered_digest(pool, columns, row_digest(*[F.col(c) for c in columns]))
+
+
 def save_pool(pool: DataFrame, header: DataFrame, path: str) -> None:
-    """Write pool values partitioned by route and stratum with a one-row header; never overwrites."""
-    ordered = pool.repartition("route", "stratum").sortWithinPartitions("route", "stratum", "maximum_statistic")
+    """Write pool values by route and stratum with a one-row header; never overwrites.
+
+    The header has the values' schema, number and digest. Values are dealt by ranges, so a large stratum is many files.
+    """
+    pool = staged(pool, "pool-values")
+    columns = sorted(pool.columns)
+    ordered = pool.repartitionByRange("route", "stratum", "maximum_statistic", F.xxhash64(*columns))
+    ordered = ordered.sortWithinPartitions("route", "stratum", "maximum_statistic")
     ordered.write.mode("errorifexists").partitionBy("route", "stratum").parquet(f"{path}/values")
-    compatibility_hash(header).write.mode("errorifexists").json(f"{path}/header")
+    sums = pool_digest(pool).select(F.col("rows").alias("value_rows"), F.col("content_digest").alias("values_sha256"))
+    told = with_scalars(compatibility_hash(header), sums.agg(
+        F.coalesce(F.max("value_rows"), F.lit(0)).alias("value_rows"), F.max("values_sha256").alias("values_sha256")
+    )).withColumn("values_schema", F.lit(pool.schema.json()))
+    told.write.mode("errorifexists").json(f"{path}/header")
 
 
 def load_pool(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """Read a saved pool; with ``expected``, refuse one whose header is not compatible."""
-    values = spark.read.parquet(f"{path}/values")
+    """Read a saved pool, whose values must have the digest they were saved with.
+
+    With ``expected``, a pool whose header is not compatible is refused as well.
+    """
+    header = spark.read.json(f"{path}/header").first()
+    schema = StructType.fromJson(json.loads(header["values_schema"]))
+    values = spark.read.schema(schema).parquet(f"{path}/values").select(*schema.names)
     if expected is not None:
         want = compatibility_hash(expected).first()["compatibility_hash"]
-        have = spark.read.json(f"{path}/header").first()["compatibility_hash"]
-        if want != have:
+        if want != header["compatibility_hash"]:
             raise ValueError("calibration pool is not compatible with this run")
+    now = pool_digest(values).first()
+    have = (now["rows"], now["content_digest"]) if now else (0, None)
+    if have != (header["value_rows"], header["values_sha256"] if "values_sha256" in header else None):
+        raise ValueError("calibration pool does not have the checksum of its header")
     return values
