@@ -329,6 +329,8 @@ def test_language_held_out(spark):
     odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identified(odd, docs).collect()}
     assert odd[1] == odd[2] == odd[4] == ("und", 0.0) and odd[None][0] in langs
     assert language_id.identified(docs, docs.limit(0)).where("lang_pred <> 'und'").count() == 0
+    beyond = spark.createDataFrame([(1, "😀😀 🎉"), (2, "𝒜𝒷"), (3, "😀 12"), (4, "𐐀 😀")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in language_id.identified(beyond, docs).collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_topk_equals_brute_force(spark):

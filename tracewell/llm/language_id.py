@@ -28,7 +28,11 @@ def ngrams(text: str | None, letters: np.ndarray) -> np.ndarray:
     Empty if the text has no letter.
     """
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    word = (codes > 0xFFFF) | letters[np.minimum(codes, 0xFFFF)]
+    word = letters[np.minimum(codes, 0xFFFF)]
+    beyond = codes > 0xFFFF
+    if beyond.any():
+        distinct = np.unique(codes[beyond])
+        word[beyond] = np.isin(codes[beyond], distinct[[chr(c).isalpha() for c in distinct]])
     if not word.any():
         return np.empty(0, np.uint32)
     codes = np.where(word, codes, np.uint32(32))
