@@ -352,6 +352,21 @@ def test_topk_equals_brute_force(spark):
     assert topk_search.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_is_complete_where_rows_share_an_id(spark):
+    draw = np.random.default_rng(10)
+    vectors = draw.normal(size=(42, 6)).astype(np.float32)
+    ids = [100] * 3 + list(range(1, 40))
+    rows = list(zip(ids, vectors.tolist()))
+    df = spark.createDataFrame([(int(i), v) for i, v in rows] + [(100, vectors[0].tolist())], "vec_id long, embedding array<float>")
+    got = topk_search.nearest(df, F.col("vec_id") == 100).collect()
+    whole = np.floor(vectors.astype(float) * 1024).astype(np.int64)
+    want = []
+    for q in range(3):
+        order = sorted((r for r in range(42) if r != q), key=lambda r: (-(whole[r] @ whole[q]), ids[r]))[:10]
+        want += [(100, n, ids[r], int(whole[r] @ whole[q])) for n, r in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 30
+
+
 def test_pipeline_decides_by_row(spark, tmp_path):
     import corpus_pipeline
 

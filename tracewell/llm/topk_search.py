@@ -125,7 +125,7 @@ def nearest(
     """The k highest integer inner products of every query row: query_id, rank (from 1), vec_id, score.
 
     ``queries`` picks the query rows by columns ``vec_id`` and ``vec`` (the whole-number vector). Equal vectors are one
-    class, with the k + 1 smallest ids of its rows: no more of them can be in a result. The dimensions form score
+    class, with the k + 1 smallest ids of its rows: no more of them can be in a result, as one at most is the query's own. The dimensions form score
     lists. Phase 1 gathers the highest entries of every list and scores those vectors exactly; the k+1st best is a
     cutoff no result lies below. Phase 2 broadcasts it and collects every entry that reaches its share of the
     cutoff: a vector below the share in all lists cannot reach the cutoff. Sums with what missing entries can add
@@ -134,7 +134,8 @@ def nearest(
 
     Defined cases: rows without id, null vectors and vectors with null or non-finite components take no part; a
     shorter vector counts as filled up with zeros; ties go to the smaller id; a row that repeats id and vector
-    counts once, rows that share an id with different vectors are separate, and none is a result of its own id.
+    counts once; rows that share an id with different vectors are separate rows, each a candidate of the other: only
+    the query's own row is no result of its own.
     Other columns are ignored, whatever their names. Empty in, empty out; fewer than k others give them all.
     """
     spark = vectors.sparkSession
@@ -164,18 +165,18 @@ def nearest(
             block = []
     if block:
         rounds.append(_round(classes, block, width, k))
-    empty = classes.select(F.col("cid").alias("query"), F.explode("ids").alias("vec_id"), F.col("cid").alias("score")).limit(0)
+    empty = classes.select(F.col("cid").alias("query"), "cid", F.explode("ids").alias("vec_id"), F.col("cid").alias("score")).limit(0)
     best = empty
     for found in rounds:
         best = best.unionByName(found)
-    ranked = asked.join(best, "query").where("vec_id <> query_id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+    ranked = asked.join(best, "query").where("NOT (vec_id = query_id AND cid = query)").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id", "cid"))
     )
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _round(classes: DataFrame, block: list, width: int, k: int) -> DataFrame:
-    """(query, vec_id, score): the k + 1 best ids of every query class of a block."""
+    """(query, cid, vec_id, score): the k + 1 best rows of every query class of a block."""
     ids = np.array([r["cid"] for r in block], np.int64)
     queries = np.zeros((len(block), width), np.int64)
     for n, r in enumerate(block):
@@ -207,8 +208,8 @@ def _round(classes: DataFrame, block: list, width: int, k: int) -> DataFrame:
     final = left.select("query", "cid").join(members.select("cid", "vec"), "cid").select("query", "cid", "vec").mapInArrow(
         _resolved(ids, queries, width), _ENTRY
     )
-    top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    spread = final.join(members.select("cid", "ids"), "cid").select("query", "score", F.explode("ids").alias("vec_id"))
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "cid")
+    spread = final.join(members.select("cid", "ids"), "cid").select("query", "cid", "score", F.explode("ids").alias("vec_id"))
     return staged(
-        spread.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("query", "vec_id", "score"), "topk-best"
+        spread.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k + 1).select("query", "cid", "vec_id", "score"), "topk-best"
     )
