@@ -144,12 +144,35 @@ def test_divergence_edge_cases(spark):
     assert source_divergence.divergence(df.limit(0)).count() == 0
 
 
-def test_a_prefix_counts_a_document_once(spark):
-    rows = [(i, "abcdex abcdey abcdex", "en", "s", 1) for i in range(3)] + [(9, "abcdez", "en", "s", 1)]
+@pytest.mark.parametrize("counting", [source_divergence._counted, source_divergence._counted_short])
+def test_a_prefix_counts_a_document_once(spark, counting):
+    rows = [(i, "abcdex abcdey abcdex ab AB", "en", "s", 1) for i in range(3)] + [(9, "abcdez", "en", "s", 1), (10, "", "en", "s", 1)]
     counted = documents(spark, rows).coalesce(1).select("lang", "source", F.col("text").cast("binary")).mapInArrow(
-        source_divergence._counted(4, 0, None), source_divergence._COUNTS_SQL
+        counting(4, 0, None), source_divergence._COUNTS_SQL
     )
-    assert [(bytes(r["piece"]), r["whole"], r["docs"]) for r in counted.collect()] == [(b"abcd", False, 4)]
+    got = {(bytes(r["piece"]), r["source"], r["whole"], r["docs"], r["times"]) for r in counted.collect()}
+    assert got == {(b"abcd", None, False, 4, 0), (b"ab", None, True, 3, 0), (b"ab", "s", True, 0, 6)}
+
+
+def test_number_and_byte_counting_agree():
+    import pyarrow as pa
+
+    rows = [(lang or "", source or "", (text or "").encode()) for _, text, lang, source, _ in draw_documents(80, 6)] + [("en", "a", b"")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.binary()))], ["l", "s", "t"])
+
+    class Bits:
+        value = bytes(random.Random(7).randbytes(1 << (source_divergence.BITS - 3)))
+
+    for level, before, bits in ((4, 0, None), (8, 4, Bits), (8, 1, Bits)):
+        totals = []
+        for counting in (source_divergence._counted, source_divergence._counted_short):
+            seen = Counter()
+            for out in counting(level, before, bits)(iter([batch, batch])):
+                for *key, docs, times in zip(*(c.to_pylist() for c in out.columns)):
+                    seen[tuple(key), "docs"] += docs
+                    seen[tuple(key), "times"] += times
+            totals.append(+seen)
+        assert totals[0] == totals[1] and totals[0]
 
 
 def test_shares_are_exact_for_large_counts(spark):

@@ -33,8 +33,26 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
+SHORT = 8  # bytes that fit a number: such terms and prefixes are counted as numbers
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], np.uint64)
+_SPREAD = 0x9E3779B97F4A7C15
+
+
+def _of_lang(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
 def _place(lang: str, prefix: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b" " + prefix) & ((1 << BITS) - 1)
+    """The bit of a prefix."""
+    if len(prefix) > SHORT:
+        return xxhash.xxh64_intdigest(prefix, _of_lang(lang) & 0xFFFFFFFF) >> (64 - BITS)
+    return ((int.from_bytes(prefix, "little") ^ _of_lang(lang)) * _SPREAD & (1 << 64) - 1) >> (64 - BITS)
+
+
+def _alive(words: np.ndarray, lang: str, prefixes: np.ndarray) -> np.ndarray:
+    """Whether prefixes, as numbers, survived."""
+    bits = ((prefixes ^ np.uint64(_of_lang(lang))) * np.uint64(_SPREAD)) >> np.uint64(64 - BITS)
+    return (words[(bits >> np.uint64(3)).astype(np.int64)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 class Fate(dict):
@@ -69,18 +87,24 @@ _COUNTS_SQL = "lang string, source string, piece binary, whole boolean, docs lon
 
 
 def _counted(level: int, before: int, alive) -> Callable:
-    """Documents to counts: of whole terms of more than ``before`` and up to ``level`` bytes by source, and of the
-    prefixes of ``level`` bytes of longer ones, if their prefix of ``before`` bytes survived.
+    """Documents to counts of whole terms of more than ``before`` and up to ``level`` bytes, and of the prefixes of
+    ``level`` bytes of longer ones, if their prefix of ``before`` bytes survived.
 
-    A document counts once for a term and once for a prefix. Counters are handed on and emptied when they grow.
+    Documents are counted by language, as rows without a source, a term's occurrences by source. A document counts
+    once for a term and once for a prefix. Counters are handed on and emptied when they grow.
     """
 
     def rows(docs: dict, times: dict, prefixes: dict, fates: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counter in docs.items():
-            of, fate = times[lang, source], fates[lang]
+        for (lang, source), counter in times.items():
+            fate = fates[lang]
             pieces = [p for p in counter if fate[p] is True]
             n = len(pieces)
-            yield _batch([lang] * n, [source] * n, pieces, [True] * n, [counter[p] for p in pieces], [of[p] for p in pieces])
+            yield _batch([lang] * n, [source] * n, pieces, [True] * n, [0] * n, [counter[p] for p in pieces])
+        for lang, counter in docs.items():
+            fate = fates[lang]
+            pieces = [p for p in counter if fate[p] is True]
+            n = len(pieces)
+            yield _batch([lang] * n, [None] * n, pieces, [True] * n, [counter[p] for p in pieces], [0] * n)
         for lang, counter in prefixes.items():
             n = len(counter)
             yield _batch([lang] * n, [None] * n, list(counter), [False] * n, list(counter.values()), [0] * n)
@@ -93,11 +117,13 @@ def _counted(level: int, before: int, alive) -> Callable:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, source, text in zip(langs, sources, batch.column(2)):
                 found = terms(text.as_py())
+                if before:
+                    found = [t for t in found if len(t) > before]
                 if lang not in fates:
                     fates[lang] = Fate(lang, level, before, words)
                 # Whole terms are picked out when the counters are handed on, once each.
                 distinct = set(found)
-                docs[lang, source].update(distinct)
+                docs[lang].update(distinct)
                 times[lang, source].update(found)
                 prefixes[lang].update(set(map(fates[lang].__getitem__, distinct)) - {None, True})
             if sum(map(len, times.values())) + sum(map(len, prefixes.values())) > HELD:
@@ -109,6 +135,89 @@ def _counted(level: int, before: int, alive) -> Callable:
     return run
 
 
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first 8 bytes as a number, length, first token of each text) of all terms of some texts."""
+    joined = b" ".join([b"", *texts, b" " * SHORT]).translate(_TERMS)
+    cells = np.frombuffer(joined, np.uint8)
+    edges = np.flatnonzero(np.diff(cells != 0x20)) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    heads = np.lib.stride_tricks.sliding_window_view(cells, SHORT)[starts].copy().view("<u8").ravel()
+    ends = np.cumsum([1] + [len(t) + 1 for t in texts])
+    return heads & _MASKS[np.minimum(sizes, SHORT)], sizes, np.searchsorted(starts, ends)
+
+
+class Sums:
+    """Counts by number for each key, summed whenever they are looked at."""
+
+    def __init__(self) -> None:
+        self.parts: dict = defaultdict(list)
+
+    def add(self, key, codes: np.ndarray, n: np.ndarray) -> None:
+        if len(codes):
+            self.parts[key].append((codes, n))
+
+    def merged(self) -> int:
+        """Sum up what was added; how many counts there are."""
+        held = 0
+        for key, parts in self.parts.items():
+            if len(parts) > 1:
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+                self.parts[key] = [(codes, n)]
+            held += len(self.parts[key][0][0])
+        return held
+
+    def drained(self) -> Iterator[tuple]:
+        self.merged()
+        for key, [(codes, n)] in self.parts.items():
+            yield key, codes.astype("<u8").view("S8").tolist(), n.tolist()
+        self.parts.clear()
+
+
+def _counted_short(level: int, before: int, alive) -> Callable:
+    """The same as ``_counted`` for levels of up to 8 bytes, where every term and prefix is a number."""
+
+    def drain(docs: Sums, times: Sums, prefixes: Sums) -> Iterator[pa.RecordBatch]:
+        for (lang, source), pieces, n in times.drained():
+            yield _batch([lang] * len(n), [source] * len(n), pieces, [True] * len(n), [0] * len(n), n)
+        for sums, whole in ((docs, True), (prefixes, False)):
+            for lang, pieces, n in sums.drained():
+                yield _batch([lang] * len(n), [None] * len(n), pieces, [whole] * len(n), n, [0] * len(n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None if alive is None else np.frombuffer(alive.value, np.uint8)
+        docs, times, prefixes = Sums(), Sums(), Sums()
+
+        def count(rows: list[tuple[str, str, bytes]]) -> None:
+            heads, sizes, first = _tokens([r[2] for r in rows])
+            for (lang, source, _), a, b in zip(rows, first, first[1:]):
+                codes, size = heads[a:b], sizes[a:b]
+                if before:
+                    codes, size = codes[size > before], size[size > before]
+                    fits = _alive(words, lang, codes & _MASKS[before])
+                    codes, size = codes[fits], size[fits]
+                whole, n = np.unique(codes[size <= level], return_counts=True)
+                times.add((lang, source), whole, n)
+                docs.add(lang, whole, np.ones(len(whole), np.int64))
+                longer = np.unique(codes[size > level] & _MASKS[level])
+                prefixes.add(lang, longer, np.ones(len(longer), np.int64))
+
+        for batch in batches:
+            rows, held = [], 0
+            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                rows.append((row[0], row[1], row[2].as_py()))
+                held += len(rows[-1][2])
+                if held > 1_000_000:
+                    count(rows)
+                    rows, held = [], 0
+            count(rows)
+            if times.merged() + docs.merged() + prefixes.merged() > HELD:
+                yield from drain(docs, times, prefixes)
+        yield from drain(docs, times, prefixes)
+
+    return run
+
+
 def _batch(*columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNTS.types)], schema=_COUNTS)
 
@@ -144,16 +253,17 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, first_level: int =
     found = None
     while True:
         # The tasks have summed their own rows, so the counts are dealt out as they are.
-        counts = docs.mapInArrow(_counted(level, before, alive), _COUNTS_SQL).repartition("lang", "piece")
+        counting = _counted_short if level <= SHORT else _counted
+        counts = docs.mapInArrow(counting(level, before, alive), _COUNTS_SQL).repartition("lang", "piece")
         counts = staged(
             counts.groupBy("lang", "source", "piece", "whole").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")),
             "iceberg-level", codec="zstd",
         )
         whole = counts.where("whole").select("lang", "source", "piece", "docs", "times")
         kept = whole.groupBy("lang", "piece").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-        held = staged(whole.join(kept, ["lang", "piece"]).select("lang", "source", "piece", "times"), "iceberg-kept")
+        own = whole.where("source IS NOT NULL").select("lang", "source", "piece", "times")
+        held = staged(own.join(kept, ["lang", "piece"]).select("lang", "source", "piece", "times"), "iceberg-kept")
         found = held if found is None else found.unionByName(held)
-        # A row has one source, so the documents of a prefix are counted once without it.
         longer = staged(counts.where("NOT whole").where(F.col("docs") >= least).select("lang", "piece"), "iceberg-prefixes")
         if alive is not None:
             alive.unpersist()
