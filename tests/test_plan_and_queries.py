@@ -75,7 +75,7 @@ def test_every_query_has_a_name_and_most_have_sql():
     assert set(sql) <= set(queries) and len(queries) >= 110
     assert set(queries) <= set(entry_points.queries()) and set(sql) <= set(entry_points.oracle_sql())
     assert set(queries) - set(sql) == {
-        "s3_file_manifest", "j14_normalized_spans", "f9_mahalanobis", "m1_logistic_regression", "m2_perceptron", "m3_boosted_trees",
+        "s3_file_manifest", "f9_mahalanobis", "m1_logistic_regression", "m2_perceptron", "m3_boosted_trees",
     }
 
 

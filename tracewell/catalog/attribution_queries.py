@@ -548,8 +548,10 @@ def f3(spark, sf):
     query("""
 SELECT document_id, CASE WHEN x <> '' THEN 'fail' ELSE 'pass' END AS status, x AS reasons FROM (
   SELECT document_id, concat_ws(',', CASE WHEN effective_length < 300 THEN 'insufficient_effective_length' END,
+    CASE WHEN coverage < 0.98::DOUBLE THEN 'mapping_coverage_low' END,
     CASE WHEN language NOT IN ('en', 'de', 'es') THEN 'unsupported_language' END,
-    CASE WHEN repetition > 0.35::DOUBLE THEN 'excessive_repetition' END) AS x FROM d_scored)
+    CASE WHEN repetition > 0.35::DOUBLE THEN 'excessive_repetition' END,
+    CASE WHEN n / 4000.0::DOUBLE > 1 THEN 'calibration_domain_shift' END) AS x FROM d_scored)
 """),
 )
 def f4(spark, sf):
@@ -558,6 +560,7 @@ def f4(spark, sf):
         decision.validity_reasons(
             effective_length=F.col("effective_length"), coverage=F.col("mapping_coverage"), language=F.col("language"),
             repetition=F.col("repetition"), languages=("en", "de", "es"), minimum_length=300,
+            domain_shift=F.col("text_length") / F.lit(4000.0),  # texts longer than any the pool is meant for
         ),
     )
     return docs.select(

@@ -128,15 +128,43 @@ def j13(spark, sf):
     )
 
 
-@register("j14_normalized_spans")
+# Letters of the documents that a decomposed text spells as a base letter and a mark.
+MARKED = {"á": "a\u0301", "é": "e\u0301", "í": "i\u0301", "ó": "o\u0301", "ú": "u\u0301", "è": "e\u0300", "à": "a\u0300", "ê": "e\u0302",
+          "ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "ñ": "n\u0303", "ç": "c\u0327"}
+
+
+def decomposed_sql(text: str) -> str:
+    for letter, parts in MARKED.items():
+        text = f"replace({text}, '{letter}', '{parts}')"
+    return text
+
+
+@register(
+    "j14_normalized_spans",
+    f"""
+WITH d AS (SELECT doc_id, nfc_normalize({decomposed_sql('text')}) AS normal FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (
+  SELECT doc_id, regexp_extract_all(normal, '[^{WS[1:-1]}]+|{WS}+') AS w FROM d)),
+e AS (SELECT doc_id, w, n, marks, sum(n) OVER run AS stop, sum(marks) OVER run AS all_marks FROM (
+  SELECT *, length(w) AS n, length(regexp_replace(w, '[^{"".join(MARKED)}]', '', 'g')) AS marks FROM p)
+  WINDOW run AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, stop - n + all_marks - marks AS lo, stop + all_marks AS hi FROM e WHERE NOT regexp_matches(w, '^{WS}'))
+SELECT d.doc_id, length(any_value(d.normal)) AS normalized_length, count(m.lo) AS mapped_tokens, coalesce(sum(lo), 0)::BIGINT AS start_sum,
+  coalesce(sum(hi), 0)::BIGINT AS end_sum, CASE WHEN count(m.lo) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mapping_coverage
+FROM d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id
+""",
+)
 def j14(spark, sf):
-    docs = corpus.texts(spark, sf)
-    maps = charmap.with_boundary_map(docs)
-    toks = charmap.tokens(docs).join(maps, "doc_id").join(docs.select("doc_id", "n_chars"), "doc_id")
-    span = charmap.raw_span(F.col("runs"), F.col("char_start"), F.col("char_end"), F.col("n_chars").cast("int"))
-    mapped = toks.where(F.col("char_end") <= F.col("normalized_length")).select("doc_id", span.alias("s"))
-    return mapped.groupBy("doc_id").agg(
-        F.count("s").alias("mapped_tokens"), F.sum("s.char_start").alias("start_sum"), F.sum("s.char_end").alias("end_sum")
+    """Words of the composed text and where they lie in a decomposed spelling of every document."""
+    raw = F.col("text")
+    for letter, parts in MARKED.items():
+        raw = F.replace(raw, F.lit(letter), F.lit(parts))
+    docs = corpus.texts(spark, sf).where("text IS NOT NULL").select("doc_id", raw.alias("text"))
+    found = charmap.with_normalized_tokens(docs, form="NFC")
+    add = lambda name: F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a + t[name])
+    return found.select(
+        "doc_id", F.col("normalized_length").cast("bigint").alias("normalized_length"), F.size("tokens").cast("bigint").alias("mapped_tokens"),
+        add("char_start").alias("start_sum"), add("char_end").alias("end_sum"), "mapping_coverage",
     )
 
 

@@ -310,7 +310,9 @@ cte(
     f"""
 SELECT t.text_sha256, t.marked, t.n, coalesce(r.repetition, 0.0::DOUBLE) AS repetition,
   length(regexp_replace(t.text, '{WS}', '', 'g')) AS effective_length,
-  len(regexp_extract_all(t.text, '[^{WS[1:-1]}]+')) AS tokens
+  len(regexp_extract_all(t.text, '[^{WS[1:-1]}]+')) AS tokens,
+  CASE WHEN t.n > 0 THEN coalesce(list_sum([length(w) FOR w, i IN regexp_extract_all(t.text, '[^{WS[1:-1]}]+|{WS}+') IF i % 61 <> 0]), 0)::DOUBLE / t.n
+    ELSE 0.0::DOUBLE END AS coverage
 FROM d_texts t LEFT JOIN d_textrep r USING (text_sha256)
 """,
 )
@@ -318,14 +320,14 @@ cte(
     "d_scored",
     """
 SELECT d.document_id, d.parent_ids, d.kind, d.split, d.source, d.language, d.watermark_family, d.watermark_families,
-  d.key_id, d.key_ids, d.attack_id, d.spans, d.text_sha256, d.marked, m.n, m.repetition, m.effective_length, m.tokens
+  d.key_id, d.key_ids, d.attack_id, d.spans, d.text_sha256, d.marked, m.n, m.repetition, m.effective_length, m.tokens, m.coverage
 FROM d_docs d JOIN d_measured m USING (text_sha256, marked)
 """,
 )
 cte(
     "d_segments",
     f"""
-SELECT s.document_id, s.split, s.language, s.effective_length, s.watermark_family, s.watermark_families, s.key_id,
+SELECT s.document_id, s.split, s.language, s.effective_length, s.coverage, s.watermark_family, s.watermark_families, s.key_id,
   s.key_ids, 'generic-merged-' || r.idx || '-refined' AS candidate_id, r.char_start, r.char_end,
   'char-' || r.len AS scale_id, r.raw_score, coalesce(g.repetition, 0.0::DOUBLE) AS repetition,
   len(regexp_extract_all(substr(t.text, r.char_start + 1, r.char_end - r.char_start), '[^{WS[1:-1]}]+')) AS tokens
@@ -466,6 +468,7 @@ cte(
     """
 SELECT d.*, p.p AS generic_p, p.p IS NULL AS missing_pool,
   list_filter([CASE WHEN effective_length < 64 THEN 'insufficient_effective_length' END,
+    CASE WHEN coverage < 0.98::DOUBLE THEN 'mapping_coverage_low' END,
     CASE WHEN language NOT IN ('en', 'de', 'es') THEN 'unsupported_language' END,
     CASE WHEN repetition > 0.35::DOUBLE THEN 'excessive_repetition' END], lambda x: x IS NOT NULL) AS reasons
 FROM d_testdocs d LEFT JOIN d_p p ON p.pool = d.pool AND p.route = 'generic' AND p.stratum = d.stratum AND p.v = d.generic_max
@@ -476,6 +479,7 @@ cte(
     """
 SELECT b.*, g.p AS gap_p, r.p AS registered_p, d.generic_p, d.missing_pool,
   list_filter([CASE WHEN b.effective_length < 64 THEN 'insufficient_effective_length' END,
+    CASE WHEN b.coverage < 0.98::DOUBLE THEN 'mapping_coverage_low' END,
     CASE WHEN b.language NOT IN ('en', 'de', 'es') THEN 'unsupported_language' END,
     CASE WHEN b.repetition > 0.35::DOUBLE THEN 'excessive_repetition' END], lambda x: x IS NOT NULL) AS reasons
 FROM d_best b

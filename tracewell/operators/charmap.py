@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,45 +149,61 @@ def expand_runs(runs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-@lru_cache(maxsize=1)
-def _joining() -> frozenset[str]:
-    """Characters that can combine with what stands before them, from the Unicode database itself."""
-    found = {chr(c) for r in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for c in range(*r)}
-    for code in range(0x110000):
-        c = chr(code)
+@lru_cache(maxsize=2)
+def _clusters(form: str) -> re.Pattern:
+    """Clusters that normalisation may change: a character with those that combine with it, or one that changes alone.
+
+    What combines with the character before comes from the Unicode database: marks, vowels and finals of Hangul, second
+    halves of compositions, and whatever decomposes to one of these first.
+    """
+    joining = {chr(c) for r in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for c in range(*r)}
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for c in every:
         if unicodedata.combining(c):
-            found.add(c)
+            joining.add(c)
         parts = unicodedata.decomposition(c).split()
         if len(parts) == 2 and not parts[0].startswith("<"):
-            found.add(chr(int(parts[1], 16)))
-    return frozenset(found)
+            joining.add(chr(int(parts[1], 16)))
+    joined = {c for c in every if unicodedata.normalize("NFKD", c)[0] in joining}
+    changed = {c for c in every if c not in joined and unicodedata.normalize(form, c) != c}
+    a, b = ("[" + "".join(map(re.escape, sorted(x))) + "]" for x in (joined, changed))
+    return re.compile(f"(?:^|[^{a[1:-1]}]){a}+|{b}", re.DOTALL)
+
+
+@lru_cache(maxsize=65536)
+def _prefixes(cluster: str, form: str) -> tuple[int, ...]:
+    """Normalised lengths of the prefixes of a cluster."""
+    return tuple(len(unicodedata.normalize(form, cluster[: i + 1])) for i in range(len(cluster)))
 
 
 def boundary_runs(text: str, form: str) -> list[dict]:
     """Stretches where normalised offsets advance one for one with raw offsets.
 
-    Every entry says: raw boundary ``raw + k`` maps to normalised boundary ``norm + k`` for k < length.
-    Only the stretch since the last character that cannot combine backwards is normalised again.
+    Every entry says: raw boundary ``raw + k`` maps to normalised boundary ``norm + k`` for k < length. A text that is
+    normalised is one run. In others only the clusters that may change are normalised, and each once a task.
     """
-    if text.isascii():
+    if text.isascii() or unicodedata.is_normalized(form, text):
         return [{"raw": 0, "norm": 0, "length": len(text) + 1}]
-    joining = _joining()
-    runs: list[dict] = []
-    base, base_norm = 0, 0
-
-    def note(raw: int, norm: int) -> None:
-        last = runs[-1] if runs else None
-        if last and raw == last["raw"] + last["length"] and norm == last["norm"] + last["length"]:
-            last["length"] += 1
+    runs = [{"raw": 0, "norm": 0, "length": 1}]
+
+    def note(raw: int, norm: int, length: int) -> None:
+        last = runs[-1]
+        if raw == last["raw"] + last["length"] and norm == last["norm"] + last["length"]:
+            last["length"] += length
         else:
-            runs.append({"raw": raw, "norm": norm, "length": 1})
-
-    note(0, 0)
-    for i, c in enumerate(text):
-        if i > base and unicodedata.normalize("NFKD", c)[0] not in joining:
-            base_norm += len(unicodedata.normalize(form, text[base:i]))
-            base = i
-        note(i + 1, base_norm + len(unicodedata.normalize(form, text[base : i + 1])))
+            runs.append({"raw": raw, "norm": norm, "length": length})
+
+    at = norm = 0
+    for m in _clusters(form).finditer(text):
+        if m.start() > at:
+            note(at + 1, norm + 1, m.start() - at)
+            norm += m.start() - at
+        sizes = _prefixes(m.group(), form)
+        for i, size in enumerate(sizes, m.start() + 1):
+            note(i, norm + size, 1)
+        at, norm = m.end(), norm + sizes[-1]
+    if at < len(text):
+        note(at + 1, norm + 1, len(text) - at)
     return runs
 
 
@@ -237,6 +255,69 @@ def raw_span(runs: Column, start: Column, end: Column, raw_length: Column) -> Co
     return F.when(end > start, F.struct(lo.cast("int").alias("char_start"), end_at.cast("int").alias("char_end")))
 
 
+def raw_intervals(text: str, runs: list[dict], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Raw intervals of normalised ones of at least a character, found by binary search among the runs."""
+    raw, norm, length = (np.array([r[k] for r in runs], np.int64) for k in ("raw", "norm", "length"))
+
+    def last(offsets: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(norm, offsets, side="right") - 1
+        return raw[at] + np.minimum(offsets - norm[at], length[at] - 1)
+
+    lo, hi = last(starts), np.minimum(last(ends), len(text))
+    return lo, np.where(hi <= lo, np.minimum(lo + 1, len(text)), hi)
+
+
+@lru_cache(maxsize=1)
+def _word() -> re.Pattern:
+    """Runs of characters that are no white space, as ``WORD`` has them."""
+    blanks = {chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85)}
+    blanks |= {chr(c) for c in range(0x10000) if unicodedata.category(chr(c))[0] == "Z"}
+    return re.compile("[^" + "".join(map(re.escape, sorted(blanks))) + "]+")
+
+
+def with_normalized_tokens(df: DataFrame, *, key: str = "doc_id", text: str = "text", form: str = "NFC") -> DataFrame:
+    """Tokens of the normalised text with their place in it and in the raw text: a row per document.
+
+    Columns: key, normalized_length, mapping_coverage (share of the tokens that have a raw interval; 0 without tokens)
+    and tokens, an array of (norm_start, norm_end, char_start, char_end).
+    """
+    if form not in ("NFC", "NFKC"):
+        raise ValueError("form must be NFC or NFKC")
+    spans = T.StructType([T.StructField(n, T.IntegerType()) for n in ("norm_start", "norm_end", "char_start", "char_end")])
+    schema = T.StructType([
+        T.StructField(key, df.schema[key].dataType), T.StructField("normalized_length", T.IntegerType()),
+        T.StructField("mapping_coverage", T.DoubleType()), T.StructField("tokens", T.ArrayType(spans)),
+    ])
+
+    def mapped(raw: str) -> tuple[int, float, list[dict]]:
+        normal = unicodedata.normalize(form, raw)
+        found = np.array([m.span() for m in _word().finditer(normal)], np.int64).reshape(-1, 2)
+        lo, hi = raw_intervals(raw, boundary_runs(raw, form), found[:, 0], found[:, 1])
+        names = spans.fieldNames()
+        rows = [dict(zip(names, map(int, r), strict=True)) for r in zip(found[:, 0], found[:, 1], lo, hi, strict=True)]
+        return len(normal), float((hi > lo).mean()) if len(found) else 0.0, rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                sizes, shares, rows = zip(*[mapped(t or "") for t in part[text]], strict=True)
+                yield pd.DataFrame({key: part[key].to_numpy(), "normalized_length": sizes, "mapping_coverage": shares, "tokens": rows})
+
+    return df.select(key, text).mapInPandas(run, schema)
+
+
+def row_coverage(text: Column, valid: Callable[[Column], Column]) -> Column:
+    """Share of the characters of a text under valid pieces, words and the white space between them, in its row.
+
+    The same as ``coverage`` over ``covered_runs``, as pieces do not overlap; ``valid`` is asked for a piece's number.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(WORD + "|" + WHITESPACE + "+"), F.lit(0))
+    kept = F.filter(pieces, lambda p, i: valid(i))
+    covered = F.aggregate(kept, F.lit(0), lambda n, p: n + F.length(p))
+    return F.when(F.length(text) > 0, covered / F.length(text)).otherwise(F.lit(0.0))
+
+
 def sequence_features(
     df: DataFrame, *, key: str, order: Sequence[Column], bucket: Column, value: str
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.arrays import let
 from ..functions.hashing import hash_unit, stable_hash
 from ..functions.text import visible_length
 from ..operators import assembly, planning
+from ..operators.charmap import row_coverage
 from ..operators.ordered import hash_rank
 from ..schemas import SEED
 from ..session import shared_table, spread
@@ -87,7 +88,10 @@ def derive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_scores(df: DataFrame) -> DataFrame:
-    """Integer character scores (unit 65535), raised inside the planted interval of marked rows."""
+    """Integer character scores (unit 65535), raised inside the planted interval of marked rows.
+
+    The mapping coverage is measured over the row's own pieces; every 61st of them counts as one without a valid score.
+    """
     start, end = F.floor(F.length("text") / 4), F.floor(F.length("text") / 2)
     marked = F.col("watermark_family").isNotNull()
     lo = F.when(marked, start).otherwise(F.lit(-1))
@@ -96,7 +100,7 @@ def with_scores(df: DataFrame) -> DataFrame:
         {
             "scores": character_scores(F.col("text"), lo, hi),
             "effective_length": visible_length("text").cast("int"),
-            "mapping_coverage": F.lit(1.0),
+            "mapping_coverage": row_coverage(F.col("text"), lambda i: i % 61 != 60),
         }
     )
 
