@@ -40,7 +40,17 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), codec:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``staged`` has written, once everything made from it is written too."""
+    path = table._staged_path
+    jvm = table.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 BROADCAST_ROWS = 2_000_000  # of a number or two: 32 MB
