@@ -222,6 +222,37 @@ def test_random_strings_of_one_kind_are_found():
     assert [len(secret_scan.random_spans(t, lengths, [])) for t in names] == [1, 0, 0, 0, 0, 0]
 
 
+PREFIXES = (
+    "/home/application/configuration/settings/", "my-production-database-connection-", "/services/notifications/production/",
+    "authorization_header_value=", "client_session_identifier=", "https://hooks.example.com/services/", "",
+)
+
+
+def test_random_strings_behind_readable_prefixes_are_found():
+    lengths = secret_scan.TokenLengths(RANKS, public_tokenizers.PATTERN)
+    draw = random.Random(15)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for prefix in PREFIXES:
+        missed = 0
+        for _ in range(200):
+            key = "".join(draw.choices(letters, k=24))
+            spans = secret_scan.random_spans(f"see {prefix}{key} here", lengths, [])
+            missed += not any(a <= 4 + len(prefix) and b == 28 + len(prefix) for a, _, b in spans)
+        assert missed <= 4, (prefix, missed)
+    readable = [p + "central-office/2024/monthly_report" for p in PREFIXES] + ["2024-01-02/03-04-05_067890"]
+    assert all(secret_scan.random_spans(t, lengths, []) == [] for t in readable)
+
+
+def test_spans_that_meet_an_earlier_one_are_left_out():
+    lengths = secret_scan.TokenLengths(RANKS, public_tokenizers.PATTERN)
+    keys = ["".join(random.Random(n).choices("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789", k=40)) for n in range(4)]
+    text = " ".join(keys)
+    for taken in ([], [(0, 0, 3)], [(45, 0, 50), (90, 1, 91)], [(0, 0, 200)], [(40, 0, 41)]):
+        got = secret_scan.random_spans(text, lengths, taken)
+        want = [(41 * n, 3, 41 * n + 40) for n in range(4) if not any(a < 41 * n + 40 and 41 * n < b for a, _, b in taken)]
+        assert got == want
+
+
 def test_slugs_are_scanned_in_linear_time():
     import time
 
@@ -249,6 +280,37 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def test_pages_are_aliases_by_edges_alone(spark):
+    draw = random.Random(16)
+    link = '<link rel="canonical" href="{}">'.format
+    names = [f"http://{'r' if i % 3 else 'R'}.info/repo{i // 4}{end}" for i, end in enumerate(["", "?ref=main", "/", "/index.html", "?ref=dev", "#top"] * 6)]
+    pages = [(i, u, link(draw.choice([*names, *["http://x.net/"] * 8, "http://y.org/fr/1"])) if draw.random() < 0.4 else None) for i, u in enumerate(names)]
+    moved = [(names[3], "https://z.info"), ("https://Z.info/#a", names[20])]
+    redirects = spark.createDataFrame(moved, "from_url string, to_url string")
+
+    def vertex(u):
+        scheme, rest = u.split("#")[0].split("://")
+        host, slash, path = rest.partition("/")
+        return f"{scheme}://{host.lower()}/{path}" if slash or "?" not in host else u
+
+    edges = [(vertex(u), vertex(h.split('href="')[1].split('"')[0])) for _, u, h in pages if h] + [(vertex(a), vertex(b)) for a, b in moved]
+    top = {v: v for e in edges for v in e} | {vertex(u): vertex(u) for u in names}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    groups = {}
+    for v in top:
+        groups.setdefault(top[v], set()).add(v)
+    df = spark.createDataFrame([*pages, (90, None, None), (91, "nothing", link("http://x.net/")), (None, names[0], None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judged(df, redirects=redirects).collect()}
+    for i, u, _ in pages:
+        group = groups[top[vertex(u)]]
+        want = "allow" if "http://y.org/fr/1" in group else "block" if "http://x.net/" in group else "allow"
+        assert got[i] == want, u
+    assert got[90] == got[91] == "allow" and got[None] == got[0] and len(got) == len(pages) + 3
+    assert {"allow", "block"} == set(got.values())
+
+
 def test_url_links_of_every_form(spark):
     link = '<link rel="canonical" href="{}">'.format
     pages = [

@@ -26,6 +26,7 @@ _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0
 _UUID = re.compile(r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}", re.IGNORECASE)
 # Letter parts of a name: capitals, or a word with or without a capital. No part can be cut in two ways.
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_SEPARATED = re.compile(r"[A-Za-z0-9]+")
 LEAST_WORD, LEAST_TWO_TOKEN_WORD = 3, 6  # letters of a part that is a word by one token, by two
 
 
@@ -69,15 +70,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _is_random(word: str, lengths: TokenLengths) -> bool:
+    return (
+        len(word) >= LEAST_RANDOM and lengths.ratio(word) < MOST_CHARS_PER_TOKEN and not _DIGEST.fullmatch(word)
+        and not _UUID.fullmatch(word) and not lengths.is_name(word)
+    )
+
+
+def _random_parts(word: str, lengths: TokenLengths) -> list[tuple[int, int]]:
+    """Random stretches of a string that is readable in parts, such as a path or a slug that ends in a key.
+
+    Separators cut the string. Names and other readable parts, of 6 or more characters and many a token, end a stretch,
+    numbers between others do not; a stretch, from its first to its last part that is no number, is judged as a whole
+    string is.
+    """
+    found: list[tuple[int, int]] = []
+    stretch: tuple[int, int] | None = None
+    for m in _SEPARATED.finditer(word):
+        part = m.group()
+        if part.isdigit():
+            continue
+        if lengths.is_name(part) or (len(part) >= LEAST_TWO_TOKEN_WORD and lengths.ratio(part) >= MOST_CHARS_PER_TOKEN):
+            if stretch:
+                found.append(stretch)
+            stretch = None
+        else:
+            stretch = (stretch[0] if stretch else m.start(), m.end())
+    if stretch:
+        found.append(stretch)
+    return [(a, b) for a, b in found if _is_random(word[a:b], lengths)]
+
+
 def random_spans(text: str, lengths: TokenLengths, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings with few characters per token that are no digest, identifier, name of words or earlier span."""
+    """Strings with few characters per token that are no digest, identifier, name of words or earlier span.
+
+    Digests and identifiers are told on the whole string; else its separated parts are judged where it is not random
+    as a whole. ``taken`` is sorted by start, and spans that meet one of it are left out.
+    """
     found = []
+    after, reach = 0, -1
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if lengths.ratio(word) >= MOST_CHARS_PER_TOKEN or _DIGEST.fullmatch(word) or _UUID.fullmatch(word) or lengths.is_name(word):
+        if _DIGEST.fullmatch(word) or _UUID.fullmatch(word):
             continue
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            found.append((m.start(), 3, m.end()))
+        spans = [(0, len(word))] if _is_random(word, lengths) else _random_parts(word, lengths)
+        for a, b in spans:
+            start, end = m.start() + a, m.start() + b
+            while after < len(taken) and taken[after][0] < end:
+                reach = max(reach, taken[after][2])
+                after += 1
+            if reach <= start:
+                found.append((start, 3, end))
     return found
 
 
@@ -107,7 +150,8 @@ def secret_spans(
     ``random`` adds strings of 16 or more characters that a byte-pair vocabulary encodes in few characters a token
     (below 2.2): random strings have no frequent parts, whatever kinds of characters they have. Digests of known
     lengths, UUIDs, numbers, names whose letter parts are vocabulary words and what a fixed pattern has found are left
-    out.
+    out. A string that is readable in parts is judged between its separators: names end a stretch, the rest of a path,
+    slug or assignment is judged by itself.
 
     Defined cases: null and empty texts have no spans; rows that share an id are scanned each; a null id is carried
     along. Other columns are ignored, whatever their names. Empty in, empty out.

@@ -18,7 +18,6 @@ _LINKS = (
     r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*\burl\s*=\s*["']?([^"'\s>]+)""",
     r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)""",
 )
-_TRACKING = r"(?i)(?<=[?&])(?:utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?"
 
 
 def host_of(url: Column) -> Column:
@@ -30,11 +29,13 @@ def path_of(url: Column) -> Column:
 
 
 def locator(url: Column) -> Column:
-    """What names a page: host, path without a closing slash, query without tracking; null for no URL."""
+    """What names a page: the URL without its fragment, scheme and host in lower case, a slash for no path; null for no URL."""
+    scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    path = path_of(url)
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, _TRACKING, ""), r"[?&]$", "")
-    path = F.regexp_replace(F.regexp_replace(path_of(url), r"/index\.html?$", "/"), r"/+$", "")
-    return F.when(url.contains("://"), F.concat(host_of(url), path, query))
+    return F.when(
+        url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), F.when(path == "", F.lit("/")).otherwise(path), query)
+    )
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...], part: int) -> Column:
@@ -82,8 +83,8 @@ def judged(
     """One row per page: page_id, host, path, rule, verdict, alias_of (root of the page's alias group or null).
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest wins and decides.
-    Other pages take the verdict of their alias group: locators connected by canonical links, refresh and og:url
-    entries of the html and by ``redirects`` (from_url, to_url). A group with an explicit allow is allowed, else one
+    Other pages take the verdict of their alias group: URLs, without fragments, connected by canonical links, refresh and
+    og:url entries of the html and by ``redirects`` (from_url, to_url), and by nothing else. A group with an explicit allow is allowed, else one
     with a block is blocked; a page of neither is allowed. ``rules`` are an argument and short; groups are found
     by a distributed union-find.
 
@@ -121,6 +122,8 @@ def judged(
         F.col("vertex").alias("locator"), F.col("root").alias("alias_of"),
         F.when(F.col("allowed") == 1, ALLOW).when(F.col("blocked") == 1, BLOCK).alias("carried"),
     )
+    # A page without URL has a key of its own that no group has, so such pages do not meet in one task.
+    judge = judge.withColumn("locator", F.coalesce("locator", F.concat(F.lit("#"), F.xxhash64("page_id", "host").cast("string"))))
     return judge.join(carried, "locator", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", "carried", F.lit(ALLOW)).alias("verdict"), "alias_of"
     )
