@@ -479,3 +479,20 @@ def test_pipeline_keeps_clean_documents_and_drops_copies(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert kept == {*range(1, 13), 15}
+
+
+def test_pipeline_without_languages_rows_or_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row_key long, cut string, bad long"
+    texts = ["\n".join(" ".join(words(700 + 9 * s + k, 25)) for k in range(3)) for s in range(4)] + [None, "x " * 60_000]
+    rows = [(i, t, None, "s", len(t or ""), None if i % 2 else 7, "c", 1) for i, t in enumerate(texts)]
+    for name, some in (("all", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(some, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        packed = corpus_pipeline.run(spark, str(folder)).select("doc_id").distinct().collect()
+        assert {r["doc_id"] for r in packed} == ({0, 1, 2, 3, 4, 5} if some else set())
+    docs = spark.createDataFrame([(1, "a\nb b b b\na\n\nc", "en", "s", 3), (2, "z\na\ny", "en", "s", 3)], kind.split(", row_key")[0])
+    cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert cut == {1: ("a\nb b b b\n\nc", 12), 2: ("z\ny", 3)}
