@@ -58,6 +58,23 @@ def test_localisation_equals_brute_force(spark):
         assert r["character_iou"] == pytest.approx(len(cells(t) & cells(p)) / len(union) if union else 1.0)
 
 
+def test_sweep_emits_only_true_overlaps(spark):
+    import random
+
+    draw = random.Random(14)
+    span = lambda: (lambda a: (a, a + draw.choice([0, 1, 5, 40])))(draw.randrange(60))
+    cases = [([span() for _ in range(draw.randrange(7))], [span() for _ in range(draw.randrange(7))]) for _ in range(60)]
+    cases += [([(0, 5)], [(5, 9)]), ([(0, 5)] * 3, [(0, 5)] * 2), ([(i, i + 1) for i in range(400)], [(i, i + 1) for i in range(0, 400, 2)])]
+    kind = "array<struct<char_start:int,char_end:int>>"
+    df = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(cases)], f"i int, t {kind}, p {kind}")
+    got = {r["i"]: r for r in df.select("i", E.overlapping_pairs(F.col("t"), F.col("p")).alias("pairs"), E.character_iou(F.col("t"), F.col("p")).alias("iou")).collect()}
+    for n, (t, p) in enumerate(cases):
+        want = {(i, j, *a, *b) for i, a in enumerate(t) for j, b in enumerate(p) if max(a[0], b[0]) < min(a[1], b[1])}
+        assert len(got[n]["pairs"]) == len(want) and {tuple(x) for x in got[n]["pairs"]} == want
+        x, y = ({c for a, b in spans for c in range(a, b)} for spans in (t, p))
+        assert got[n]["iou"] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+
+
 def records(spark, n=300):
     random.seed(5)
     rows = []

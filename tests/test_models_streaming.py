@@ -49,6 +49,31 @@ def test_logistic_model_round_trip(spark, tmp_path):
     assert out.where("predicted <> c").count() <= 4
 
 
+def test_frozen_bundle_is_loaded_or_refused(spark, tmp_path):
+    from tracewell.operators import bundles
+
+    rng = np.random.default_rng(2)
+    rows = [(i, int(i % 2), (rng.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, c int, v array<double>")
+    model = baselines.fit_logistic(df, vector="v", label="c", iterations=50)
+    header = {"kind": "logistic", "inputs": 3, "classes": 2}
+    trained = bundles.training_header(df.repartition(5), key="k", vector="v", label="c")
+    assert trained == bundles.training_header(df.coalesce(1), key="k", vector="v", label="c") and trained["training_rows"] == 60
+    path = str(tmp_path / "bundle")
+    bundles.save_model(model, path, header | trained, spark)
+    loaded, told = bundles.load_model(spark, path, header | {"bundle_id": "another"})
+    pick = lambda m: [tuple(r) for r in baselines.predict(m, df, vector="v", label="c").select("k", "predicted").orderBy("k").collect()]
+    assert pick(loaded) == pick(model) and told["training_digest"] == trained["training_digest"]
+    with pytest.raises(ValueError, match="compatible"):
+        bundles.load_model(spark, path, dict(header, inputs=4))
+    with pytest.raises(Exception):
+        bundles.save_model(model, path, header, spark)
+    text = spark.read.text(f"{path}/header").first()["value"].replace('"inputs": 3', '"inputs": 4')
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    with pytest.raises(ValueError, match="hash"):
+        bundles.load_model(spark, path)
+
+
 def log_rows(spark):
     rows = [(f"t{i % 3}", f"s{i}", "", i, float(50 + i), 1.0, 150.0) for i in range(30)]
     df = spark.createDataFrame(rows, "task_id string, status string, evidence string, seq long, temperature double, used_ram double, free_disk double")

@@ -46,6 +46,27 @@ def test_odd_pairing_group_is_refused(spark, parents):
         planning.mixed_recipes(odd).collect()
 
 
+def test_canary_selection_and_its_problems(spark, parents):
+    mixed = planning.plan_recipes(planning.key_slots(parents)).where("kind = 'mixed_document'").cache()
+    targets = {"train": 12, "dev": 4}
+    pairs = planning.canary_pairs(mixed, parents, targets)
+    assert planning.canary_problems(mixed, parents, targets).count() == 0
+    assert planning.canary_imbalance(pairs, mixed, parents, targets).count() == 0
+    assert planning.require_canary(pairs, planning.canary_problems(mixed, parents, targets)).count() == pairs.count() > 0
+    many = {"train": 500, "dev": 4}
+    problems = {(r["language"], r["split"], r["violation"]) for r in planning.canary_problems(mixed, parents, many).collect()}
+    assert problems == {("en", "train", "no_balanced_selection"), ("zh", "train", "no_balanced_selection")}
+    partial = planning.canary_pairs(mixed, parents, many)
+    assert {r["split"] for r in partial.collect()} == {"dev"}
+    with pytest.raises(Exception, match="no balanced canary"):
+        planning.require_canary(partial, planning.canary_problems(mixed, parents, many)).collect()
+    third = parents.withColumn("source", F.when(F.col("parent_id").startswith("a-00"), "bb").otherwise(F.col("source")))
+    found = {(r["language"], r["violation"]) for r in planning.canary_problems(mixed, third, targets).collect()}
+    assert ("en", "not_two_sources") in found and ("zh", "not_two_sources") not in found
+    short = planning.canary_imbalance(pairs.where("language = 'en'"), mixed, parents, targets)
+    assert {r["language"] for r in short.collect()} == {"zh"}
+
+
 def test_split_audit_finds_leaks(parents):
     assert planning.audit_splits(parents).count() == 0
     leaked = parents.unionByName(parents.limit(1).withColumn("split", F.lit("other")))

@@ -9,6 +9,7 @@ from ..operators import calibration, decision, evidence, longspans, spans
 from ..operators.ordered import with_scalars
 from ..plans import attribution as A
 from ..plans import corpus
+from ..schemas import FAMILIES
 from ..session import staged
 from .oracle import REFINED, WS, query
 from .registry import register
@@ -274,18 +275,19 @@ def p12(spark, sf):
 @register(
     "j4_leave_family_out_merge",
     query("""
-SELECT d.document_id, round(g.m, 9) AS generic_max, count(*) FILTER (e.family <> 'kgw') AS tests,
-  round(max(e.strength) FILTER (e.family <> 'kgw'), 9) AS best_strength
+SELECT f.family AS left_out, d.document_id, round(g.m, 9) AS generic_max, count(*) FILTER (e.family <> f.family) AS tests,
+  round(max(e.strength) FILTER (e.family <> f.family), 9) AS best_strength
 FROM d_scored d LEFT JOIN (SELECT document_id, max(raw_score) AS m FROM d_segments GROUP BY ALL) g USING (document_id)
-JOIN d_evidence e USING (document_id) WHERE e.applicability = 'valid' GROUP BY ALL
+JOIN d_evidence e USING (document_id), (VALUES ('kgw'), ('unigram'), ('unbiased'), ('synthid')) AS f(family)
+WHERE e.applicability = 'valid' GROUP BY ALL
 """),
 )
 def j4(spark, sf):
     generic = searched(spark, sf).select(
         "document_id", F.round(F.array_max(F.transform("candidates", lambda c: c["raw_score"])), 9).alias("generic_max")
     )
-    merged = evidence.merge_without_family(generic, A.usable(A.detector_evidence(spark, sf)), "kgw")
-    return merged.select("document_id", "generic_max", "tests", r9("best_strength"))
+    merged = evidence.merge_without_families(generic, A.usable(A.detector_evidence(spark, sf)), FAMILIES)
+    return merged.select("left_out", "document_id", "generic_max", "tests", r9("best_strength"))
 
 
 @register(

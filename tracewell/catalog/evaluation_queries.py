@@ -351,3 +351,33 @@ SELECT 'a_and_b'""", 1),
 def a15(spark, sf):
     out = E.bootstrap_macro_f1(records(spark, sf).where("scenario = 'a_and_b'"))
     return out.select("scenario", r9("estimate"), r9("lower"), r9("upper"), "replicates")
+
+
+@register(
+    "a6_default_decisions",
+    query("SELECT scenario, true_label, predicted_label, count(*) AS n, round(avg(score), 9) AS mean_score FROM d_eval_default GROUP BY ALL"),
+)
+def a6_default(spark, sf):
+    """Confusion of the default decisions, where a candidate's p stands for each of its items."""
+    return default_records(spark, sf).groupBy("scenario", "true_label", "predicted_label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score")
+    )
+
+
+@register(
+    "a8_default_family_errors",
+    query("""
+SELECT scenario, count(*) AS trials, count(*) FILTER (err) AS errors FROM (
+  SELECT scenario, parent_id, bool_or(predicted_label <> 'none') AS err FROM d_eval_default WHERE true_label = 'none' GROUP BY ALL) GROUP BY ALL
+"""),
+)
+def a8_default(spark, sf):
+    return E.parent_fwer(default_records(spark, sf), BY).select("scenario", "trials", "errors")
+
+
+def default_records(spark, sf):
+    def build():
+        _, docs = A.decisions(spark, sf, A.Settings(), evidence.SCENARIOS)
+        return E.evaluation_records(docs)
+
+    return shared_table(spark, sf, "evaluation-records-default", build)

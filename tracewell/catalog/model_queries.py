@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_int31, hash_unit, stable_hash
-from ..operators import baselines, charmap, evaluation, evidence, monitoring, selection
+from ..operators import baselines, bundles, charmap, evaluation, evidence, monitoring, selection
 from ..operators.decision import coverage_override
 from ..plans import attribution as A
 from ..plans import corpus
@@ -171,19 +171,29 @@ def j14(spark, sf):
 @register(
     "a23_score_quality",
     """
-SELECT count(*) AS documents, 0::BIGINT AS non_finite, round(min(c), 9) AS coverage_minimum, round(avg(c), 9) AS coverage_mean,
-  count(*) FILTER (c < 0.98) AS uncertain, 0::BIGINT AS flag_mismatches, 0::BIGINT AS length_mismatches FROM (
-  SELECT coalesce(list_sum([length(w) FOR w, i IN ws IF i % 7 <> 1]), 0)::DOUBLE / n_chars AS c FROM (
-    SELECT n_chars, regexp_extract_all(text, '[^""" + WS[1:-1] + """]+') AS ws FROM documents WHERE n_chars > 0))
+SELECT count(*) AS documents, count(*) FILTER (doc_id % 89 = 0 OR c = 0) AS non_finite, round(min(c), 9) AS coverage_minimum,
+  round(avg(c), 9) AS coverage_mean, count(*) FILTER ((c < 0.98) <> (doc_id % 97 = 0)) AS uncertain,
+  count(*) FILTER (doc_id % 97 = 0) AS flag_mismatches, count(*) FILTER (doc_id % 83 = 0) AS length_mismatches FROM (
+  SELECT doc_id, coalesce(list_sum([length(w) FOR w, i IN ws IF i % 7 <> 1]), 0)::DOUBLE / n_chars AS c FROM (
+    SELECT doc_id, n_chars, regexp_extract_all(text, '[^""" + WS[1:-1] + """]+') AS ws FROM documents WHERE n_chars > 0))
 """,
 )
 def a23(spark, sf):
+    """Quality of scored documents as stored: some with a score that is no number, a wrong flag or a score too many."""
     r = runs(spark, sf)
-    cov = charmap.coverage(r).withColumn("validity_override", coverage_override(F.col("mapping_coverage")))
-    sized = charmap.expand_runs(charmap.fill_nearest(r, strict=False)).select("doc_id", F.size("scores").alias("score_length"))
+    arrays = charmap.expand_runs(charmap.fill_nearest(r, strict=False))
+    every = lambda n: F.col("doc_id") % n == 0
+    scores = F.when(every(89), F.transform("scores", lambda v, i: F.when(i == 0, F.lit(float("nan"))).otherwise(v))).otherwise(F.col("scores"))
+    stored = arrays.select("doc_id", F.when(every(83), F.array_append(scores, F.lit(0.5))).otherwise(scores).alias("scores"))
+    flag = coverage_override(F.col("mapping_coverage"))
+    wrong = F.when(flag.isNull(), "uncertain")
+    cov = charmap.coverage(r).withColumn("validity_override", F.when(every(97), wrong).otherwise(flag))
+    sized = stored.select(
+        "doc_id", F.size("scores").alias("score_length"), F.array_min("scores").alias("lowest"), F.array_max("scores").alias("highest")
+    )
     docs = corpus.read(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("int").alias("text_length"))
     joined = cov.join(sized, "doc_id").join(docs, "doc_id")
-    out = charmap.score_qa(joined, ["mapping_coverage"])
+    out = charmap.score_qa(joined, ["lowest", "highest"])
     return out.select(
         "documents", "non_finite", r9("coverage_minimum"), r9("coverage_mean"), "uncertain", "flag_mismatches", "length_mismatches"
     )
@@ -526,20 +536,65 @@ def class_report(predicted):
     return evaluation.macro_summary(cells, ["split"], [str(i) for i in range(5)])
 
 
+def fitted_logistic(train):
+    return baselines.fit_logistic(train, vector="embedding", label="label5")
+
+
+def fitted_perceptron(train):
+    return baselines.fit_perceptron(train, vector="embedding", label="label5", inputs=64, classes=5)
+
+
 @register("m1_logistic_regression")
 def m1(spark, sf):
     vec = vectors(spark, sf)
-    model = baselines.fit_logistic(vec.where("split = 'train'"), vector="embedding", label="label5")
+    model = fitted_logistic(vec.where("split = 'train'"))
     return class_report(baselines.predict(model, vec.where("split = 'test'"), vector="embedding", label="label5"))
 
 
 @register("m2_perceptron")
 def m2(spark, sf):
     vec = vectors(spark, sf)
-    model = baselines.fit_perceptron(vec.where("split = 'train'"), vector="embedding", label="label5", inputs=64, classes=5)
+    model = fitted_perceptron(vec.where("split = 'train'"))
     return class_report(baselines.predict(model, vec.where("split = 'test'"), vector="embedding", label="label5"))
 
 
+@register(
+    "m1_m2_frozen_bundles",
+    query("""
+SELECT model, (SELECT count(*) FROM d_vec WHERE split = 'train') AS training_rows, count(*) AS records, count(*) AS agreeing,
+  true AS other_run_refused FROM d_vec, (VALUES ('logistic'), ('perceptron')) AS m(model) WHERE split = 'test' GROUP BY model
+"""),
+)
+def frozen(spark, sf):
+    """Models saved, loaded and scored: rows whose prediction is that of the fitted model, and whether a run with other
+    classes is refused the bundle."""
+    import uuid
+
+    from ..session import shared_dir
+
+    vec = vectors(spark, sf)
+    train, test = vec.where("split = 'train'"), vec.where("split = 'test'")
+    parts = []
+    for name, fit in (("logistic", fitted_logistic), ("perceptron", fitted_perceptron)):
+        path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+        model = fit(train)
+        header = {"kind": name, "inputs": 64, "classes": 5, "features": "embedding-1", "bundle_id": path}
+        bundles.save_model(model, path, header | bundles.training_header(train, key="vec_id", vector="embedding", label="label5"), spark)
+        loaded, told = bundles.load_model(spark, path, header)
+        try:
+            bundles.load_model(spark, path, dict(header, classes=4))
+            refused = False
+        except ValueError:
+            refused = True
+        score = lambda m, out: baselines.predict(m, test, vector="embedding", label="label5").select("vec_id", F.col("predicted").alias(out))
+        both = score(model, "fitted").join(score(loaded, "loaded"), "vec_id")
+        parts.append(both.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("fitted") == F.col("loaded")).alias("agreeing")).select(
+            F.lit(name).alias("model"), F.lit(told["training_rows"]).cast("bigint").alias("training_rows"), "records", "agreeing",
+            F.lit(refused).alias("other_run_refused"),
+        ))
+    return parts[0].unionByName(parts[1])
+
+
 @register("m3_boosted_trees")
 def m3(spark, sf):
     vec = vectors(spark, sf).withColumn("label5", (F.col("label") != 0).cast("int"))
@@ -553,25 +608,33 @@ def _length_score(batch: pd.DataFrame) -> pd.Series:
 
 @register(
     "x1_detector_hooks",
-    query("SELECT document_id, key_status, round(length(text) / 1000.0::DOUBLE, 9) AS raw_statistic FROM d_scored JOIN d_texts USING (text_sha256, marked), "
-          "(VALUES ('registered'), ('scheme_only')) AS k(key_status) WHERE language <> 'fr' AND effective_length >= 64 AND split = 'test'"),
+    query("SELECT document_id, candidate_id, key_status, round(n / 1000.0::DOUBLE, 9) AS raw_statistic FROM ("
+          "SELECT document_id, 'full-text' AS candidate_id, language, effective_length, n FROM d_scored "
+          "UNION ALL SELECT document_id, candidate_id, language, effective_length, char_end - char_start FROM d_segments), "
+          "(VALUES ('registered'), ('scheme_only')) AS k(key_status) WHERE language <> 'fr' AND effective_length >= 64"),
 )
 def x1(spark, sf):
+    """Detectors on the full text and on every candidate of every searched row."""
     registry = evidence.DetectorRegistry()
     common = dict(scheme_family="kgw", score=_length_score, supported_languages=("en", "de", "es"))
     registry.register(evidence.Detector("kgw-keyed", **common))
     registry.register(evidence.Detector("kgw-probe", requires_key=False, calibration_id="c1", **common))
-    docs = A.scored(spark, sf).where("split = 'test'").select("document_id", "language", "effective_length", "text_length")
-    texts = corpus.rows(spark, sf).select(F.col("recipe_id").alias("document_id"), F.col("text").alias("segment_text"))
+    whole = F.struct(F.lit("full-text").alias("candidate_id"), F.lit(0).alias("char_start"), F.col("text_length").alias("char_end"))
+    spans = F.transform("candidates", lambda c: F.struct(
+        c["candidate_id"].alias("candidate_id"), c["char_start"].alias("char_start"), c["char_end"].alias("char_end")))
+    docs = A.scored(spark, sf).select("document_id", "language", "effective_length", F.concat(F.array(whole), spans).alias("places"))
+    texts = corpus.rows(spark, sf).select(F.col("recipe_id").alias("document_id"), "text")
     kinds = F.array(
         F.struct(F.lit("kgw-keyed").alias("detector_id"), F.lit("kgw_key_a").alias("key_id")),
         F.struct(F.lit("kgw-probe").alias("detector_id"), F.lit(None).cast("string").alias("key_id")),
     )
-    requests = docs.join(texts, "document_id").select(
-        "*", F.lit("full-text").alias("candidate_id"), F.lit(0).alias("char_start"), F.col("text_length").alias("char_end"),
+    places = docs.join(texts, "document_id").select("document_id", "language", "effective_length", "text", F.inline("places"))
+    requests = places.select(
+        "document_id", "language", "effective_length", "candidate_id", "char_start", "char_end",
+        F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("segment_text"),
         F.lit("c1").alias("calibration_id"), F.inline(kinds),
     )
-    return registry.run(requests).select("document_id", "key_status", r9("raw_statistic"))
+    return registry.run(requests).select("document_id", "candidate_id", "key_status", r9("raw_statistic"))
 
 
 VIEW_SCHEMA = T.StructType(

@@ -562,3 +562,4 @@ FROM (SELECT *, CASE WHEN watermark_family = 'mixed'
     ELSE [{'f': watermark_family, 'k': key_id}] END AS pairs FROM d_doc_decided_item)
 """,
 )
+cte("d_eval_default", _CTES["d_eval"].replace("d_doc_decided_item", "d_doc_decided"))

@@ -748,12 +748,73 @@ WHERE rn <= CASE WHEN category = 'cross' THEN target - 2 * same ELSE same END
 """),
 )
 def w11(spark, sf):
-    side = F.when(F.conv(F.right(F.sha2("parent_id", 256), F.lit(1)), 16, 10).cast("int") % 2 == 0, "left").otherwise("right")
-    parents = corpus.slotted_parents(spark, sf).withColumn("source", side)
-    mixed = corpus.recipes(spark, sf).where("kind = 'mixed_document'")
+    mixed, parents = canary_inputs(spark, sf)
     return planning.canary_pairs(mixed, parents, {"train": 6, "dev": 2})
 
 
+def canary_inputs(spark, sf):
+    """Mixed recipes, and parents dealt to two sources a language."""
+    side = F.when(F.conv(F.right(F.sha2("parent_id", 256), F.lit(1)), 16, 10).cast("int") % 2 == 0, "left").otherwise("right")
+    return corpus.recipes(spark, sf).where("kind = 'mixed_document'"), corpus.slotted_parents(spark, sf).withColumn("source", side)
+
+
+CANARY_SIZES = """
+  SELECT l.language, s.split, s.target, count(m.recipe_id) FILTER (a.source = 'left' AND b.source = 'left') AS sf,
+    count(m.recipe_id) FILTER (a.source = 'right' AND b.source = 'right') AS ss, count(m.recipe_id) FILTER (a.source <> b.source) AS cr
+  FROM (SELECT DISTINCT language FROM d_halves) l CROSS JOIN (VALUES ('train', 60), ('dev', 2)) AS s(split, target)
+  LEFT JOIN d_mixed m ON m.language = l.language AND m.split = s.split
+  LEFT JOIN d_halves a ON a.parent_id = m.p1 LEFT JOIN d_halves b ON b.parent_id = m.p2 GROUP BY ALL
+"""
+
+
+@register(
+    "w11_canary_problems",
+    query(f"""
+SELECT language, split, 'no_balanced_selection' AS violation, target, sf AS same_first, ss AS same_second, cr AS cross
+FROM ({CANARY_SIZES}) WHERE len(list_filter(range(0, target // 2 + 1), lambda k: sf >= k AND ss >= k AND cr >= target - 2 * k)) = 0
+UNION ALL SELECT language, split, 'not_two_sources', target, sf, ss, cr FROM ({CANARY_SIZES})
+WHERE language IN (SELECT language FROM d_halves GROUP BY language HAVING count(DISTINCT source) <> 2)
+"""),
+)
+def w11_problems(spark, sf):
+    """Groups that cannot give each source its target; the train target is more than the small languages have."""
+    mixed, parents = canary_inputs(spark, sf)
+    found = planning.canary_problems(mixed, parents, {"train": 60, "dev": 2})
+    return found.select("language", "split", "violation", "target", "same_first", "same_second", "cross")
+
+
+@register(
+    "w11_canary_closure",
+    query("""
+WITH chosen AS (
+  SELECT recipe_id, p1, p2 FROM (
+    SELECT t.*, q.same, q.target, row_number() OVER (PARTITION BY t.language, t.split, t.category ORDER BY sha256('20260856:' || recipe_id), recipe_id) AS rn
+    FROM (SELECT recipe_id, p1, p2, m.language, m.split, CASE WHEN a.source = b.source AND a.source = 'left' THEN 'same_first'
+        WHEN a.source = b.source THEN 'same_second' ELSE 'cross' END AS category
+      FROM d_mixed m JOIN d_halves a ON a.parent_id = m.p1 JOIN d_halves b ON b.parent_id = m.p2 WHERE m.split IN ('train', 'dev')) t
+    JOIN (SELECT language, split, target, list_filter(range(0, target // 2 + 1), lambda k: sf >= k AND ss >= k AND cr >= target - 2 * k)[1] AS same
+      FROM (SELECT m.language, m.split, CASE m.split WHEN 'train' THEN 6 ELSE 2 END AS target,
+          count(*) FILTER (a.source = 'left' AND b.source = 'left') AS sf, count(*) FILTER (a.source = 'right' AND b.source = 'right') AS ss,
+          count(*) FILTER (a.source <> b.source) AS cr
+        FROM d_mixed m JOIN d_halves a ON a.parent_id = m.p1 JOIN d_halves b ON b.parent_id = m.p2 WHERE m.split IN ('train', 'dev') GROUP BY ALL)) q
+      USING (language, split) WHERE q.same IS NOT NULL)
+  WHERE rn <= CASE WHEN category = 'cross' THEN target - 2 * same ELSE same END
+), ids AS (SELECT p1 AS parent_id FROM chosen UNION SELECT p2 FROM chosen)
+SELECT kind, language, split, count(*) AS recipes FROM d_recipes r
+WHERE (kind <> 'mixed_document' AND parent_ids[1] IN (SELECT parent_id FROM ids)) OR recipe_id IN (SELECT recipe_id FROM chosen)
+GROUP BY ALL
+""").replace("\nWITH chosen AS", ",\nchosen AS"),
+)
+def w11_closure(spark, sf):
+    """All recipes of the parents of the chosen pairs, counted."""
+    mixed, parents = canary_inputs(spark, sf)
+    pairs = planning.canary_pairs(mixed, parents, {"train": 6, "dev": 2})
+    chosen = mixed.join(pairs.select("recipe_id"), "recipe_id", "left_semi")
+    ids = chosen.select(F.explode("parent_ids").alias("parent_id")).distinct()
+    kept = planning.recipe_closure(corpus.recipes(spark, sf), ids, pairs.select("recipe_id"))
+    return kept.groupBy("kind", "language", "split").agg(F.count(F.lit(1)).alias("recipes"))
+
+
 @register(
     "w15_failure_stop",
     query("""

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
 from ..functions.hashing import hash_int31, stable_hash
 from ..functions.stats import clopper_pearson_upper
 from ..schemas import LABELS, SEED
 from .ordered import distinct_running, exact_quantiles, hash_rank, with_running
-from .spans import interval_iou, merge_spans, overlap
+from .spans import interval_iou
 
 STRATA = ("source", "language", "watermark_family", "key_id", "attack_id")
 
@@ -133,43 +132,86 @@ def _rate(counts: DataFrame, confidence: float) -> DataFrame:
     )
 
 
+def _edges(truth: Column, prediction: Column) -> Column:
+    """Ends and starts of the spans of both sides in order of position, ends first where they touch; empty spans have none."""
+
+    def of(spans: Column, side: int) -> Column:
+        edge = lambda x, i, at, kind: F.struct(
+            at.cast("int").alias("at"), F.lit(kind).alias("opens"), F.lit(side).alias("side"), i.cast("int").alias("i"),
+            x["char_start"].cast("int").alias("s"), x["char_end"].cast("int").alias("e"),
+        )
+        both = F.transform(spans, lambda x, i: F.when(
+            x["char_end"] > x["char_start"], F.array(edge(x, i, x["char_end"], 0), edge(x, i, x["char_start"], 1))
+        ).otherwise(F.array().cast("array<struct<at:int,opens:int,side:int,i:int,s:int,e:int>>")))
+        return F.flatten(both)
+
+    return F.array_sort(F.concat(of(truth, 0), of(prediction, 1)))
+
+
 def character_iou(truth: Column, prediction: Column) -> Column:
-    """Share of marked characters in common; 1 when both sides are empty."""
-    length = lambda spans: F.aggregate(spans, F.lit(0), lambda a, s: a + (s["char_end"] - s["char_start"]))
-
-    def score(both: Column) -> Column:
-        t, p = both["t"], both["p"]
-        common = F.aggregate(
-            t,
-            F.lit(0),
-            lambda a, x: a
-            + F.aggregate(
-                p, F.lit(0),
-                lambda b, y: b + overlap(x["char_start"], x["char_end"], y["char_start"], y["char_end"]),
-            ),
+    """Share of marked characters in common; 1 when both sides are empty.
+
+    One sweep over the spans' ends counts how many of each side are open, so nothing is compared in pairs.
+    """
+    none = F.lit(0)
+    start = F.struct(none.alias("at"), none.alias("t"), none.alias("p"), none.alias("common"), none.alias("union"))
+
+    def step(acc: Column, edge: Column) -> Column:
+        width, sign = edge["at"] - acc["at"], F.when(edge["opens"] == 1, 1).otherwise(-1)
+        share = lambda held: F.when(held, width).otherwise(0)
+        return F.struct(
+            edge["at"].alias("at"), (acc["t"] + F.when(edge["side"] == 0, sign).otherwise(0)).alias("t"),
+            (acc["p"] + F.when(edge["side"] == 1, sign).otherwise(0)).alias("p"),
+            (acc["common"] + share((acc["t"] > 0) & (acc["p"] > 0))).alias("common"),
+            (acc["union"] + share((acc["t"] > 0) | (acc["p"] > 0))).alias("union"),
+        )
+
+    score = lambda x: F.when(x["union"] == 0, F.lit(1.0)).otherwise(x["common"] / x["union"])
+    return F.aggregate(_edges(truth, prediction), start, step, score)
+
+
+def overlapping_pairs(truth: Column, prediction: Column) -> Column:
+    """(t, p, ts, te, ps, pe) for every truth and prediction span that share a character, by index and place.
+
+    A sweep over the spans' ends keeps those that are open; a span that opens meets the open ones of the other side. So
+    there are as many rows as true overlaps, however many spans a record has.
+    """
+    held = "array<struct<i:int,s:int,e:int>>"
+    start = F.struct(
+        F.array().cast(held).alias("t"), F.array().cast(held).alias("p"),
+        F.array().cast("array<struct<t:int,p:int,ts:int,te:int,ps:int,pe:int>>").alias("pairs"),
+    )
+
+    def step(acc: Column, edge: Column) -> Column:
+        opens, of_truth = edge["opens"] == 1, edge["side"] == 0
+        item = F.struct(edge["i"].alias("i"), edge["s"].alias("s"), edge["e"].alias("e"))
+        pair = lambda t, p: F.struct(
+            t["i"].alias("t"), p["i"].alias("p"), t["s"].alias("ts"), t["e"].alias("te"), p["s"].alias("ps"), p["e"].alias("pe")
+        )
+        met = F.when(of_truth, F.transform(acc["p"], lambda o: pair(item, o))).otherwise(F.transform(acc["t"], lambda o: pair(o, item)))
+        moved = lambda side: F.when(opens, F.array_append(side, item)).otherwise(F.filter(side, lambda x: x["i"] != edge["i"]))
+        return F.struct(
+            F.when(of_truth, moved(acc["t"])).otherwise(acc["t"]).alias("t"),
+            F.when(of_truth, acc["p"]).otherwise(moved(acc["p"])).alias("p"),
+            F.when(opens, F.concat(acc["pairs"], met)).otherwise(acc["pairs"]).alias("pairs"),
         )
-        union = length(t) + length(p) - common
-        return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
-    return let(F.struct(merge_spans(truth).alias("t"), merge_spans(prediction).alias("p")), score)
+    return F.aggregate(_edges(truth, prediction), start, step, lambda acc: acc["pairs"])
 
 
 def match_spans(truth: Column, prediction: Column, threshold: float = 0.5) -> Column:
     """Greedy one-to-one matching by overlap ratio, larger indices first on ties.
 
     One pass serves both measures: matches at or above ``threshold`` come first in the order, so they
-    are the ones the thresholded matching would pick. Only overlapping pairs enter the fold.
+    are the ones the thresholded matching would pick. Only overlapping pairs are made.
     """
 
-    def pair(t: Column, ti: Column, p: Column, pi: Column) -> Column:
-        iou = interval_iou(t["char_start"], t["char_end"], p["char_start"], p["char_end"])
-        error = (F.abs(t["char_start"] - p["char_start"]) + F.abs(t["char_end"] - p["char_end"])) / 2.0
-        return F.struct((-iou).alias("i"), (-ti).alias("t"), (-pi).alias("p"), error.alias("e"))
+    def pair(x: Column) -> Column:
+        iou = interval_iou(x["ts"], x["te"], x["ps"], x["pe"])
+        error = (F.abs(x["ts"] - x["ps"]) + F.abs(x["te"] - x["pe"])) / 2.0
+        return F.struct((-iou).alias("i"), (-x["t"]).alias("t"), (-x["p"]).alias("p"), error.alias("e"))
 
-    pairs = F.flatten(
-        F.transform(truth, lambda t, ti: F.transform(prediction, lambda p, pi: pair(t, ti, p, pi)))
-    )
-    ordered = F.array_sort(F.filter(pairs, lambda x: x["i"] < 0))
+    ordered = F.array_sort(F.transform(overlapping_pairs(truth, prediction), pair))
     none = F.array().cast("array<int>")
     start = F.struct(
         none.alias("ts"), none.alias("ps"), F.lit(0.0).alias("error"), F.lit(0).alias("matched"),

@@ -196,18 +196,30 @@ def masked_counts(masked: DataFrame) -> DataFrame:
     return masked.groupBy("scenario", "document_id").agg(F.count(F.lit(1)).alias("tests"))
 
 
-def merge_without_family(generic: DataFrame, evidence: DataFrame, family: str) -> DataFrame:
-    """Generic scores with another run's evidence minus one family; a document without evidence fails."""
-    groups = evidence.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("all_tests"),
-        F.count_if(F.col("scheme_family") != family).alias("tests"),
-        F.max(F.when(F.col("scheme_family") != family, strength())).alias("best_strength"),
+def merge_without_families(generic: DataFrame, evidence: DataFrame, families: Sequence[str]) -> DataFrame:
+    """Generic scores with another run's evidence minus each family in turn; a document without evidence fails.
+
+    Evidence is grouped by document and family once: what is left without a family is the sum or the largest of the
+    others, a few rows a document.
+    """
+    by_family = evidence.groupBy("document_id", "scheme_family").agg(
+        F.count(F.lit(1)).alias("_n"), F.max(strength()).alias("_best")
     )
+    groups = by_family.groupBy("document_id").agg(F.collect_list(F.struct("scheme_family", "_n", "_best")).alias("_all"))
+
+    def without(family: str) -> Column:
+        rest = F.filter("_all", lambda x: ~x["scheme_family"].eqNullSafe(F.lit(family)))
+        return F.struct(
+            F.lit(family).alias("left_out"), F.aggregate(rest, F.lit(0).cast("bigint"), lambda a, x: a + x["_n"]).alias("tests"),
+            F.array_max(F.transform(rest, lambda x: x["_best"])).alias("best_strength"),
+        )
+
     joined = generic.join(groups, "document_id", "left")
-    missing = F.raise_error(F.concat(F.lit("no evidence for "), F.col("document_id"))).cast("bigint")
-    return joined.withColumn("tests", F.when(F.col("all_tests").isNull(), missing).otherwise(F.col("tests"))).drop(
-        "all_tests"
+    missing = F.raise_error(F.concat(F.lit("no evidence for "), F.col("document_id")))
+    found = F.when(F.col("_all").isNull(), missing.cast("array<struct<left_out:string,tests:bigint,best_strength:double>>")).otherwise(
+        F.array(*[without(f) for f in families])
     )
+    return joined.select(*generic.columns, F.inline(found))
 
 
 def request_violations(requests: DataFrame, registry: DataFrame) -> DataFrame:

@@ -284,14 +284,9 @@ def count_drift(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def canary_pairs(
-    mixed: DataFrame, parents: DataFrame, targets: Mapping[str, int], *, seed: int = SEED
-) -> DataFrame:
-    """Mixed recipes that give each of a language's two sources exactly the target parents per split.
-
-    Pair counts by source combination fix the smallest feasible number of same-source pairs; the
-    lowest-hash recipes then fill each quota. Groups without a feasible split yield no rows.
-    """
+def _canary_quotas(mixed: DataFrame, parents: DataFrame, targets: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Mixed recipes of the target splits by their combination of the language's two sources, and per (language, split)
+    of all languages the target, the combinations there are and the smallest feasible number of same-source pairs."""
     sides = mixed.where(F.col("split").isin(*targets)).select(
         "recipe_id", "language", "split", F.explode("parent_ids").alias("parent_id")
     )
@@ -300,38 +295,86 @@ def canary_pairs(
         F.min("parent_source").alias("low"), F.max("parent_source").alias("high")
     )
     sources = parents.groupBy("language").agg(
-        F.min("source").alias("first"), F.max("source").alias("second")
+        F.min("source").alias("first"), F.max("source").alias("second"), F.countDistinct("source").alias("sources")
     )
     category = (
         F.when((F.col("low") == F.col("first")) & (F.col("high") == F.col("first")), "same_first")
         .when((F.col("low") == F.col("second")) & (F.col("high") == F.col("second")), "same_second")
         .when((F.col("low") == F.col("first")) & (F.col("high") == F.col("second")), "cross")
+        .otherwise("third_source")
     )
-    typed = typed.join(sources, "language").withColumn("category", category).where("category is not null")
-    target = F.lit(None).cast("int")
-    for split, count in targets.items():
-        target = F.when(F.col("split") == split, F.lit(int(count))).otherwise(target)
-    sizes = typed.groupBy("language", "split").agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in ("same_first", "same_second", "cross")]
-    )
+    typed = typed.join(sources, "language").withColumn("category", category)
+    kinds = ("same_first", "same_second", "cross", "third_source")
+    sizes = typed.groupBy("language", "split").agg(*[F.count_if(F.col("category") == c).alias(c) for c in kinds])
+    wanted = F.array(*[F.struct(F.lit(k).alias("split"), F.lit(int(n)).alias("target")) for k, n in targets.items()])
+    every = sources.select("language", "sources", F.inline(wanted)).join(sizes, ["language", "split"], "left").fillna(0, list(kinds))
+    target = F.col("target")
     feasible = F.filter(
         F.sequence(F.lit(0), F.floor(target / 2).cast("int")),
         lambda k: (F.col("same_first") >= k) & (F.col("same_second") >= k) & (F.col("cross") >= target - 2 * k),
     )
-    quotas = sizes.select(
-        "language", "split", F.try_element_at(feasible, F.lit(1)).alias("_same"), target.alias("_target")
-    ).where(F.col("_same").isNotNull())
+    return typed, every.withColumn("same", F.try_element_at(feasible, F.lit(1)))
+
+
+def canary_pairs(
+    mixed: DataFrame, parents: DataFrame, targets: Mapping[str, int], *, seed: int = SEED
+) -> DataFrame:
+    """Mixed recipes that give each of a language's two sources exactly the target parents per split.
+
+    Pair counts by source combination fix the smallest feasible number of same-source pairs; the
+    lowest-hash recipes then fill each quota. A group that cannot be filled has no rows here and a row in
+    ``canary_problems``; ``require_canary`` makes it an error.
+    """
+    typed, quotas = _canary_quotas(mixed, parents, targets)
+    quotas = quotas.where(F.col("same").isNotNull()).select("language", "split", "same", "target")
     ranked = hash_rank(
-        typed, ["language", "split", "category"], stable_hash(seed + 41, "recipe_id"),
+        typed.where("category <> 'third_source'"), ["language", "split", "category"], stable_hash(seed + 41, "recipe_id"),
         [F.col("recipe_id")], rank="_r",
     )
-    quota = F.when(F.col("category") == "cross", F.col("_target") - 2 * F.col("_same")).otherwise(F.col("_same"))
+    quota = F.when(F.col("category") == "cross", F.col("target") - 2 * F.col("same")).otherwise(F.col("same"))
     return (
         ranked.join(quotas, ["language", "split"]).where(F.col("_r") <= quota)
         .select("recipe_id", "language", "split", "category")
     )
 
 
+def canary_problems(mixed: DataFrame, parents: DataFrame, targets: Mapping[str, int]) -> DataFrame:
+    """Why a balanced selection cannot be made: one row per (language, split, violation), with the pairs there are.
+
+    ``not_two_sources``: the language has fewer or more; ``third_source_pairs``: pairs with a source that is neither
+    the first nor the last, which no quota can take; ``no_balanced_selection``: no number of same-source pairs fits.
+    """
+    _, quotas = _canary_quotas(mixed, parents, targets)
+    found = F.array_compact(F.array(
+        F.when(F.col("sources") != 2, "not_two_sources"), F.when(F.col("third_source") > 0, "third_source_pairs"),
+        F.when(F.col("same").isNull(), "no_balanced_selection"),
+    ))
+    return quotas.select(
+        "language", "split", F.explode(found).alias("violation"), "target", "same_first", "same_second", "cross", "third_source"
+    )
+
+
+def require_canary(pairs: DataFrame, problems: DataFrame) -> DataFrame:
+    """The selection, or an error if any group cannot be filled."""
+    told = F.concat(F.lit("no balanced canary: "), F.first("violation"), F.lit(" in "), F.first("language"), F.lit(":"), F.first("split"))
+    check = problems.agg(F.when(F.count(F.lit(1)) > 0, F.raise_error(told)).cast("string").alias("_problem"))
+    return with_scalars(pairs, check).where(F.col("_problem").isNull()).drop("_problem")
+
+
+def canary_imbalance(pairs: DataFrame, mixed: DataFrame, parents: DataFrame, targets: Mapping[str, int]) -> DataFrame:
+    """(source, language, split, parents, target) where the parents of the chosen pairs are not the target; empty if balanced."""
+    chosen = mixed.join(pairs.select("recipe_id"), "recipe_id", "left_semi").select(
+        "split", F.explode("parent_ids").alias("parent_id")
+    ).distinct()
+    counted = chosen.join(parents.select("parent_id", "source", "language"), "parent_id").groupBy("language", "source", "split").agg(
+        F.count(F.lit(1)).alias("parents")
+    )
+    wanted = F.array(*[F.struct(F.lit(k).alias("split"), F.lit(int(n)).alias("target")) for k, n in targets.items()])
+    every = parents.select("language", "source").distinct().select("language", "source", F.inline(wanted))
+    joined = every.join(counted, ["language", "source", "split"], "left").fillna(0, ["parents"])
+    return joined.where("parents <> target").select("language", "source", "split", "parents", "target")
+
+
 def recipe_closure(recipes: DataFrame, parent_ids: DataFrame, mixed_ids: DataFrame) -> DataFrame:
     """Recipes of the chosen single parents plus the chosen mixed recipes."""
     single = recipes.where(F.col("kind") != "mixed_document").withColumn(

@@ -116,8 +116,9 @@ def derive_evidence(docs: DataFrame) -> DataFrame:
 
 
 def usable(ev: DataFrame) -> DataFrame:
-    """Evidence rows a detector really produced: tests refused for length have no statistic."""
-    return ev.where(F.col("applicability") == "valid").withColumn("strength", evidence.strength())
+    """Evidence rows a detector really produced, those with a warning too: refused tests have no statistic."""
+    produced = ~F.col("applicability").eqNullSafe(F.lit("invalid")) & F.col("raw_statistic").isNotNull()
+    return ev.where(produced).withColumn("strength", evidence.strength())
 
 
 def segments_of(docs: DataFrame) -> DataFrame:
