@@ -91,6 +91,28 @@ def test_jsonl_refuses_overwrite_and_bad_rows(spark, tmp_path):
         tables.read_jsonl(spark, str(tmp_path / "bad.json"), df.schema).collect()
 
 
+def test_file_manifest_hashes_files_of_any_content(spark, tmp_path):
+    import random
+
+    contents = {
+        "empty": b"", "newline": b"\n", "two": b"\n\n", "bare": b"abc", "ended": b"abc\n", "windows": b"a\r\nb\r\n", "cr": b"a\rb\r",
+        "binary": random.Random(3).randbytes(400_000), "zeros": bytes(3000), "sp ace%20+ü": "é\n日本".encode(), "long": b"x" * 300_000 + b"\n" + b"y" * 200_000,
+    }
+    (tmp_path / "sub").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "sub" / "bare").write_bytes(b"other\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000b")
+    try:
+        got = {r["file"]: (r["bytes"], r["sha256"]) for r in tables.file_manifest(spark, str(tmp_path)).collect()}
+        sub = tables.file_manifest(spark, str(tmp_path / "sub"), "ba*").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items()}
+    assert [(r["file"], r["sha256"]) for r in sub] == [("bare", hashlib.sha256(b"other\n").hexdigest())]
+
+
 def test_every_query_has_a_name_and_most_have_sql():
     queries, sql = catalog.load()
     assert set(sql) <= set(queries) and len(queries) >= 110

@@ -54,7 +54,25 @@ def s2(spark, sf):
 
 @register("s3_file_manifest")
 def s3(spark, sf):
-    return tables.file_manifest(spark, sf, "*.parquet")
+    return tables.file_manifest(spark, sf, "*.parquet").select("file", "bytes", "sha256")
+
+
+@register(
+    "s3_text_manifest",
+    """
+SELECT lang, sum(octet_length(encode(line)) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) AS sha256
+FROM (SELECT doc_id, lang, doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(13), ' ') AS line FROM documents) GROUP BY lang
+""",
+)
+def s3_text(spark, sf):
+    """The texts of each language written as one file of lines in order of their ids, and the manifest of these files."""
+    path = fresh(spark, "lines")
+    text = F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    lines = corpus.read(spark, sf, "documents").select("lang", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\t"), text).alias("value"))
+    lined = lines.repartition("lang").sortWithinPartitions("lang", "doc_id")
+    lined.select("lang", "value").write.partitionBy("lang").text(path)
+    found = tables.file_manifest(spark, path, "part-*")
+    return found.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), "bytes", "sha256")
 
 
 @register(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +25,60 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def _hashed_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks (path, content) of files in order to (path, seen, without, with): bytes and digests without and with a
+    newline after the last chunk."""
+
+    def told(path: str, seen: int, digest) -> pa.RecordBatch:
+        ended = digest.copy()
+        ended.update(b"\n")
+        row = (path, seen, digest.hexdigest(), ended.hexdigest())
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["path", "seen", "bare", "ended"])
+
+    path, seen, digest = None, 0, None
+    for batch in batches:
+        for name, chunk in zip(batch.column(0).to_pylist(), batch.column(1)):
+            content = chunk.as_py()
+            if name != path:
+                if path is not None:
+                    yield told(path, seen, digest)
+                path, seen, digest = name, len(content), hashlib.sha256(content)
+            else:
+                digest.update(b"\n")
+                digest.update(content)
+                seen += 1 + len(content)
+    if path is not None:
+        yield told(path, seen, digest)
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and sha256 of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    """Path, name, size and sha256 of every file under ``path``, of any size.
+
+    Files are read as chunks that end at a newline byte, whatever they hold, and a task takes the chunks of its files in
+    order, so no file is a cell. Whether the last chunk has its newline is told by the size in the listing.
+    """
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    named = lambda uri: local(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+    sized = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    sized = sized.select(local(F.col("path")).alias("path"), F.col("length").alias("bytes"))
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", pattern).text(path)
+    # Scans pass over empty files, so the names come from the listing that the reader has made.
+    names = spark.createDataFrame([(f,) for f in lines.inputFiles()], "uri string").select(named(F.col("uri")).alias("path"))
+    listed = names.join(sized, "path", "left").fillna(0, ["bytes"])
+    chunks = lines.select(
+        named(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("content"),
+    )
+    lined = chunks.repartition("path").sortWithinPartitions("path", "block", "row").select("path", "content")
+    found = lined.mapInArrow(_hashed_files, "path string, seen long, bare string, ended string")
+    size = F.col("bytes")
+    unread = F.raise_error(F.concat(F.lit("file changed while it was read: "), F.col("path"))).cast("string")
+    digest = (
+        F.when(size == 0, F.sha2(F.lit("").cast("binary"), 256)).when(F.col("seen") == size, F.col("bare"))
+        .when(F.col("seen") + 1 == size, F.col("ended")).otherwise(unread)
+    )
+    return listed.join(found, "path", "left").select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", digest.alias("sha256")
     )
 
 
