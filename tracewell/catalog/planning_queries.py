@@ -785,6 +785,18 @@ CANARY_SIZES = """
 """
 
 
+@register(
+    "w5_left_over_parents",
+    query("""
+SELECT language, split, parent_id, cnt AS parents FROM (
+  SELECT *, row_number() OVER (PARTITION BY language, split ORDER BY sha256('20260846:' || parent_id), parent_id) AS rn,
+    count(*) OVER (PARTITION BY language, split) AS cnt FROM d_parents) WHERE cnt % 2 = 1 AND rn = cnt
+"""),
+)
+def w5_left_over(spark, sf):
+    return planning.left_over_parents(corpus.slotted_parents(spark, sf))
+
+
 @register(
     "w11_canary_problems",
     query(f"""

@@ -156,12 +156,22 @@ def attack_recipes(base: DataFrame, *, seed: int = SEED, pilot: bool = False) ->
     )
 
 
+def left_over_parents(parents: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """The parents that ``mixed_recipes`` leaves out with ``drop_odd``: the last of each odd (language, split) group."""
+    ranked = hash_rank(
+        parents, ["language", "split"], stable_hash(seed + 31, "parent_id"), [F.col("parent_id")], rank="_r", total="_t"
+    )
+    return ranked.where((F.col("_t") % 2 == 1) & (F.col("_r") == F.col("_t"))).select(
+        "language", "split", "parent_id", F.col("_t").alias("parents")
+    )
+
+
 def mixed_recipes(
     parents: DataFrame, *, seed: int = SEED, drop_odd: bool = False, pilot: bool = False
 ) -> DataFrame:
     """Pair hash neighbours inside (language, split); families rotate over one global pair number.
 
-    An odd group is an error unless ``drop_odd`` leaves its last parent out. The global number is the
+    An odd group is an error unless ``drop_odd`` leaves its last parent out, which ``left_over_parents`` then names. The global number is the
     pair's place in its group plus the pair count of earlier groups, so no row is sorted globally.
     ``pilot`` pairs inside the split alone with fixed slots.
     """

@@ -17,9 +17,12 @@ def auroc(df: DataFrame, by: Sequence[str], score: str, positive: Column) -> Dat
     each positive its rank: no global sort and no pairing of the classes.
     """
     one = lambda c: F.when(c, 1).otherwise(0)
-    ran = distinct_running(
-        df.where(F.col(score).isNotNull()), by, score, {"pos": one(positive), "neg": one(~positive)}
-    )
+    return auroc_of_counts(df, by, score, one(positive), one(~positive))
+
+
+def auroc_of_counts(df: DataFrame, by: Sequence[str], score: str, positives: Column, negatives: Column) -> DataFrame:
+    """The same where a row stands for numbers of positives and negatives of a score."""
+    ran = distinct_running(df.where(F.col(score).isNotNull()), by, score, {"pos": positives, "neg": negatives})
     below = F.col("cum_neg") - F.col("neg")
     wins = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
     return ran.groupBy(*by).agg(
@@ -93,13 +96,15 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def fusion_sweep(df: DataFrame, *, generic: str, registered: str, positive: Column, steps: int = 20) -> DataFrame:
     """AUROC of w * generic + (1 - w) * registered for steps + 1 evenly spaced weights; best one marked.
 
-    Ties go to the weight nearest one half.
+    Ties go to the weight nearest one half. Rows become counts of the distinct pairs of scores first, so what is copied
+    for every weight is as long as the pairs, not the rows.
     """
     weights = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
-    long = df.select(generic, registered, positive.alias("_pos"), F.explode(weights).alias("weight"))
+    cells = df.groupBy(generic, registered).agg(F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg"))
+    long = cells.select(generic, registered, "_pos", "_neg", F.explode(weights).alias("weight"))
     fused = F.col("weight") * F.col(generic) + (1.0 - F.col("weight")) * F.col(registered)
     # Rounded far below any score step so that equal sums tie in every engine.
-    areas = auroc(long.withColumn("_v", F.round(fused, 12)), ["weight"], "_v", F.col("_pos"))
+    areas = auroc_of_counts(long.withColumn("_v", F.round(fused, 12)), ["weight"], "_v", F.col("_pos"), F.col("_neg"))
     order = Window.orderBy(F.round("auroc", 12).desc(), F.round(F.abs(F.col("weight") - 0.5), 12), "weight")
     return areas.withColumn("selected", F.row_number().over(order) == 1)
 
