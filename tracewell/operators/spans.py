@@ -26,9 +26,10 @@ def _zero(integral: bool) -> Column:
 
 def _scale_windows(
     scores: Column, blocks: Column, n: Column, length: int, stride: int, step: int, quantile: float,
-    zero: Column,
+    integral: bool,
 ) -> Column:
     """Windows of one length whose mean reaches the per-scale threshold; [] for shorter texts."""
+    zero = _zero(integral)
     per = length // step
     jump = stride // step
     regular = F.transform(
@@ -46,7 +47,7 @@ def _scale_windows(
                 array_sum(F.slice(scores, n - length + 1, length), zero).alias("total"),
             )
         ),
-    ).otherwise(F.array().cast(f"array<struct<char_start:int,total:{'bigint' if _is_long(zero) else 'double'}>>"))
+    ).otherwise(F.array().cast(f"array<struct<char_start:int,total:{'bigint' if integral else 'double'}>>"))
     kept = let(
         F.concat(regular, tail),
         lambda w: let(
@@ -65,10 +66,6 @@ def _scale_windows(
     return F.when(n >= length, kept).otherwise(_no_windows())
 
 
-def _is_long(zero: Column) -> bool:
-    return "CAST" in str(zero).upper()
-
-
 def _no_windows() -> Column:
     return F.array().cast("array<struct<char_start:int,char_end:int,scale:int,mean:double>>")
 
@@ -105,7 +102,7 @@ def raw_windows(
             blocks,
             lambda bl: F.concat(
                 *[
-                    _scale_windows(s, bl, n, length, stride, step, quantile, zero)
+                    _scale_windows(s, bl, n, length, stride, step, quantile, integral)
                     for length, stride in zip(lengths, strides, strict=True)
                 ]
             ),
