@@ -134,3 +134,46 @@ def test_a_long_text_is_spread_over_tasks(spark):
     pieces = longspans.text_pieces(df, key="id", text="text", width=1 << 14, halo=1024, chunk=8)
     found = pieces.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.sum("own").alias("n")).collect()
     assert sum(r["n"] for r in found) == 2_100_000 and len(found) > 1
+
+
+def test_batch_search_equals_the_column_forms(spark):
+    """Scores, spans and measures of the Arrow batches are those of the columns, for any characters and also without a text."""
+    from tracewell.functions.text import word_count
+    from tracewell.plans import attribution, corpus
+
+    random.seed(11)
+    some = lambda letters, n: "".join(random.choice(letters) for _ in range(n))
+    texts = ["a", "abc", " \t", "ab cd", some("ab \n", 255), some("abcdefgh  ", 256), some("ab \x1c\x85　\U0001f600ß", 900),
+             some("xyzé ", 1400), some("the cat sat on a mat ", 9000), "na " * 500, "\U0001f600" * 300, None]
+    rows = spark.createDataFrame([(f"r{i}-{m}", t, m) for i, t in enumerate(texts) for m in ("kgw", None)],
+                                 "recipe_id string, text string, watermark_family string")
+    nothing = {c: F.lit(None).cast("string") for c in (
+        "parent_ids", "kind", "split", "source", "language", "watermark_families", "key_id", "key_ids", "attack_id", "watermark_intervals")}
+    measures = ["effective_length", "mapping_coverage", "text_length", "repetition", "tokens"]
+    got = {r["document_id"]: r for r in attribution.search_documents(rows.withColumns(nothing)).collect()}
+    columns = spans.with_candidates(corpus.with_scores(rows), unit=65535.0).withColumns(
+        {"text_length": F.length("text"), "repetition": repetition_ratio("text"), "tokens": word_count("text")})
+    segments = columns.select("recipe_id", "text", F.inline("candidates")).withColumn(
+        "s", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).select(
+        "recipe_id", "candidate_id", "char_start", "char_end", "scale_id", "raw_score", repetition_ratio("s").alias("repetition"),
+        word_count("s").alias("tokens"))
+    want = {}
+    for r in segments.collect():
+        want.setdefault(r["recipe_id"], []).append(tuple(r)[1:])
+    assert want
+    for r in columns.select("recipe_id", *measures).collect():
+        mine = got[r["recipe_id"]]
+        assert [mine[c] for c in measures] == [r[c] for c in measures]
+        assert [tuple(c) for c in mine["candidates"]] == want.get(r["recipe_id"], [])
+
+
+def test_a_text_of_several_rows_is_searched_once(monkeypatch):
+    """Variants of a parent share their text; the search of every row took as long as all of them."""
+    import pyarrow as pa
+    from tracewell.plans import attribution
+
+    calls, plain = [], attribution._candidates
+    monkeypatch.setattr(attribution, "_candidates", lambda *key: calls.append(key) or plain(*key))
+    text = "some words " * 100
+    out = attribution._measure(pa.array([text] * 5 + [None]), pa.array([False, True, True, True, True, False]))
+    assert len(out) == 6 and len(calls) == 2
