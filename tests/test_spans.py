@@ -177,3 +177,23 @@ def test_a_text_of_several_rows_is_searched_once(monkeypatch):
     text = "some words " * 100
     out = attribution._measure(pa.array([text] * 5 + [None]), pa.array([False, True, True, True, True, False]))
     assert len(out) == 6 and len(calls) == 2
+
+
+def test_refined_candidates_cover_derived_rows_and_documents(spark, tmp_path):
+    """Every span of the derived rows with its measures, and those of every document, also of texts too short for a parent."""
+    from tracewell import catalog
+
+    random.seed(5)
+    texts = ["".join(random.choice("abcdefg  ") for _ in range(n)) for n in (300, 700, 900, 1300, 256, 100)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t) if i != 3 else 10) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    queries = catalog.load()[0]
+    got = queries["w9_refined_candidates"](spark, str(tmp_path))
+    assert {"repetition", "tokens"} <= set(got.columns)
+    found = {tuple(r) for r in got.collect()}
+    derived = {tuple(r) for r in queries["w9_segment_measures"](spark, str(tmp_path)).collect()}
+    own = {tuple(r)[1:6] for r in queries["w9_piecewise_candidates"](spark, str(tmp_path)).collect()}
+    assert derived and derived <= found
+    assert {r[1:6] for r in found - derived} == own
+    assert {r[0] for r in found - derived} == {f"document-{i}" for i in range(5)}
