@@ -173,3 +173,50 @@ def test_masking_and_short_segments(spark):
     masked = evidence.mask_evidence(tests, [evidence.Scenario("a_only", ("a",)), evidence.Scenario("x", ("a", "b"), "kgw")])
     counts = {r["scenario"]: r["count"] for r in masked.groupBy("scenario").count().collect()}
     assert counts == {"a_only": 16, "x": 18}
+
+
+def test_tests_of_an_interval_are_the_rows_of_the_grid(spark):
+    rows = [("d1", "c1", 0, 40, "candidate", 3), ("d1", "full-text", 0, 90, "full_text", 0), (None, "c2", 5, 9, "candidate", 9)]
+    schema = "document_id string, candidate_id string, char_start int, char_end int, interval_role string, detector_token_count int"
+    intervals = spark.createDataFrame(rows, schema)
+    keyed = lambda family, slot: F.length(F.concat(family, slot)) + F.col("char_end") * 1.0
+    probe = lambda family: F.length(family) * -1.0
+    family, status = F.col("scheme_family"), F.col("key_status")
+    long = evidence.expand_tests(intervals, scheme_only=True)
+    raw = F.when(status == "registered", keyed(family, F.col("key_slot"))).otherwise(probe(family))
+    long = evidence.orient(evidence.gate_tokens(long.withColumn("raw_statistic", raw)))
+    upper = status == "scheme_only"
+    long = long.withColumns({
+        "tail_direction": F.when(upper, "upper").otherwise(F.col("tail_direction")),
+        "evidence_strength": F.when(upper, F.col("raw_statistic")).otherwise(F.col("evidence_strength")),
+    })
+    nested = evidence.interval_tests(intervals, keyed, probe)
+    flat = nested.select("*", F.inline("tests")).drop("tests")
+    wanted = sorted(map(str, long.select(*flat.columns).collect()))
+    assert len(wanted) == 36 and sorted(map(str, flat.collect())) == wanted
+
+    scenarios = [evidence.Scenario("a_only", ("a",)), evidence.Scenario("x", ("a", "b"), "kgw")]
+    names = ["scenario", "candidate_id", "scheme_family", "key_slot"]
+    masked = evidence.mask_tests(nested, scenarios)
+    assert masked.count() == 6  # a row an interval and scenario, whatever the size of the grid
+    told = sorted(map(str, masked.select("scenario", "candidate_id", F.inline("tests")).select(*names).collect()))
+    assert told == sorted(map(str, evidence.mask_evidence(long, scenarios).select(*names).collect()))
+
+
+def test_candidates_meet_intervals_before_tests_and_scenarios_multiply(spark):
+    from tracewell.plans import attribution as A
+
+    docs = spark.sql(
+        "SELECT id AS document_id, array(named_struct('candidate_id', 'c', 'char_start', 0, 'char_end', 9)) AS candidates "
+        "FROM VALUES ('once'), ('twice'), ('twice'), (CAST(NULL AS STRING)) AS v(id)"
+    )
+    test = "named_struct('scheme_family', {0}, 'key_status', 'registered', 'key_id_hash', 'h', 'applicability', {1}, 'raw_statistic', {2}, 'evidence_strength', {2})"
+    tests = ", ".join(test.format(*t) for t in (("'kgw'", "'valid'", "1.5D"), ("'unigram'", "'invalid'", "9D"), ("'synthid'", "'valid'", "2D")))
+    ev = docs.selectExpr(
+        "document_id", "explode(array('candidate', 'full_text')) AS interval_role", "'c' AS candidate_id", "0 AS char_start",
+        "if(interval_role = 'candidate', 9, 20) AS char_end", f"array({tests}) AS tests",
+    )
+    found = A.segment_tests(docs, ev)
+    sizes = {r["document_id"]: (len(r["tests"]), r["best_strength"]) for r in calibration.best_strengths(found).collect()}
+    # Invalid tests are out; two rows of an id meet the intervals of both, as rows joined by the id do.
+    assert sizes == {"once": (4, 2.0), "twice": (16, 2.0)}
