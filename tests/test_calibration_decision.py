@@ -220,3 +220,81 @@ def test_candidates_meet_intervals_before_tests_and_scenarios_multiply(spark):
     sizes = {r["document_id"]: (len(r["tests"]), r["best_strength"]) for r in calibration.best_strengths(found).collect()}
     # Invalid tests are out; two rows of an id meet the intervals of both, as rows joined by the id do.
     assert sizes == {"once": (4, 2.0), "twice": (16, 2.0)}
+
+
+def test_tests_of_a_document_equal_the_joins_by_interval(spark):
+    import collections
+
+    candidate = "named_struct('candidate_id', '{0}', 'char_start', {1}, 'char_end', {2})"
+    lists = {
+        "a": [("c0", 0, 9), ("c1", 9, 20)], "b": [("c0", 3, 7)], "none": [], "unmet": [("c0", 1, 2)], "twin": [("c0", 0, 5), ("c1", 5, 8)],
+    }
+    array = lambda cs: f"array({', '.join(candidate.format(*c) for c in cs)})" if cs else f"slice(array({candidate.format('x', 0, 0)}), 1, 0)"
+    docs = spark.sql(" UNION ALL ".join(f"SELECT '{d}' AS document_id, {array(cs)} AS candidates" for d, cs in [*lists.items(), ("twin", [("c0", 1, 5)])]))
+    rows = [("a", "c0", 0, 9, "candidate"), ("a", "c1", 9, 20, "candidate"), ("a", "full-text", 0, 30, "full_text"), ("b", "c0", 3, 7, "candidate"),
+            ("none", "full-text", 0, 4, "full_text"), ("twin", "c0", 0, 5, "candidate"), ("twin", "c1", 5, 8, "candidate"),
+            ("twin", "c0", 1, 5, "candidate"), ("twin", "full-text", 0, 8, "full_text"), ("twin", "full-text", 0, 9, "full_text")]
+    ev = spark.createDataFrame(rows, "document_id string, candidate_id string, char_start int, char_end int, interval_role string")
+    ev = ev.withColumn("tests", F.array(F.concat_ws("-", "candidate_id", "char_start", "char_end")))
+
+    places = docs.select("document_id", F.inline("candidates"))
+    flat = evidence.evidence_for_candidates(places, ev.select("*", F.explode("tests").alias("test")).drop("tests"))
+    wanted = collections.defaultdict(list)
+    for r in flat.collect():
+        wanted[r["document_id"], r["candidate_id"]].append(r["test"])
+    found = evidence.tests_by_document(docs, ev).select("document_id", F.inline("found")).collect()
+    got = {(r["document_id"], r["candidate_id"]): sorted(r["tests"]) for r in found}
+    assert len(found) == len(got) and got == {k: sorted(v) for k, v in wanted.items()}
+    assert ("unmet", "c0") not in got and len(got["twin", "c0"]) == 6
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.2, 0.5, 0.9])
+def test_significance_bounds_say_what_the_p_of_each_value_says(spark, alpha):
+    import random
+
+    rng = random.Random(5)
+    sizes = {"one": 1, "few": 4, "many": 57, "ties": 40}
+    nulls = [("primary", s, float(rng.randrange(4) if s == "ties" else rng.random())) for s, n in sizes.items() for _ in range(n)]
+    pool = spark.createDataFrame(nulls, "pool string, stratum string, maximum_statistic double")
+    values = sorted({v for _, _, v in nulls} | {rng.random() * 5 - 1 for _ in range(60)} | {99.0})
+    seen = spark.createDataFrame([("primary", s, v) for s in [*sizes, "unknown"] for v in values], "pool string, stratum string, v double")
+    keys = ["pool", "stratum"]
+    told = seen.join(calibration.tail_p(seen, pool, keys, value="v"), [*keys, "v"], "left")
+    told = told.join(calibration.significance_bounds(pool, keys, alpha=alpha), keys, "left")
+    got = told.select("stratum", (F.col("p_value") <= alpha).alias("by_p"), calibration.beyond_bound(F.col("v")).alias("by_bound")).collect()
+    assert len(got) == 5 * len(values) and all(r["by_p"] == r["by_bound"] for r in got)
+    assert all((r["by_bound"] is None) == (r["stratum"] == "unknown") for r in got)
+
+
+def test_flagged_items_decide_like_items_with_their_p(spark):
+    own = spark.sql(
+        "SELECT g AS generic_p, gap AS gap_p, array_min(transform(items, i -> i.adjusted_p)) AS registered_p, "
+        "slice(array('x'), 1, 0) AS validity_reasons, items FROM VALUES (0.01D), (0.5D) AS a(g), VALUES (0.02D), (0.7D) AS b(gap), VALUES "
+        + ", ".join(
+            "(from_json('" + items + "', '" + ITEMS + "'))" for items in (
+                "[]", '[{"family":"kgw","key_status":"registered","adjusted_p":0.05}]',
+                '[{"family":"kgw","key_status":"scheme_only","adjusted_p":0.01},{"family":"unigram","key_status":"registered","adjusted_p":0.2}]',
+                '[{"family":"kgw","key_status":"registered","adjusted_p":0.01},{"family":"unigram","key_status":"scheme_only","adjusted_p":0.03}]',
+                '[{"family":"kgw","key_status":"registered"}]',
+            )
+        ) + " AS c(items)"
+    )
+    flags = F.transform("items", lambda i: F.struct(
+        i["family"].alias("family"), i["key_status"].alias("key_status"), i["applicability"].alias("applicability"),
+        (i["adjusted_p"] <= 0.05).alias("significant"),
+    ))
+    out = ["generic_p", "gap_p", "registered_p", "label", "abstain_reasons", "best_registered_p"]
+    rows = lambda df: sorted(map(str, decision.decide_segments(df, alpha=0.05).select(*out).collect()))
+    got = rows(own.withColumn("items", flags))
+    assert len(got) == 20 and got == rows(own)
+
+
+def test_ranks_within_arrays_equal_ranks_of_rows(spark):
+    rows = [("d", "c", 3, 0.5), ("d", "c", 1, None), ("d", "c", 2, 0.5), ("d", "e", 1, 0.1), ("d", "e", 2, 1.0), ("d", "e", 0, None), (None, "c", 1, 0.2)]
+    items = spark.createDataFrame(rows, "document_id string, candidate_id string, input_index int, adjusted_p double")
+    by = ["document_id", "candidate_id"]
+    # Two rows of a segment, as documents that share an id have.
+    arrays = items.groupBy(*by, F.col("input_index") % 2).agg(F.collect_list(F.struct("input_index", "adjusted_p")).alias("tests"))
+    names = [*by, "input_index", "adjusted_p", "evidence_rank"]
+    told = lambda df: sorted(map(str, df.select(*names).collect()))
+    assert told(evidence.rank_tests(arrays, by=by)) == told(evidence.rank_evidence(items, by=by))
