@@ -496,3 +496,24 @@ def test_pipeline_without_languages_rows_or_with_clashing_columns(spark, tmp_pat
     docs = spark.createDataFrame([(1, "a\nb b b b\na\n\nc", "en", "s", 3), (2, "z\na\ny", "en", "s", 3)], kind.split(", row_key")[0])
     cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert cut == {1: ("a\nb b b b\n\nc", 12), 2: ("z\ny", 3)}
+
+
+def test_pipeline_hands_texts_to_python_in_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from tracewell.session import ARROW_BYTES, BATCH_BYTES
+
+    def batch_bytes(spark, docs, sf_dir):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).nbytes], pa.int64())], ["n"])
+
+        return docs.select("text").mapInArrow(run, "n long")
+
+    texts = spark.range(0, 1200, 1, 1).select(F.repeat(F.lit("lorem ipsum "), 1000).alias("text"))
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", batch_bytes), ("last", lambda spark, docs, sf_dir: docs)])
+    sizes = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(sizes) >= 1200 * 12_000 and max(sizes) <= 1.1 * BATCH_BYTES
+    assert spark.conf.get(ARROW_BYTES, None) is None
