@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -76,3 +77,31 @@ def test_jsonl_rows_that_are_no_objects_fail(spark, tmp_path):
         (tmp_path / f"bad{n}.jsonl").write_text(line + "\n")
         with pytest.raises(Exception):
             read_jsonl(spark, str(tmp_path / f"bad{n}.jsonl"), schema).collect()
+
+
+def test_values_at_ranks_of_arrays(spark):
+    """Ranks over arrays of several rows are those of all values sorted, with ties, null keys and no more than samples moved."""
+    from tracewell.operators.ordered import values_at
+
+    draw = random.Random(5)
+    groups = {"a": [[draw.randrange(9) for _ in range(n)] for n in (1, 700, 40)], "b": [[7] * 300, [7] * 5],
+              "c": [[draw.random() * 1e6 // 1 for _ in range(900)] for _ in range(6)], "d": [[3], []], None: [[1, 2]]}
+    rows = [(g, i, [float(v) for v in vs]) for g, parts in groups.items() for i, vs in enumerate(parts)]
+    df = spark.createDataFrame(rows, "g string, part int, vs array<double>").repartition(3)
+    at = {"low": lambda n: F.floor((n - 1) * 0.3), "high": lambda n: F.ceil((n - 1) * 0.95)}
+    got = {(r["g"], r["part"]): (r["low"], r["high"], r["n"]) for r in values_at(df, ["g"], "part", "vs", at, count="n").collect()}
+    want = {}
+    for g, parts in groups.items():
+        every = sorted(float(v) for vs in parts for v in vs)
+        n = len(every)
+        if g is not None:
+            want |= {(g, i): (every[math.floor((n - 1) * 0.3)], every[math.ceil((n - 1) * 0.95)], n) for i in range(len(parts))}
+    assert got == want
+
+
+def test_running_sums_read_written_slots(spark):
+    """The slots come from a sketch that may differ each time it is worked out, and are read twice: by then they are rows."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7).alias("v"))
+    ran = distinct_running(df, ["g"], "v", {"n": F.lit(1)})
+    assert "percentile_approx" not in ran._jdf.queryExecution().toString()
+    assert ran.where("g = 1").agg(F.max("cum_n")).first()[0] == 1500

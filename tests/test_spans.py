@@ -197,3 +197,21 @@ def test_refined_candidates_cover_derived_rows_and_documents(spark, tmp_path):
     assert derived and derived <= found
     assert {r[1:6] for r in found - derived} == own
     assert {r[0] for r in found - derived} == {f"document-{i}" for i in range(5)}
+
+
+def test_pieces_move_no_row_per_character(spark, monkeypatch):
+    """Scores of refined spans stay in arrays: what is ranked across rows is far less than the characters searched."""
+    from tracewell.operators import longspans, ordered
+
+    seen = []
+    plain = ordered.distinct_running
+    monkeypatch.setattr(ordered, "distinct_running", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k))
+    monkeypatch.setattr(longspans, "distinct_running", lambda df, *a, **k: seen.append(df.count()) or plain(df, *a, **k), raising=False)
+    draw = random.Random(3)
+    df = spark.createDataFrame([(i, "".join(draw.choices("abcdef", k=3000))) for i in range(40)], "id long, text string")
+    settings = dict(window_lengths=(64, 128), stride_fraction=0.25, quantile=0.5, gap=300, row_length=0)
+    one = longspans.text_candidates(df, key="id", score=position_scores, width=4096, **settings)
+    assert one.count() == 40 and sum(seen) == 0
+    many = longspans.text_candidates(df, key="id", score=position_scores, width=512, **settings)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    assert max(seen) < 40 * 3000 / 4
