@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tracewell import catalog
-from tracewell.operators import assembly, planning
+from tracewell.operators import assembly, evidence, planning
 from tracewell.sources import tables
 from tracewell.plans import corpus
 
@@ -128,3 +128,30 @@ def test_flagship_runs(spark):
     want = corpus.rows(spark, SF).where("status = 'generated' and split = 'test'").count()
     assert len(rows) == want > 0
     assert all(0 < r["generic_p"] <= 1 for r in rows)
+
+
+def test_resume_check_moves_no_texts(spark):
+    """A text is held against its hash where it is read: joins see the outcome alone, and the written rows have no texts."""
+    good = hashlib.sha256(b"some text").hexdigest()
+    rows = [("a", "generated", "some text", good, "dev"), ("b", "generated", "other", good, "dev"), ("c", "failed", None, None, "dev"),
+            ("d", "generated", None, good, "test"), ("d", "generated", "some text", good, "test"), ("e", None, "x", good, "dev")]
+    done = spark.createDataFrame(rows, "recipe_id string, status string, text string, text_sha256 string, split string")
+    plan = spark.createDataFrame([(r, "dev") for r in "abcd"], "recipe_id string, split string")
+    found = assembly.resume_violations(plan, done, ["split"])
+    assert "text_sha256#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [
+        ("b", "text_hash_mismatch"), ("d", "changed_split"), ("d", "duplicate"), ("d", "text_hash_mismatch"), ("e", "not_selected")]
+    assert "text" not in corpus.rows(spark, SF).columns
+
+
+def test_requests_are_not_dealt_by_detector(spark):
+    """Every segment text would go to the task of its detector."""
+    registry = evidence.DetectorRegistry()
+    registry.register(evidence.Detector("k", scheme_family="kgw", score=lambda b: b["segment_text"].str.len(), supported_languages=("en",)))
+    requests = spark.createDataFrame(
+        [("d1", "c1", 0, 3, "k", "en", 70, "abc", "kgw_key_a", None), ("d2", "c1", 0, 3, "no", "en", 70, "abc", "kgw_key_a", None)],
+        "document_id string, candidate_id string, char_start int, char_end int, detector_id string, language string, effective_length int, "
+        "segment_text string, key_id string, calibration_id string")
+    out = registry.run(requests)
+    assert "hashpartitioning(detector_id" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["document_id"], r["raw_statistic"]) for r in out.collect()] == [("d1", 3.0)]

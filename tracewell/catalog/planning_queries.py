@@ -324,7 +324,7 @@ SELECT violation, count(*) AS n FROM (SELECT CASE WHEN status = 'generated' AND
 )
 def j1(spark, sf):
     # A sixteenth of the rows withheld and an eighth of the texts altered: both must surface.
-    rows = corpus.rows(spark, sf)
+    rows = corpus.derive_rows(spark, sf)
     mark = F.sha2("recipe_id", 256)
     damaged = rows.where(mark < "f").withColumn("text", F.when(mark < "2", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return assembly.violation_counts(assembly.check_rows(corpus.recipes(spark, sf), damaged))
@@ -332,7 +332,7 @@ def j1(spark, sf):
 
 @register("j1_assembly_clean", query("SELECT 'ok' AS violation, count(*) AS n FROM d_rows"))
 def j1b(spark, sf):
-    return assembly.violation_counts(assembly.check_rows(corpus.recipes(spark, sf), corpus.rows(spark, sf)))
+    return assembly.violation_counts(assembly.check_rows(corpus.recipes(spark, sf), corpus.derive_rows(spark, sf)))
 
 
 @register(
@@ -405,7 +405,7 @@ def j16(spark, sf):
           "UNION ALL SELECT recipe_id, 'not_selected' FROM d_rows WHERE status = 'generated' AND kind = 'mixed_document'"),
 )
 def j16b(spark, sf):
-    done = corpus.rows(spark, sf).where("status = 'generated'")
+    done = corpus.derive_rows(spark, sf).where("status = 'generated'")
     plan = corpus.recipes(spark, sf).where("kind <> 'mixed_document'").withColumn(
         "split", F.when(F.col("split") == "dev", "test").otherwise(F.col("split"))
     )
