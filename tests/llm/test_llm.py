@@ -517,3 +517,34 @@ def test_pipeline_hands_texts_to_python_in_batches_of_bounded_bytes(spark, tmp_p
     sizes = [r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sum(sizes) >= 1200 * 12_000 and max(sizes) <= 1.1 * BATCH_BYTES
     assert spark.conf.get(ARROW_BYTES, None) is None
+
+
+def test_leading_shingles_find_every_alike_pair(spark):
+    """Members that are alike and share a shingle their centre has not share a leading one, and leading ones are few."""
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracewell.llm import line_dedup
+
+    draw = random.Random(4)
+    centre = set(range(100))
+    members = []
+    for _ in range(12):
+        whole = set(draw.sample(range(100), draw.randrange(0, 60))) | {draw.randrange(10**9) for _ in range(draw.randrange(8, 90))}
+        for _ in range(4):
+            kept = {s for s in whole if draw.random() > 0.05}
+            members.append(sorted(kept | {draw.randrange(10**9) for _ in range(draw.randrange(5))}))
+    rows = [(i, [s for s in m if s not in centre], len(m)) for i, m in enumerate(members)]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "cid long, own array<long>, n int")
+    led = {r["cid"]: r["own"] for r in df.select("cid", line_dedup._leading(F.col("own"), F.col("n")).alias("own")).collect()}
+    assert all(len(led[i]) <= 15 * n // 100 + 1 and set(led[i]) <= set(own) for i, own, n in rows)
+    found = 0
+    for (i, own, _), (j, other, _) in itertools.combinations(rows, 2):
+        a, b = set(members[i]), set(members[j])
+        if 100 * len(a & b) >= 85 * len(a | b) and set(own) & set(other):
+            found += 1
+            assert set(led[i]) & set(led[j])
+    assert found > 20
